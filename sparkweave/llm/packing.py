@@ -19,9 +19,10 @@ rows are packed each for itself; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
+from array import array
 from collections import defaultdict
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +32,14 @@ from sparkweave.llm.common import parts, rows_in_arrow, texts, written
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in a worker's look-up table.
-MOST_WORDS = 500_000
+#: Words kept in each of two generations of a worker's look-up tables.
+MOST_WORDS = 400_000
 #: Intervals that may be broadcast; the plan has fewer by far, as it doesn't grow with the documents.
 MOST_BROADCAST = 2_000_000
 _END = b"\0\0\0\0"
 #: White space to str.split() that the tokenizer doesn't take for such, and what may begin a special token: such texts are encoded whole.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Signs that may follow a word; the tokenizer takes a run of them for one piece. No apostrophe, as it looks for some letters after one.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
@@ -47,11 +49,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(path(name))
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the others in turn from 256."""
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones for themselves, the others in turn from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(rest)}
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+def _latin(word: str) -> bool:
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder(dict):
@@ -59,36 +69,43 @@ class Encoder(dict):
 
     White space separates what the tokenizer encodes, so a text's ids are those of its words in turn. Letters
     up to U+00FF, and a tail of ASCII signs, are separate pieces to the tokenizer: letters go straight to its
-    merges, tails are kept as well. All other words go through the whole tokenizer."""
+    merges, tails are kept as well. All other words go through the whole tokenizer. The table of words has two
+    generations: when the younger is full it becomes the older, from which what is asked for again returns."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def tail(self, signs: str) -> bytes:
+        ids = self.whole(signs)
+        if len(self.tails) < MOST_WORDS:
+            self.tails[signs] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        if m := _SIMPLE.fullmatch(word):
-            core, tail = m.groups()
-            core = core.lower()
-            head = self.cores.get(core)
-            if head is None:
-                written_as = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-                head = self.cores[core] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(written_as)])
-            end = self.tails.get(tail)
-            if end is None:
-                end = self.whole(tail)
-                if len(self.tails) < MOST_WORDS:
-                    self.tails[tail] = end
-            ids = head + end
-        else:
-            ids = self.whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_SIGNS)
+            if core.isalpha() and (core.isascii() or _latin(core)):
+                tail, core = word[len(core) :], core.lower()
+                ids = self.cores.get(core)
+                if ids is None:
+                    letters = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+                    ids = self.cores[core] = array("I", [t.id for t in self.merges(letters)]).tobytes()
+                if tail:
+                    ids += self.tails.get(tail) or self.tail(tail)
+            else:
+                ids = self.whole(word)
         self[word] = ids
         return ids
 
@@ -96,22 +113,29 @@ class Encoder(dict):
         if any(x in text for x in _ODD):
             return self.whole(text)
         if len(self) > MOST_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(self.cores) > MOST_WORDS:
             self.cores.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for a worker process, whose tasks share what it keeps."""
+    return Encoder(path)
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row's pieces."""
     path = path or vocabulary_path()
 
     def make():
-        encoder = Encoder(path)
+        encode = encoder(path).encode
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, texts(batch)), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), map(encode, texts(batch)), strict=True):
                 ids += _END
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
