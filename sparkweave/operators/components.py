@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from sparkweave.storage import dropped, written
 
 
-def _marks(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _open(edges: DataFrame) -> bool:
+    """Whether some vertex has two edges down, or one down and one up: then edges (a, b), a above b, aren't stars yet."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
+    seen = ends.select("e.*").groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not seen.filter("down > 1 OR down > 0 AND up > 0").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,15 +33,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Nothing is collected; each step ends in a written table. The number of steps grows with the logarithm of
     the longest path."""
-    edges = written(links.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = _marks(edges)
-    while before[0]:
+    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while _open(edges):
         stars = written(_large_star(edges), "stars")
         new = written(_small_star(stars), "edges")
-        after = _marks(new)
         dropped([edges, stars])
         edges = new
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("a").alias("v"), F.col("b").alias("c"))

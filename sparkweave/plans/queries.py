@@ -188,10 +188,7 @@ def nation_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelprop_weighted_steps_3(spark: SparkSession, sf: str) -> DataFrame:
-    records = nation_records(spark, sf)
-    edges, state = propagation.record_edges(records), propagation.weighted_start(records)
-    for _ in range(3):
-        state = propagation.weighted_step(records, edges, state)
+    _, state = _weighted_state(spark, sf)
     return state.select("vid", "label", F.round("score", 6).alias("score"))
 
 
@@ -201,6 +198,43 @@ def labelprop_weighted_full(spark: SparkSession, sf: str) -> DataFrame:
     return propagation.clean_scores(state, propagation.best_labels(records, state))
 
 
+def _weighted_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    records = nation_records(spark, sf)
+    edges, state = propagation.record_edges(records), propagation.weighted_start(records)
+    for _ in range(3):
+        state = propagation.weighted_step(records, edges, state)
+    return records, state
+
+
+def labelprop_best_labels(spark: SparkSession, sf: str) -> DataFrame:
+    best = propagation.best_labels(*_weighted_state(spark, sf))
+    return best.select("vid", "label", F.round("score", 6).alias("score"))
+
+
+def labelprop_clean_scores(spark: SparkSession, sf: str) -> DataFrame:
+    records, state = _weighted_state(spark, sf)
+    return propagation.clean_scores(state, propagation.best_labels(records, state)).select("vid", "label", F.round("score", 6).alias("score"))
+
+
+def propagation_change(spark: SparkSession, sf: str) -> DataFrame:
+    """The sum of all changes of the third step."""
+    edges, known = order_edges(spark, sf), order_vertices(spark, sf).filter("label <> 'unclassified'")
+    new, old = (propagation.propagate_steps(edges, known, k) for k in (3, 2))
+    both = new.join(old.withColumnRenamed("p", "q"), ["vid", "cls"], "full")
+    return both.agg(F.round(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))), 5).alias("change"))
+
+
+def read_truth_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as contigs: each order states a truth, the last one counts."""
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("NODE_"), F.col("o_custkey").cast("string"), F.lit("_length_9_cov_1")).alias("h"), F.col("o_orderstatus").alias("truth"), F.col("o_orderkey").alias("_at"))
+    return assembly.last_wins(rows.select(q.contig_id(F.col("h")).alias("contig_id"), "truth", "_at"), "contig_id")
+
+
+def segment_flip(spark: SparkSession, sf: str) -> DataFrame:
+    seg = F.concat(F.col("l_partkey").cast("string"), F.when(F.col("l_returnflag") == "R", "+").when(F.col("l_returnflag") == "A", "-").otherwise("?"))
+    return table(spark, sf, "lineitem").select(seg.alias("segment")).distinct().select("segment", q.flipped(F.col("segment")).alias("flipped"))
+
+
 def _edge_ends(spark: SparkSession, sf: str) -> DataFrame:
     v = order_contigs(spark, sf).select("vid", "coverage").join(order_profiles(spark, sf), "vid", "left")
     ends = lambda x: v.select(*[F.col(c).alias(c + x) for c in v.columns])
@@ -381,6 +415,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "label_prop_steps_3": (label_prop_steps_3, f"WITH {VERTEX_SQL}{_steps_sql(3)} SELECT vid, cls, round(p, 6) AS p FROM s3"),
     "label_prop_full": (label_prop_full, None),
     "labelprop_weighted_steps_3": (labelprop_weighted_steps_3, f"WITH {NATION_SQL} SELECT vid, label, round(score, 6) AS score FROM w3"),
+    "labelprop_best_labels": (labelprop_best_labels, f"""WITH {NATION_SQL}, top AS (SELECT vid, label, score, row_number() OVER (PARTITION BY vid ORDER BY score DESC, label) AS r FROM w3 WHERE score > 0)
+SELECT rec.vid, coalesce(top.label, (SELECT min(label) FROM rec WHERE label <> 0)) AS label, round(coalesce(score, 0), 6) AS score FROM rec LEFT JOIN top ON top.vid = rec.vid AND r = 1"""),
+    "labelprop_clean_scores": (labelprop_clean_scores, f"""WITH {NATION_SQL}, top AS (SELECT vid, label, row_number() OVER (PARTITION BY vid ORDER BY score DESC, label) AS r FROM w3 WHERE score > 0)
+SELECT w3.vid, any_value(top.label) AS label, round(sum(w3.score), 6) AS score FROM w3 JOIN top ON top.vid = w3.vid AND r = 1 GROUP BY 1 HAVING sum(w3.score) <> 0"""),
+    "propagation_change": (propagation_change, f"WITH {VERTEX_SQL}{_steps_sql(3)} SELECT round(sum(abs(coalesce(s3.p, 0) - coalesce(s2.p, 0))), 5) AS change FROM s3 FULL JOIN s2 ON s3.vid = s2.vid AND s3.cls = s2.cls"),
+    "read_truth_last_wins": (read_truth_last_wins, "SELECT 'NODE_' || o_custkey AS contig_id, arg_max(o_orderstatus, o_orderkey) AS truth FROM orders GROUP BY o_custkey"),
+    "segment_flip": (segment_flip, "WITH s AS (SELECT DISTINCT l_partkey || CASE l_returnflag WHEN 'R' THEN '+' WHEN 'A' THEN '-' ELSE '?' END AS segment FROM lineitem) SELECT segment, substring(segment, 1, length(segment) - 1) || CASE WHEN segment LIKE '%+' THEN '-' ELSE '+' END AS flipped FROM s"),
     "labelprop_weighted_full": (labelprop_weighted_full, None),
     "coverage_distance": (coverage_distance, f"WITH {VERTEX_SQL}{DIST_SQL}, y AS (SELECT src, dst, {_cov_sql('ca', 'cb')} AS x FROM ends) SELECT src, dst, {_FINITE} FROM y"),
     "composition_distance": (composition_distance, f"WITH {VERTEX_SQL}{DIST_SQL}, y AS (SELECT src, dst, {_comp_sql('pa', 'pb')} AS x FROM ends) SELECT src, dst, {_FINITE} FROM y"),

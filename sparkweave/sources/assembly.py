@@ -23,7 +23,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta(spark.read.text(path, lineSep="\n>"))
 
 
-def _last_wins(rows: DataFrame, key: str) -> DataFrame:
+def last_wins(rows: DataFrame, key: str) -> DataFrame:
     """Of rows with one key the last in the file, by the place that _at holds."""
     others = [c for c in rows.columns if c not in (key, "_at")]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("_row"))
@@ -38,7 +38,7 @@ def _placed(rows: DataFrame) -> DataFrame:
 def parse_probabilities(rows: DataFrame, header: Column, prob: Column) -> DataFrame:
     """(contig_id, prob) of contigs whose header says a length of at least 1000; the last of equal ids wins."""
     kept = rows.select(header.alias("h"), prob.cast("double").alias("prob"), "_at").filter(header_length(F.col("h")) >= LEAST_LENGTH)
-    return _last_wins(kept.select(contig_id(F.col("h")).alias("contig_id"), "prob", "_at"), "contig_id")
+    return last_wins(kept.select(contig_id(F.col("h")).alias("contig_id"), "prob", "_at"), "contig_id")
 
 
 def read_pc(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +62,7 @@ def read_pf(spark: SparkSession, path: str) -> DataFrame:
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """(contig_id, truth); the last of equal ids wins."""
     rows = _placed(spark.read.schema("h string, truth string").option("sep", "\t").csv(path))
-    return _last_wins(rows.select(contig_id(F.col("h")).alias("contig_id"), "truth", "_at"), "contig_id")
+    return last_wins(rows.select(contig_id(F.col("h")).alias("contig_id"), "truth", "_at"), "contig_id")
 
 
 def path_ends(body: Column) -> tuple[Column, Column]:
@@ -123,6 +123,6 @@ def check_inputs(spark: SparkSession, paths: list[str], classifier: str) -> None
 
 
 __all__ = [
-    "check_inputs", "parse_fasta", "parse_links", "parse_paths", "parse_probabilities", "parse_records", "path_ends", "pf_probability",
+    "check_inputs", "last_wins", "parse_fasta", "parse_links", "parse_paths", "parse_probabilities", "parse_records", "path_ends", "pf_probability",
     "read_contig_paths", "read_fasta", "read_links", "read_pc", "read_pf", "read_truth", "records_of",
 ]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: list[tuple[SparkSession, str]] = []
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _OWN:
         atexit.register(_forget)
     _OWN.append((spark, path))
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
     # The rows are safe in the table, so their shuffle files can go at once.
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
@@ -50,6 +55,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those written by the function that this gives."""
+    _SCOPES.append([])
+    lasting: set[str] = set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table = written(df, name)
+        lasting.add(_SCOPES[-1][-1][1])
+        return table
+
+    try:
+        yield keep
+    finally:
+        for spark, path in _SCOPES.pop():
+            if path not in lasting:
+                _delete(spark, path)
+            elif _SCOPES:
+                _SCOPES[-1].append((spark, path))
+
+
 def dropped(tables: list[DataFrame]) -> None:
     """Deletes written tables that no later step reads."""
     for df in tables:
