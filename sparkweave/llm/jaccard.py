@@ -7,14 +7,17 @@ entries, but asks for L matches before a pair is verified; the choice minimises
 frequencies predict. Two sets are candidates when their prefixes share the lesser of their two L.
 
 The order's frequencies come from a sketch of fixed size that counts the shingles of all documents; it
-steers cost only, never results.
-
-Equal sets form one class and go on as one. Links are then found in steps that never form all pairs of a
-group: two rounds compare every class with one pivot from the prefix entries that it shares most with, and
-links from these rounds merge near copies into components. The last step is exact: the components that share
-prefix entries are joined entry by entry, components that share enough are opened into their classes, and
-every remaining candidate pair of classes from different components is verified on whole sets. So all links
-between components are found, and a group of near copies costs what it has members.
+steers cost only, never results. Where sizes are known, a pair must share still more entries: matches_needed.
+
+Equal sets form one class and go on as one. No step forms all pairs of a group. Two rounds pair every class
+with the one pivot that it shares most prefix entries with; what hangs together through these pairs is a
+family, and its most central class the root. Every class is compared with its root: that gives links, and its
+difference from the root. Two classes of a family differ at least by what each alone has beside the root, and
+by as much as the numbers of root shingles that they lack differ; classes are grouped by these numbers, and
+only groups whose bound allows a link, and that aren't one component yet, are opened into pairs. Between
+families the prefix entries decide: families that share enough of them are opened into classes, these into
+pairs that share enough. All pairs left are verified on whole sets, so no link between components is lost,
+while a group of near copies costs what it has members.
 
 Cases: texts without words, null ones included, have no shingles and link with nothing; a text with fewer
 words than a shingle is one shingle; very long texts are taken whole; repeated rows are copies of one
@@ -31,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import rows_in_arrow, texts, written
-from sparkweave.llm.components import connected_components
+from sparkweave.llm.common import in_tasks, rows_in_arrow, scratch, texts, written
+from sparkweave.operators.components import connected_components
 
 #: The threshold in hundredths: an overlap of at least PERCENT * union / 100.
 PERCENT, SHINGLE = 90, 3
@@ -40,7 +43,9 @@ PERCENT, SHINGLE = 90, 3
 SKETCH, FILTER = 1 << 18, 1 << 24
 LONGEST = 8
 PIVOT_ROUNDS = 2
-MOST_WORDS = 500_000
+#: Counters of which root shingles a class lacks.
+LACKS = 32
+MOST_WORDS = 150_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -80,6 +85,16 @@ def linked(common: int, n: int, m: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+def matches_needed(n, m, ell_n, ell_m, percent: int):
+    """A lower bound, as a column, of the prefix entries that two linked sets of n and m shingles share.
+
+    Two prefixes end at two places of the order; what the one that ends first shares with the other set lies
+    in the other's prefix. It misses n less the least common shingles at most, so the rest is shared."""
+    short = lambda size, ell: ell - F.ceil(size * percent / 100)
+    common = F.ceil((n + m) * percent / (100 + percent))
+    return F.greatest(F.least(ell_n, ell_m), F.least(short(n, ell_n), short(m, ell_m)) + common)
+
+
 def prefix(shingles: np.ndarray, frequency: np.ndarray | None, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The set's prefix in the global order, and how many matches it asks for."""
     n = len(shingles)
@@ -97,18 +112,18 @@ def prefix(shingles: np.ndarray, frequency: np.ndarray | None, percent: int = PE
 
 # ---- passes over the texts
 
-def frequencies(docs: DataFrame) -> np.ndarray:
+def frequencies(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Per counter of the sketch, how many documents hold a shingle that falls there beyond what chance puts there; 1 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = WordHashes(), np.zeros(SKETCH, np.int64)
         for batch in batches:
             for t in texts(batch):
-                np.add.at(total, (shingle_set(t, known) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(total, (shingle_set(t, known, size) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
-    got = docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = in_tasks(docs.select("text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(SKETCH, np.int64)
     total[got["at"].to_numpy()] = got["n"].to_numpy()
     usual = float(np.median(total))
@@ -117,7 +132,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return np.where(above > 1, 2 ** np.ceil(np.log2(np.maximum(above, 1))), 1).astype(np.int64)
 
 
-def members_of(docs: DataFrame, frequency: np.ndarray, percent: int, seed: int) -> DataFrame:
+def members_of(docs: DataFrame, frequency: np.ndarray, percent: int, size: int, seed: int) -> DataFrame:
     """(doc_id, n, v, chk, ell, prefix) of every row: v and chk tell equal sets."""
 
     def make():
@@ -126,7 +141,7 @@ def members_of(docs: DataFrame, frequency: np.ndarray, percent: int, seed: int)
         def run(batch: pa.RecordBatch) -> dict:
             out: dict = {"doc_id": batch.column("doc_id"), **{k: [] for k in ("n", "v", "chk", "ell", "prefix")}}
             for t in texts(batch):
-                s = shingle_set(t, known)
+                s = shingle_set(t, known, size)
                 raw = s.tobytes()
                 p, ell = prefix(s, frequency, percent) if len(s) else (s, 0)
                 out["n"].append(len(s))
@@ -158,13 +173,13 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["at", "bits"])
 
-    got = ids.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = in_tasks(ids, run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(FILTER // 64, np.uint64)
     bits[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return bits
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
     """(v, s): the whole sets of the rows whose id is, or seems, among ids."""
     bits = id_filter(ids)
 
@@ -175,7 +190,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
             at = _places(batch.column("doc_id").to_pylist()).reshape(2, -1)
             on = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
             some = batch.filter(pa.array(on))
-            found = [shingle_set(t, known).tobytes() for t in texts(some)]
+            found = [shingle_set(t, known, size).tobytes() for t in texts(some)]
             return {"v": [xxhash.xxh3_64_intdigest(s, seed) - (1 << 63) for s in found], "s": found}
 
         return run
@@ -185,75 +200,154 @@ def sets_of(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
 
 # ---- links
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, seed: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, tested on whole sets."""
-    pairs = written(pairs.select("a", "b"), "pairs")
+def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, seed: int) -> DataFrame:
+    """pairs (a, b, ...), a written table, with both whole sets, sa and sb."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    sets = written(sets_of(docs, classes.join(need, "v", "left_semi").select("rep"), seed).join(need, "v", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+    sets = written(sets_of(docs, classes.join(need, "v", "left_semi").select("rep"), size, seed).join(need, "v", "left_semi"), "sets")
+    return pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, size: int, seed: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, tested on whole sets."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                near = q[np.minimum(np.searchsorted(q, p), len(q) - 1)]
-                good.append(linked(int((near == p).sum()), len(p), len(q), percent))
+                good.append(linked(int(_common(p, q).sum()), len(p), len(q), percent))
             return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         return run
 
-    return written(rows_in_arrow(both, make, "a long, b long").distinct(), "links")
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    return written(rows_in_arrow(_with_sets(pairs, docs, classes, size, seed), make, "a long, b long").distinct(), "links")
+
+
+def against_roots(families: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, size: int, seed: int) -> DataFrame:
+    """(v, f, n, lacks, links, novel, spread) of every class of a family but the root: how many of the root's shingles it
+    lacks, whether it links with the root, which shingles it has beside it, and how what it lacks spreads over LACKS counters."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {k: [] for k in ("v", "f", "n", "lacks", "links", "novel", "spread")}
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                on = _common(p, q)
+                k = int(on.sum())
+                spread = np.bincount((q[~_common(q, p)] >> np.uint64(40)).astype(np.int64) % LACKS, minlength=LACKS)
+                for key, value in (("v", a), ("f", b), ("n", len(p)), ("lacks", len(q) - k), ("links", linked(k, len(p), len(q), percent)), ("novel", p[~on].view(np.int64)), ("spread", spread)):
+                    out[key].append(value)
+            return out
+
+        return run
+
+    pairs = written(families.filter("v <> f").select(F.col("v").alias("a"), F.col("f").alias("b")), "pairs")
+    return written(rows_in_arrow(_with_sets(pairs, docs, classes, size, seed), make, "v long, f long, n long, lacks long, links boolean, novel array<long>, spread array<int>"), "differences")
 
 
-def pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
+def families_of(entries: DataFrame, percent: int) -> DataFrame:
+    """(v, f): each class that shares much with a pivot, and the root of its family."""
+    near = None
+    for turn in range(PIVOT_ROUNDS):
+        found = pivot_pairs(entries, turn, percent)
+        near = found if near is None else near.unionByName(found)
+    hung = connected_components(near)
+    hung = hung.unionByName(hung.select(F.col("c").alias("v"), "c")).distinct()
+    central = entries.groupBy("v").agg((F.count(F.lit(1)) / F.first("size")).alias("share"))
+    named = written(hung.join(central, "v"), "hung")
+    roots = named.groupBy("c").agg(F.max_by("v", F.struct("share", (-F.col("v")).alias("w"))).alias("f"))
+    return written(named.join(roots, "c").select("v", "f"), "families")
+
+
+def family_pairs(differences: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs within families, but across components, that the bound on their difference allows."""
+    most = lambda n, m: F.floor((n + m) * (100 - percent) / (100 + percent))
+    alone = differences.select("v", "f", F.explode("novel").alias("token")).groupBy("f", "token").agg(F.count(F.lit(1)).alias("_k"), F.min("v").alias("v")).filter("_k = 1")
+    alone = alone.groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
+    roots = differences.select(F.col("f").alias("v"), "f").distinct().join(classes.select("v", "n"), "v").select("v", "f", "n", F.lit(0).cast("long").alias("lacks"), F.array_repeat(F.lit(0), LACKS).alias("spread"))
+    rows = differences.select("v", "f", "n", "lacks", "spread").unionByName(roots).join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    # A partner has n * 100 / percent shingles at most.
+    rows = rows.filter(F.col("alone") <= most(F.col("n"), F.floor(F.col("n") * 100 / percent)))
+    rows = written(rows.join(components, "v", "left").withColumn("c", F.coalesce("c", "v")), "rows")
+    kinds = rows.groupBy("f", "n", "alone", "lacks").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    side = lambda i: kinds.select("f", *[F.col(x).alias(f"{x}{i}") for x in ("n", "alone", "lacks", "lo", "hi")])
+    near = side(1).join(side(2), "f").filter(
+        (F.struct("n1", "alone1", "lacks1") <= F.struct(F.col("n2").alias("n1"), F.col("alone2").alias("alone1"), F.col("lacks2").alias("lacks1")))
+        & ((F.col("lo1") < F.col("hi1")) | (F.col("lo2") < F.col("hi2")) | (F.col("lo1") != F.col("lo2")))
+        & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+        & (F.col("alone1") + F.col("alone2") + F.abs(F.col("lacks1") - F.col("lacks2")) <= most(F.col("n1"), F.col("n2")))
+    )
+    near = written(near.select("f", *[f"{x}{i}" for i in (1, 2) for x in ("n", "alone", "lacks")]), "kinds")
+    own = lambda i: rows.select("f", *[F.col(x).alias(f"{x}{i}") for x in ("v", "c", "n", "alone", "lacks", "spread")])
+    # The same bound counter by counter.
+    apart = F.aggregate(F.zip_with("spread1", "spread2", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    both = near.join(own(1), ["f", "n1", "alone1", "lacks1"]).join(own(2), ["f", "n2", "alone2", "lacks2"])
+    both = both.filter((F.col("c1") != F.col("c2")) & (F.col("alone1") + F.col("alone2") + apart <= most(F.col("n1"), F.col("n2"))))
+    return both.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"))
+
+
+def pivot_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b): each class with the pivot that it shares most prefix entries with, where these are many."""
     rank = F.xxhash64("v", F.lit(turn))
-    pivots = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct(rank.alias("r"), "v", "n")).alias("p")).filter("_k > 1").select("token", F.col("p.v").alias("b"), F.col("p.n").alias("m"))
-    shared = entries.join(pivots, "token").filter((F.col("v") != F.col("b")) & (100 * F.least("n", "m") >= F.lit(PERCENT) * F.greatest("n", "m")))
+    pivots = entries.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "v", "n")).alias("p")).select("token", F.col("p.v").alias("b"), F.col("p.n").alias("m"))
+    shared = entries.join(pivots, "token").filter((F.col("v") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     counted = shared.groupBy(F.col("v").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size")).filter("4 * k >= size")
     return counted.groupBy("a").agg(F.max(F.struct("k", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
-def open_pairs(entries: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all candidate pairs of classes that lie in different components."""
-    near = (100 * F.least("hi1", "hi2") >= percent * F.greatest("lo1", "lo2")) if percent else F.lit(True)
-    own = entries.join(components, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    own = written(own, "entries")
+def open_pairs(entries: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all candidate pairs of classes that lie in different families."""
+    near = 100 * F.least("hi1", "hi2") >= percent * F.greatest("lo1", "lo2")
+    own = written(entries.join(families.withColumnRenamed("f", "c"), "v", "left").withColumn("c", F.coalesce("c", "v")), "entries")
     by_c = own.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("ell"))
-    several = by_c.groupBy("token").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("token")
+    several = written(by_c.groupBy("token").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("token"), "several")
     met = written(by_c.join(several, "token", "left_semi"), "meetings")
     one = met.select("token", F.col("c").alias("c1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("ell").alias("ell1"))
     two = met.select("token", F.col("c").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("ell").alias("ell2"))
     pairs = one.join(two, "token").filter(F.col("c1") < F.col("c2")).filter(near)
-    pairs = pairs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell1", "ell2")).alias("ell")).filter("k >= ell")
-    pairs = written(pairs.select("c1", "c2"), "component-pairs")
+    pairs = pairs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell1", "ell2")).alias("ell"), F.min(F.col("lo1") + F.col("lo2")).alias("lo"), F.max(F.greatest("hi1", "hi2")).alias("hi"))
+    bound = F.greatest("ell", F.col("ell") - F.ceil(F.col("hi") * percent / 100) + F.ceil(F.col("lo") * percent / (100 + percent)))
+    pairs = pairs.filter(F.col("k") >= bound)
+    pairs = written(pairs.select("c1", "c2"), "family-pairs")
+    own = own.join(several, "token", "left_semi")
     cols = lambda i: [F.col(x).alias(f"{x}{i}") for x in ("v", "n", "ell")]
     a = own.select("token", F.col("c").alias("c1"), *cols(1)).join(pairs, "c1")
     b = own.select("token", F.col("c").alias("c2"), *cols(2)).join(pairs, "c2")
     both = a.join(b, ["c1", "c2", "token"]).filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    both = both.groupBy(F.col("v1").alias("a"), F.col("v2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("ell1", "ell2")).alias("ell"))
-    return both.filter("k >= ell").select("a", "b")
+    both = both.groupBy(F.col("v1").alias("a"), F.col("v2").alias("b")).agg(F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in ("n1", "n2", "ell1", "ell2")])
+    return both.filter(F.col("k") >= matches_needed(*[F.col(x) for x in ("n1", "n2", "ell1", "ell2")], percent)).select("a", "b")
 
 
-def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    frequency = frequencies(docs)
+def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs, as a written table."""
+    with scratch() as keep:
+        return keep(_link_components(docs, percent, size), "components")
+
+
+def _link_components(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    frequency = frequencies(docs, size)
     seed = 0
     while True:
-        members = written(members_of(docs, frequency, percent, seed), "members")
+        members = written(members_of(docs, frequency, percent, size, seed), "members")
         classes = members.groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"), F.min("chk").alias("_least"), F.max("chk").alias("_most"))
         classes = written(classes, "classes")
         if classes.filter("_least <> _most").isEmpty():
             break
         seed += 2  # two sets with one key: other keys
     entries = classes.filter("n > 0").select("v", "n", "ell", F.size("prefix").alias("size"), F.explode("prefix").alias("token"))
-    links = None
-    for turn in range(PIVOT_ROUNDS):
-        found = verified(pivot_pairs(entries, turn), docs, classes, percent, seed)
-        links = found if links is None else links.unionByName(found)
-    components = connected_components(links)
-    more = verified(open_pairs(entries, components, percent), docs, classes, percent, seed)
+    # Most shingles occur in one class alone; their entries end here.
+    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("token")
+    entries = written(entries.join(several, "token", "left_semi"), "entries")
+    families = families_of(entries, percent)
+    differences = against_roots(families, docs, classes, percent, size, seed)
+    links = differences.filter("links").select(F.col("v").alias("a"), F.col("f").alias("b"))
+    within = family_pairs(differences, classes, links.select(F.col("a").alias("v"), F.col("b").alias("c")), percent)
+    more = verified(within.unionByName(open_pairs(entries, families, percent)), docs, classes, percent, size, seed)
     components = connected_components(links.unionByName(more))
     named = classes.select("v", "rep").join(components, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -262,14 +356,18 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """docs with one row, that of the least id, of each group of linked documents; all columns stay.
 
-    Rows without an id, or without a shingle, stay as they are."""
-    found = link_components(docs.select("doc_id", "text"), percent)
+    Rows that repeat an id are one document; rows without an id, or without a shingle, stay."""
+    found = link_components(docs.select("doc_id", "text"), percent, size)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
