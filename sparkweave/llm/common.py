@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import contextlib
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,48 +14,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_OWN: list[tuple[SparkSession, str]] = []
+from sparkweave.storage import dropped, scratch, shared_dir, written
 
+__all__ = ["dropped", "fold", "fold_col", "in_tasks", "kept", "parts", "rows_in_arrow", "scratch", "shared_dir", "slices", "texts", "with_column", "written"]
+
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "/tmp/checkpoints/sparkweave"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with small batches, as texts are long, and with memory given back after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":  # the default
+        conf.set(_BATCH, "1000")
+    name = f"{run.__module__}.{run.__qualname__}"
 
-def _forget() -> None:
-    for spark, path in _OWN:
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _of_worker(name)
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may have gone already
-            return
+            yield from run(batches)
+        finally:
+            _give_back()
 
+    return df.mapInArrow(tidy, schema)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkweave-{name}-{uuid.uuid4().hex}"
-    if not _OWN:
-        atexit.register(_forget)
-    _OWN.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+_KEPT: dict[tuple[str, ...], object] = {}
+_LAST = [""]
 
-def dropped(df_or_paths: list[DataFrame]) -> None:
-    """Deletes written tables that no later step reads."""
-    for df in df_or_paths:
-        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
+def _of_worker(name: str) -> None:
+    """A worker that turns to another operator forgets what it kept for the last one."""
+    if _LAST[0] != name:
+        _LAST[0] = name
+        _KEPT.clear()
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def kept(key: tuple[str, ...], make: Callable[[], object]) -> object:
+    """What a worker's tasks of one operator share."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system; workers live on and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def rows_in_arrow(
@@ -76,10 +87,11 @@ def rows_in_arrow(
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, kind)
+    run.__module__, run.__qualname__ = make.__module__, make.__qualname__
+    return in_tasks(df, run, kind)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about most_bytes, so that a few long texts don't fill a worker's memory."""
     n = batch.num_rows
     step = max(1, min(n, int(n * most_bytes / max(1, batch.nbytes)))) if n else 1

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import rows_in_arrow, texts, written
+from sparkweave.llm.common import kept, rows_in_arrow, texts, written
 
 WINDOW, RUN, LEAST_WORDS, LEAST_LITERAL = 8, 10, 5, 4
 MOST_HASHES, MOST_BROADCAST = 2_000_000, 200_000
@@ -154,7 +154,7 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
     """(doc_id, hash, size, doc_at, vals): windows of the sizes in use; with known, only those among these hashes."""
 
     def make():
-        words = Words()
+        words = kept(("templates",), Words)
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "hash", "size", "doc_at", "vals")}

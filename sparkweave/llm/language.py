@@ -140,8 +140,8 @@ def fit_language(docs: DataFrame, teach: Column | None = None) -> Codes | None:
         return None
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
-    return fit_codes(features(x), [r["lang"] for r in got])
+        x[i, np.frombuffer(r["at"], np.uint16)] = features(np.frombuffer(r["n"], np.uint16))
+    return fit_codes(x, [r["lang"] for r in got])
 
 
 def predict(codes: Codes | None, some: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -22,18 +22,17 @@ import bisect
 import zlib
 from array import array
 from collections import defaultdict
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import parts, rows_in_arrow, texts, written
+from sparkweave.llm.common import kept, parts, rows_in_arrow, texts, written
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in each of two generations of a worker's look-up tables.
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 #: Intervals that may be broadcast; the plan has fewer by far, as it doesn't grow with the documents.
 MOST_BROADCAST = 2_000_000
 _END = b"\0\0\0\0"
@@ -120,18 +119,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One for a worker process, whose tasks share what it keeps."""
-    return Encoder(path)
-
-
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row's pieces."""
     path = path or vocabulary_path()
 
     def make():
-        encode = encoder(path).encode
+        encode = kept(("encoder", path), lambda: Encoder(path)).encode
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}

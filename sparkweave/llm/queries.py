@@ -35,6 +35,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 
