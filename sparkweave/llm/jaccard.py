@@ -309,16 +309,14 @@ def open_pairs(entries: DataFrame, families: DataFrame, percent: int) -> DataFra
     met = written(by_c.join(several, "token", "left_semi"), "meetings")
     one = met.select("token", F.col("c").alias("c1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("ell").alias("ell1"))
     two = met.select("token", F.col("c").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("ell").alias("ell2"))
-    pairs = one.join(two, "token").filter(F.col("c1") < F.col("c2")).filter(near)
-    pairs = pairs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell1", "ell2")).alias("ell"), F.min(F.col("lo1") + F.col("lo2")).alias("lo"), F.max(F.greatest("hi1", "hi2")).alias("hi"))
+    met_at = one.join(two, "token").filter(F.col("c1") < F.col("c2")).filter(near)
+    pairs = met_at.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell1", "ell2")).alias("ell"), F.min(F.col("lo1") + F.col("lo2")).alias("lo"), F.max(F.greatest("hi1", "hi2")).alias("hi"))
     bound = F.greatest("ell", F.col("ell") - F.ceil(F.col("hi") * percent / 100) + F.ceil(F.col("lo") * percent / (100 + percent)))
-    pairs = pairs.filter(F.col("k") >= bound)
-    pairs = written(pairs.select("c1", "c2"), "family-pairs")
-    own = own.join(several, "token", "left_semi")
-    cols = lambda i: [F.col(x).alias(f"{x}{i}") for x in ("v", "n", "ell")]
-    a = own.select("token", F.col("c").alias("c1"), *cols(1)).join(pairs, "c1")
-    b = own.select("token", F.col("c").alias("c2"), *cols(2)).join(pairs, "c2")
-    both = a.join(b, ["c1", "c2", "token"]).filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    pairs = written(pairs.filter(F.col("k") >= bound).select("c1", "c2"), "family-pairs")
+    # Only the entries at which two such families meet are opened.
+    met_at = met_at.select("token", "c1", "c2").join(pairs, ["c1", "c2"], "left_semi")
+    cols = lambda i: own.select("token", F.col("c").alias(f"c{i}"), *[F.col(x).alias(f"{x}{i}") for x in ("v", "n", "ell")])
+    both = met_at.join(cols(1), ["token", "c1"]).join(cols(2), ["token", "c2"]).filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
     both = both.groupBy(F.col("v1").alias("a"), F.col("v2").alias("b")).agg(F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in ("n1", "n2", "ell1", "ell2")])
     return both.filter(F.col("k") >= matches_needed(*[F.col(x) for x in ("n1", "n2", "ell1", "ell2")], percent)).select("a", "b")
 
