@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from sparkweave.storage import dropped, scratch, shared_dir, written
 
-__all__ = ["dropped", "fold", "fold_col", "in_tasks", "kept", "parts", "rows_in_arrow", "scratch", "shared_dir", "slices", "texts", "with_column", "written"]
+__all__ = ["dropped", "fold", "fold_col", "in_tasks", "kept", "parts", "rows_in_arrow", "scratch", "shared_dir", "slices", "texts", "with_column", "without", "written"]
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -91,6 +91,17 @@ def rows_in_arrow(
     return in_tasks(df, run, kind)
 
 
+#: Ids that may be broadcast.
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows with an id among gone (doc_id), which is broadcast where it is small, so that texts needn't move."""
+    gone = written(gone.distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about most_bytes, so that a few long texts don't fill a worker's memory."""
     n = batch.num_rows

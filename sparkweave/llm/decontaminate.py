@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import kept, rows_in_arrow, texts, written
+from sparkweave.llm.common import kept, rows_in_arrow, texts, without, written
 
 WINDOW, RUN, LEAST_WORDS, LEAST_LITERAL = 8, 10, 5, 4
 MOST_HASHES, MOST_BROADCAST = 2_000_000, 200_000
@@ -204,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents; all columns stay, and so do documents with a null id."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark).select("doc_id"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

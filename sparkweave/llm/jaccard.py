@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import in_tasks, rows_in_arrow, scratch, texts, written
+from sparkweave.llm.common import in_tasks, rows_in_arrow, scratch, texts, without, written
 from sparkweave.operators.components import connected_components
 
 #: The threshold in hundredths: an overlap of at least PERCENT * union / 100.
@@ -359,8 +359,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
 
     Rows that repeat an id are one document; rows without an id, or without a shingle, stay."""
     found = link_components(docs.select("doc_id", "text"), percent, size)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = without(docs, found.filter("component_id <> doc_id").select("doc_id"))
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("doc_id")
     if again.isEmpty():
         return kept

@@ -1,7 +1,7 @@
 """Language ID by error-correcting output codes (operator 3).
 
 Every language gets a codeword; one binary classifier per codeword bit predicts that bit from hashed
-byte 1- to 4-gram frequencies of the whole lower-cased text. Loss-weighted decoding adds the logistic loss
+byte 2- to 4-gram frequencies of the whole lower-cased text. Loss-weighted decoding adds the logistic loss
 of each bit, weighted by that bit's training accuracy, and takes the nearest codeword; a text whose two
 nearest codewords lie close together is flagged as ambiguous.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkweave.llm.common import fold_col, rows_in_arrow, texts
 
 BUCKETS = 8192
-#: Rows that the classifiers are fitted on, over all languages.
+#: Labelled rows, as expected by their hashes, that the classifiers are fitted on, over all languages.
 MOST_TRAIN = 2400
 #: Characters handled at once, for bounded memory.
 CHUNK = 1 << 20
@@ -59,7 +59,7 @@ def codewords(n: int) -> np.ndarray:
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """Counts of the hashed byte 1- to 4-grams of the whole text."""
+    """Counts of the hashed byte 2- to 4-grams of the whole text."""
     total = np.zeros(BUCKETS, dtype=np.int64)
     for at in range(0, max(1, len(text)), CHUNK):
         b = np.frombuffer((" " + text[max(0, at - 3) : at + CHUNK].lower() + " ").encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
