@@ -2,8 +2,10 @@
 
 Texts become templates: numbers, units and names turn into typed placeholders, other words into their
 lower-cased letters. Windows of WINDOW template words are hashed together with the equality pattern of
-their slots, and document windows meet benchmark windows in a hash join. Matches that continue one another
-(same item, same distance between the places) form a run; a run counts when it spans RUN words, or
+their slots, and document windows meet benchmark windows in a hash join. Beside them, windows of the same words
+without any placeholder meet one another, whatever their slots. Matches that continue one another
+(same item, same distance between the places) form a run. Template windows with few plain words lengthen or bridge a run, but
+don't make one by themselves. A run counts when it spans RUN words, or
 a shorter item but for a word, and its slots are consistent: one value of the item always stands for one value of
 the document, so that re-parameterised questions are caught and chance matches of templates are not.
 
@@ -45,6 +47,9 @@ STRIP = ".,;:!?\"'()[]{}<>«»“”‘’¿¡*_#`~|"
 #: What each word's entry says beside its template and its own hash.
 NUM, UNIT, CAPITAL, ENDS, LITERAL = 1, 2, 4, 8, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of benchmark windows: template with few plain words, template with enough, words as they are.
+POOR, ENOUGH, PLAIN = 0, 1, 2
+_PLAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words(dict):
@@ -97,61 +102,99 @@ def template(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return t[kept], v[kept], (name | ((f & (NUM | UNIT)) > 0))[kept]
 
 
-def window_hashes(t: np.ndarray, v: np.ndarray, slot: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window with the equality pattern of its slots; and whether it has enough plain words."""
-    n = len(t) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+def _bare(t: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window of template words, without its slots' pattern."""
+    h = np.zeros(max(0, len(t) - size + 1), np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for k in range(size):
-            h = (h ^ t[k : k + n]) * _MIX
+        for k in range(size if len(h) else 0):
+            h = (h ^ t[k : k + len(h)]) * _MIX
             h ^= h >> np.uint64(29)
-        held = np.concatenate([[0], np.cumsum(slot)])
-        inside = held[size:] - held[:-size]
-        for p in np.flatnonzero(inside > 1):
-            at = np.flatnonzero(slot[p : p + size])
-            seen: dict[int, int] = {}
-            pattern = [seen.setdefault(int(x), len(seen)) for x in v[p + at]]
-            h[p] ^= np.uint64(_hash(str(pattern)))
+    return h
+
+
+def _pattern(v: np.ndarray, slot: np.ndarray) -> np.uint64:
+    """Hash of the equality pattern of a window's slots."""
+    seen: dict[int, int] = {}
+    return np.uint64(_hash(str([seen.setdefault(int(x), len(seen)) for x in v[slot]])))
+
+
+def _slots_inside(slot: np.ndarray, size: int) -> np.ndarray:
+    held = np.concatenate([[0], np.cumsum(slot)])
+    return held[size:] - held[:-size]
+
+
+def window_hashes(t: np.ndarray, v: np.ndarray, slot: np.ndarray, size: int = WINDOW, bases: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window with the equality pattern of its slots; and whether it has enough plain words.
+
+    With bases, the sorted bare hashes of the other side, windows beyond them keep their bare hash, which no window with a pattern has."""
+    h = _bare(t, size)
+    if not len(h):
+        return h, np.zeros(0, bool)
+    inside = _slots_inside(slot, size)
+    many = inside > 1
+    if bases is not None:
+        many &= among(h, bases)
+    for p in np.flatnonzero(many):
+        h[p] ^= _pattern(v[p : p + size], slot[p : p + size])
     return h, size - inside >= min(LEAST_LITERAL, size - 1)
 
 
-def _windows(text: str, words: Words, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Window hashes that count and their places, the template's values and slots, its length, the window's size.
+def plain_hashes(v: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Hash of each window of words as they are, but for case and outer punctuation."""
+    h = np.full(max(0, len(v) - size + 1), _PLAIN, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size if len(h) else 0):
+            h *= _MIX
+            h += v[k : k + len(h)]
+    return h ^ (h >> np.uint64(29))
+
 
-    whole: a text shorter than a window gives one window of its own length."""
-    t, v, slot = template(text, words)
-    size = len(t) if whole and LEAST_WORDS <= len(t) < WINDOW else WINDOW
-    h, good = window_hashes(t, v, slot, size)
-    at = np.flatnonzero(good)
-    return h[at], at, v, slot, len(t), size
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted array known."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _reaching(met: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """The places of met whose unbroken stretch has a strong one."""
+    at = np.flatnonzero(met)
+    if not len(at):
+        return at
+    stretch = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
+    return at[np.bincount(stretch, strong[at])[stretch] > 0]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, size, item_id, item_at, item_words, slots, values): every window of every item."""
+    """(hash, bare, size, kind, item_id, item_at, item_words, slots, vals): every window of every item, by template and by its plain words.
+
+    An item shorter than a window gives one window of its own length."""
 
     def make():
         words = Words()
 
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("hash", "size", "item_id", "item_at", "item_words", "slots", "vals")}
+            out: dict[str, list] = {k: [] for k in ("hash", "bare", "size", "kind", "item_id", "item_at", "item_words", "slots", "vals")}
             for item, text in zip(batch.column("item_id").to_pylist(), texts(batch), strict=True):
-                h, at, v, slot, n, size = _windows(text, words, True)
-                for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
+                t, v, slot = template(text, words)
+                size = len(t) if LEAST_WORDS <= len(t) < WINDOW else WINDOW
+                bare, (h, good), plain = _bare(t, size), window_hashes(t, v, slot, size), plain_hashes(v, size)
+                for p in range(len(h)):
                     here = np.flatnonzero(slot[p : p + size])
-                    for k, y in (("hash", x), ("size", size), ("item_id", item), ("item_at", p), ("item_words", n), ("slots", here.tolist()), ("vals", v[p + here].view(np.int64).tolist())):
-                        out[k].append(y)
+                    vals = v[p + here].view(np.int64).tolist()
+                    for x, kind in ((h, ENOUGH if good[p] else POOR), (plain, PLAIN)):
+                        for k, y in (("hash", int(x[p : p + 1].view(np.int64)[0])), ("bare", int(bare[p : p + 1].view(np.int64)[0])), ("size", size), ("kind", kind), ("item_id", item), ("item_at", p), ("item_words", len(t)), ("slots", here.tolist()), ("vals", vals)):
+                            out[k].append(y)
             return out
 
         return run
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return rows_in_arrow(benchmark.select("item_id", "text"), make, f"hash long, size int, item_id {kind}, item_at int, item_words int, slots array<int>, vals array<long>")
+    return rows_in_arrow(benchmark.select("item_id", "text"), make, f"hash long, bare long, size int, kind int, item_id {kind}, item_at int, item_words int, slots array<int>, vals array<long>")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
-    """(doc_id, hash, size, doc_at, vals): windows of the sizes in use; with known, only those among these hashes."""
+def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None, bases: np.ndarray | None) -> DataFrame:
+    """(doc_id, hash, size, doc_at, vals): windows of the sizes in use, by template and by their plain words, the latter without vals.
+
+    With known and bases, only those with their hash among known, in stretches that can make a run."""
 
     def make():
         words = kept(("templates",), Words)
@@ -161,14 +204,21 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 t, v, slot = template(text, words)
                 for size in sizes:
-                    h, good = window_hashes(t, v, slot, size)
-                    if known is not None and len(h):
-                        near = known[np.minimum(np.searchsorted(known, h), len(known) - 1)]
-                        good &= near == h
-                    for p in np.flatnonzero(good).tolist():
-                        here = np.flatnonzero(slot[p : p + size])
-                        for k, y in (("doc_id", doc), ("hash", int(h[p : p + 1].view(np.int64)[0])), ("size", size), ("doc_at", p), ("vals", v[p + here].view(np.int64).tolist())):
-                            out[k].append(y)
+                    (h, good), plain = window_hashes(t, v, slot, size, bases), plain_hashes(v, size)
+                    if known is None:
+                        by_template = by_plain = np.ones(len(h), bool)
+                        at = np.arange(len(h))
+                    else:
+                        by_template, by_plain = among(h, known), among(plain, known)
+                        at = _reaching(by_template | by_plain, by_template & good | by_plain)
+                    for p in at.tolist():
+                        if by_template[p]:
+                            here = np.flatnonzero(slot[p : p + size])
+                            for k, y in (("doc_id", doc), ("hash", int(h[p : p + 1].view(np.int64)[0])), ("size", size), ("doc_at", p), ("vals", v[p + here].view(np.int64).tolist())):
+                                out[k].append(y)
+                        if by_plain[p]:
+                            for k, y in (("doc_id", doc), ("hash", int(plain[p : p + 1].view(np.int64)[0])), ("size", size), ("doc_at", p), ("vals", [])):
+                                out[k].append(y)
             return out
 
         return run
@@ -184,19 +234,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not size["n"]:
         none = docs.select("doc_id").limit(0)
         return none.join(benchmark.select("item_id").limit(0), F.lit(True)).withColumn("n_windows", F.lit(0).cast("long")).withColumn("n_words", F.lit(0).cast("long"))
-    hashes = None
+    hashes = bases = None
     if size["n"] <= MOST_HASHES:
-        hashes = np.sort(np.array([r["hash"] for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64))
-    found = document_windows(docs, size["sizes"], hashes)
-    known = known.withColumnRenamed("vals", "item_vals")
+        hashes, bases = (np.sort(np.array([r[0] for r in known.select(k).distinct().collect()], np.int64).view(np.uint64)) for k in ("hash", "bare"))
+    found = document_windows(docs, size["sizes"], hashes, bases)
+    known = known.drop("bare").withColumnRenamed("vals", "item_vals")
     known = F.broadcast(known) if size["n"] <= MOST_BROADCAST else known
-    pairs = written(found.join(known, ["hash", "size"]).withColumn("apart", F.col("doc_at") - F.col("item_at")), "windows")
+    # Windows of plain words stand for the item's own values.
+    pairs = found.join(known, ["hash", "size"]).withColumn("apart", F.col("doc_at") - F.col("item_at")).withColumn("vals", F.expr(f"IF(kind = {PLAIN}, item_vals, vals)"))
+    pairs = written(pairs, "windows")
     run = ["doc_id", "item_id", "item_words", "apart"]
-    spans = pairs.groupBy(*run, "item_at", "size").agg(F.min("doc_at").alias("doc_at"))
+    spans = pairs.groupBy(*run, "item_at", "size").agg(F.max((F.col("kind") != POOR).cast("int")).alias("strong"))
     # Runs without a gap, by the usual row-number difference; a run's rows are bounded by its item's length.
     gap = spans.withColumn("island", F.expr("item_at - row_number() OVER (PARTITION BY doc_id, item_id, item_words, apart ORDER BY item_at)"))
-    runs = gap.groupBy(*run, "island").agg(F.count(F.lit(1)).alias("n_windows"), F.min("item_at").alias("lo"), F.max(F.col("item_at") + F.col("size")).alias("hi"))
-    runs = runs.withColumn("n_words", (F.col("hi") - F.col("lo")).cast("long")).filter(F.col("n_words") >= F.least(F.lit(RUN), F.col("item_words") - 1))
+    runs = gap.groupBy(*run, "island").agg(F.count(F.lit(1)).alias("n_windows"), F.min("item_at").alias("lo"), F.max(F.col("item_at") + F.col("size")).alias("hi"), F.max("strong").alias("strong"))
+    runs = runs.filter("strong = 1").withColumn("n_words", (F.col("hi") - F.col("lo")).cast("long")).filter(F.col("n_words") >= F.least(F.lit(RUN), F.col("item_words") - 1))
     slots = pairs.filter(F.size("vals") > 0).select(*run, F.explode(F.arrays_zip("item_vals", "vals")).alias("s")).select(*run, F.col("s.item_vals").alias("a"), F.col("s.vals").alias("b")).distinct()
     many = slots.groupBy(*run, "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*run).distinct()
     return runs.join(many, run, "left_anti").groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.max("n_words").alias("n_words"))

@@ -51,3 +51,15 @@ def test_filter_keeps_clean_documents(spark, docs_of):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     out = d.drop_contaminated(docs, bench)
     assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["2", "2", "3", "None"]
+
+
+BOAT = "A boat goes 40 km at 8 km per hour and Maria pays 12 dollars for 3 hours on it"
+NAMES = "the guests were Anna Berg, Boris Cole, Carla Diaz, David Egan, Elena Fox, Felix Gray, Greta Hall and Hugo Iver"
+
+
+def test_copies_with_few_plain_words_are_whole(spark, docs_of):
+    other = BOAT.replace("40", "55").replace("Maria", "Tomas").replace("12", "17")
+    docs = docs_of([(1, f"some words. {BOAT}. more words"), (2, f"some words. {other}. more words"), (3, f"so {NAMES}, he said"), (4, f"so {ITEM}."), (5, "Anna Berg and Carla Diaz pay 12 dollars for 3 hours " * 3)])
+    got = found(spark, docs, [(1, BOAT), (2, NAMES), (3, ITEM)])
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 3)}
+    assert got[1, 1]["n_words"] == got[2, 1]["n_words"] == 20 and got[3, 2]["n_words"] == 20 and got[4, 3]["n_words"] >= 25
