@@ -7,7 +7,8 @@ without any placeholder meet one another, whatever their slots. Matches that con
 (same item, same distance between the places) form a run. Template windows with few plain words lengthen or bridge a run, but
 don't make one by themselves. A run counts when it spans RUN words, or
 a shorter item but for a word, and its slots are consistent: one value of the item always stands for one value of
-the document, so that re-parameterised questions are caught and chance matches of templates are not.
+the document, so that re-parameterised questions are caught and chance matches of templates are not. A run whose slots
+conflict is split there, and each consistent stretch of BROKEN_RUN words counts by itself.
 
 Document windows are tested against the sorted benchmark hashes while texts are read, so only matches leave
 the scan. These hashes are broadcast when there are at most MOST_HASHES of them; beyond that all document
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from sparkweave.llm.common import kept, rows_in_arrow, texts, without, written
 
 WINDOW, RUN, LEAST_WORDS, LEAST_LITERAL = 8, 10, 5, 4
+#: Words of a stretch that counts although its run's slots conflict elsewhere; shorter ones may be another question.
+BROKEN_RUN = 2 * RUN
 MOST_HASHES, MOST_BROADCAST = 2_000_000, 200_000
 #: Words kept in a worker's look-up table.
 MOST_WORDS = 400_000
@@ -244,14 +247,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = found.join(known, ["hash", "size"]).withColumn("apart", F.col("doc_at") - F.col("item_at")).withColumn("vals", F.expr(f"IF(kind = {PLAIN}, item_vals, vals)"))
     pairs = written(pairs, "windows")
     run = ["doc_id", "item_id", "item_words", "apart"]
-    spans = pairs.groupBy(*run, "item_at", "size").agg(F.max((F.col("kind") != POOR).cast("int")).alias("strong"))
+    spans = pairs.groupBy(*run, "item_at", "size").agg(F.max((F.col("kind") != POOR).cast("int")).alias("strong"), F.collect_set(F.arrays_zip(F.col("item_vals").alias("a"), F.col("vals").alias("b"))).alias("slots"))
     # Runs without a gap, by the usual row-number difference; a run's rows are bounded by its item's length.
     gap = spans.withColumn("island", F.expr("item_at - row_number() OVER (PARTITION BY doc_id, item_id, item_words, apart ORDER BY item_at)"))
-    runs = gap.groupBy(*run, "island").agg(F.count(F.lit(1)).alias("n_windows"), F.min("item_at").alias("lo"), F.max(F.col("item_at") + F.col("size")).alias("hi"), F.max("strong").alias("strong"))
-    runs = runs.filter("strong = 1").withColumn("n_words", (F.col("hi") - F.col("lo")).cast("long")).filter(F.col("n_words") >= F.least(F.lit(RUN), F.col("item_words") - 1))
-    slots = pairs.filter(F.size("vals") > 0).select(*run, F.explode(F.arrays_zip("item_vals", "vals")).alias("s")).select(*run, F.col("s.item_vals").alias("a"), F.col("s.vals").alias("b")).distinct()
-    many = slots.groupBy(*run, "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*run).distinct()
-    return runs.join(many, run, "left_anti").groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.max("n_words").alias("n_words"))
+    runs = gap.groupBy(*run, "island").agg(
+        F.first("size").alias("size"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_list(F.struct("item_at", "strong", F.flatten("slots").alias("slots")))).alias("windows"),
+    )
+    runs = runs.filter("strong = 1").filter(F.col("n") + F.col("size") - 1 >= F.least(F.lit(RUN), F.col("item_words") - 1))
+    return _counted(runs).groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.max("n_words").alias("n_words"))
+
+
+def consistent(slots: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The longest stretches, as (first, last + 1), of windows in which no value of the item stands for two of the document."""
+    out, lo = [], 0
+    last: dict[int, dict[int, int]] = {}  # value of the item: value of the document: last window with both
+    for at, pairs in enumerate(slots):
+        for a, b in pairs:
+            last.setdefault(a, {})[b] = at
+        new = max([lo, *(k + 1 for a in {a for a, _ in pairs} if len(last[a]) > 1 for k in sorted(last[a].values())[:-1])])
+        if new > lo:
+            if at > lo:
+                out.append((lo, at))
+            lo = new
+    return [*out, (lo, len(slots))] if len(slots) > lo else out
+
+
+def _counted(runs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_words) of the runs that count, split where slots conflict."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_windows", "n_words")}
+            for r in batch.to_pylist():
+                windows = r["windows"]
+                parts = consistent([[(x["a"], x["b"]) for x in w["slots"]] for w in windows])
+                least = min(RUN, r["item_words"] - 1) if parts == [(0, len(windows))] else BROKEN_RUN
+                parts = [(x, y) for x, y in parts if y - x + r["size"] - 1 >= least and any(w["strong"] for w in windows[x:y])]
+                if parts:
+                    held = set().union(*(range(x, y) for x, y in parts))
+                    for k, y in (("doc_id", r["doc_id"]), ("item_id", r["item_id"]), ("n_windows", len(held)), ("n_words", max(y - x for x, y in parts) + r["size"] - 1)):
+                        out[k].append(y)
+            return out
+
+        return run
+
+    doc, item = (runs.schema[k].dataType.simpleString() for k in ("doc_id", "item_id"))
+    return rows_in_arrow(runs.select("doc_id", "item_id", "item_words", "size", "windows"), make, f"doc_id {doc}, item_id {item}, n_windows long, n_words long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

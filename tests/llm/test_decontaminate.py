@@ -63,3 +63,19 @@ def test_copies_with_few_plain_words_are_whole(spark, docs_of):
     got = found(spark, docs, [(1, BOAT), (2, NAMES), (3, ITEM)])
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 3)}
     assert got[1, 1]["n_words"] == got[2, 1]["n_words"] == 20 and got[3, 2]["n_words"] == 20 and got[4, 3]["n_words"] >= 25
+
+
+def test_one_changed_value_leaves_the_rest_of_a_long_passage(spark, docs_of):
+    rng = random.Random(4)
+    plain = lambda n: " ".join(f"word{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
+    passage = " ".join(f"{plain(18)} Maria has 5" for _ in range(9))
+    at = passage.rindex("5", 0, -1)
+    docs = docs_of([(1, passage[:at] + "6" + passage[at + 1 :]), (2, passage.replace("Maria", "Mario", 1)), (3, passage), (4, passage.replace("5", "8"))])
+    got = found(spark, docs, [(1, passage)])
+    assert set(got) == {(k, 1) for k in (1, 2, 3, 4)} and got[1, 1]["n_words"] > 150 and got[2, 1]["n_words"] > 150 and got[3, 1]["n_words"] == 189
+
+
+def test_consistent_stretches():
+    assert d.consistent([[(1, 1)], [(1, 1)], [], [(1, 2)], [(1, 2)]]) == [(0, 3), (2, 5)]
+    assert d.consistent([[(1, 1)], [(2, 1)]]) == [(0, 2)] and d.consistent([[(1, 1), (1, 2)], [(3, 3)]]) == [(1, 2)] and d.consistent([]) == []
+    assert d.consistent([[(1, 1)], [(1, 2)], [(1, 1)]]) == [(0, 1), (1, 2), (2, 3)]
