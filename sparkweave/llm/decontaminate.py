@@ -47,6 +47,8 @@ UNITS = frozenset(
 NUMBER = re.compile(r"[$€£]?[-+]?[0-9][0-9.,:/]*(?:[a-z%°]{0,3})")
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 STRIP = ".,;:!?\"'()[]{}<>«»“”‘’¿¡*_#`~|"
+#: Signs within words that copies write in different ways.
+APOSTROPHES = str.maketrans("", "", "'’‘`´")
 #: What each word's entry says beside its template and its own hash.
 NUM, UNIT, CAPITAL, ENDS, LITERAL = 1, 2, 4, 8, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +77,7 @@ class Words(dict):
         at = self[raw] = len(self)
         if at >= len(self.t):
             self.t, self.v, self.f = (np.concatenate([x, np.zeros_like(x)]) for x in (self.t, self.v, self.f))
-        self.t[at], self.v[at], self.f[at] = _hash(kind), _hash("=" + low), flags
+        self.t[at], self.v[at], self.f[at] = _hash(kind), _hash("=" + low.translate(APOSTROPHES)), flags
         return at
 
     def of(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,24 +128,24 @@ def _slots_inside(slot: np.ndarray, size: int) -> np.ndarray:
     return held[size:] - held[:-size]
 
 
-def window_hashes(t: np.ndarray, v: np.ndarray, slot: np.ndarray, size: int = WINDOW, bases: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(t: np.ndarray, v: np.ndarray, slot: np.ndarray, size: int = WINDOW, bases: Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window with the equality pattern of its slots; and whether it has enough plain words.
 
-    With bases, the sorted bare hashes of the other side, windows beyond them keep their bare hash, which no window with a pattern has."""
+    With bases, the bare hashes of the other side, windows beyond them keep their bare hash, which no window with a pattern has."""
     h = _bare(t, size)
     if not len(h):
         return h, np.zeros(0, bool)
     inside = _slots_inside(slot, size)
     many = inside > 1
     if bases is not None:
-        many &= among(h, bases)
+        many &= bases.holds(h)
     for p in np.flatnonzero(many):
         h[p] ^= _pattern(v[p : p + size], slot[p : p + size])
     return h, size - inside >= min(LEAST_LITERAL, size - 1)
 
 
 def plain_hashes(v: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """Hash of each window of words as they are, but for case and outer punctuation."""
+    """Hash of each window of words as they are, but for case, apostrophes and outer punctuation, so that no capital or full stop decides."""
     h = np.full(max(0, len(v) - size + 1), _PLAIN, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size if len(h) else 0):
@@ -152,9 +154,21 @@ def plain_hashes(v: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of h are in the sorted array known."""
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+class Hashes:
+    """A set of hashes: sorted, after a table of their first bits that turns most others away."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
+        bits = min(24, max(12, (16 * len(known)).bit_length()))
+        self.shift, self.first = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.first[known >> self.shift] = True
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = self.first[h >> self.shift]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.known[np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)] == h[at]
+        return out
 
 
 def _reaching(met: np.ndarray, strong: np.ndarray) -> np.ndarray:
@@ -201,18 +215,19 @@ def document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None
 
     def make():
         words = kept(("templates",), Words)
+        here_known, here_bases = (None if x is None else Hashes(x) for x in (known, bases))
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "hash", "size", "doc_at", "vals")}
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 t, v, slot = template(text, words)
                 for size in sizes:
-                    (h, good), plain = window_hashes(t, v, slot, size, bases), plain_hashes(v, size)
-                    if known is None:
+                    (h, good), plain = window_hashes(t, v, slot, size, here_bases), plain_hashes(v, size)
+                    if here_known is None:
                         by_template = by_plain = np.ones(len(h), bool)
                         at = np.arange(len(h))
                     else:
-                        by_template, by_plain = among(h, known), among(plain, known)
+                        by_template, by_plain = here_known.holds(h), here_known.holds(plain)
                         at = _reaching(by_template | by_plain, by_template & good | by_plain)
                     for p in at.tolist():
                         if by_template[p]:
@@ -247,12 +262,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = found.join(known, ["hash", "size"]).withColumn("apart", F.col("doc_at") - F.col("item_at")).withColumn("vals", F.expr(f"IF(kind = {PLAIN}, item_vals, vals)"))
     pairs = written(pairs, "windows")
     run = ["doc_id", "item_id", "item_words", "apart"]
-    spans = pairs.groupBy(*run, "item_at", "size").agg(F.max((F.col("kind") != POOR).cast("int")).alias("strong"), F.collect_set(F.arrays_zip(F.col("item_vals").alias("a"), F.col("vals").alias("b"))).alias("slots"))
+    spans = pairs.groupBy(*run, "item_at", "size").agg(F.max((F.col("kind") != POOR).cast("int")).alias("strong"), F.max((F.col("kind") == ENOUGH).cast("int")).alias("enough"), F.collect_set(F.arrays_zip(F.col("item_vals").alias("a"), F.col("vals").alias("b"))).alias("slots"))
     # Runs without a gap, by the usual row-number difference; a run's rows are bounded by its item's length.
     gap = spans.withColumn("island", F.expr("item_at - row_number() OVER (PARTITION BY doc_id, item_id, item_words, apart ORDER BY item_at)"))
     runs = gap.groupBy(*run, "island").agg(
         F.first("size").alias("size"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("item_at", "strong", F.flatten("slots").alias("slots")))).alias("windows"),
+        F.array_sort(F.collect_list(F.struct("item_at", "strong", "enough", F.flatten("slots").alias("slots")))).alias("windows"),
     )
     runs = runs.filter("strong = 1").filter(F.col("n") + F.col("size") - 1 >= F.least(F.lit(RUN), F.col("item_words") - 1))
     return _counted(runs).groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.max("n_words").alias("n_words"))
@@ -281,8 +296,10 @@ def _counted(runs: DataFrame) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_windows", "n_words")}
             for r in batch.to_pylist():
                 windows = r["windows"]
-                parts = consistent([[(x["a"], x["b"]) for x in w["slots"]] for w in windows])
-                least = min(RUN, r["item_words"] - 1) if parts == [(0, len(windows))] else BROKEN_RUN
+                slots = [[(x["a"], x["b"]) for x in w["slots"]] for w in windows]
+                parts, enough = consistent(slots), [s for s, w in zip(slots, windows, strict=True) if w["enough"]]
+                # Windows with few plain words may break off without making the others' run doubtful.
+                least = min(RUN, r["item_words"] - 1) if consistent(enough) in ([], [(0, len(enough))]) else BROKEN_RUN
                 parts = [(x, y) for x, y in parts if y - x + r["size"] - 1 >= least and any(w["strong"] for w in windows[x:y])]
                 if parts:
                     held = set().union(*(range(x, y) for x, y in parts))

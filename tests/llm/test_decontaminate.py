@@ -79,3 +79,12 @@ def test_consistent_stretches():
     assert d.consistent([[(1, 1)], [(1, 1)], [], [(1, 2)], [(1, 2)]]) == [(0, 3), (2, 5)]
     assert d.consistent([[(1, 1)], [(2, 1)]]) == [(0, 2)] and d.consistent([[(1, 1), (1, 2)], [(3, 3)]]) == [(1, 2)] and d.consistent([]) == []
     assert d.consistent([[(1, 1)], [(1, 2)], [(1, 1)]]) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_case_and_punctuation_hide_no_copy(spark, docs_of):
+    item = "Anna's boat left at dawn. Boris didn't see it. The harbour of Genoa was cold, and nobody waved. Carla wrote it down. Then Anna came home."
+    forms = [item.upper(), item.title().replace("'S", "'s").replace("'T", "'t"), item.lower(), item.replace(".", ""), item.replace("'", "’"), item.replace(",", "").replace(".", ";").upper()]
+    docs = docs_of([(k, f"some text before {t} some text after") for k, t in enumerate(forms)])
+    got = found(spark, docs, [(1, item), (2, ITEM.upper())])
+    assert set(got) == {(k, 1) for k in range(len(forms))} and all(r["n_words"] == len(item.split()) for r in got.values())
+    assert set(found(spark, docs_of([(1, ITEM.title()), (2, ITEM)]), [(1, ITEM), (2, ITEM.upper())])) == {(i, k) for i in (1, 2) for k in (1, 2)}
