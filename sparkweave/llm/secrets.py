@@ -3,7 +3,9 @@
 Base spans follow three fixed patterns. Beside them, every long mixed token in a sensitive context is a
 candidate: a zstandard compressor, primed with a dictionary of common identifiers, packs the surrounding
 text with and without the candidate, and the bytes that the candidate adds tell how much of it neither the
-dictionary nor the surroundings explain. Strings that stay incompressible are reported as `novel`.
+dictionary nor the surroundings explain. Strings that stay incompressible are reported as `novel`. In NAME=value the
+value is the candidate and the name belongs to its context. Letters without digits count wherever they are assigned; in prose
+only if they aren't built like words.
 
 Work on a text is linear: byte look-ups decide which patterns can match at all.
 
@@ -41,13 +43,18 @@ ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 12345678 2020-01-01 2021 2022 2023
 """
 SENSITIVE = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|sign|login|session|api", re.I | re.A)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-NEAR = 64
+#: A variable's name and its sign in a candidate, whose value follows.
+NAMED = re.compile(r"[A-Za-z_-][A-Za-z0-9_/-]*=+(?=[^=])")
+#: What ends the text before a value that is assigned.
+ASSIGNED = re.compile(r"""[:=]\x20*["'`]?\Z""")
+#: Parts of a candidate that can be words.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NEAR, LEAST, WORDLIKE = 64, 16, 4
 #: Bytes that a candidate must add, as a share of its length.
 NOVEL_SHARE = 0.5
 
 _RUN = bytes(ord("t") if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_=-") else ord(" ") for i in range(256))
 _HEX = bytes(ord("h") if chr(i) in "0123456789abcdef" else ord(" ") for i in range(256))
-_DIGITS = b"0123456789"
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
@@ -77,20 +84,33 @@ class Novelty:
         return whole - len(self.pack.compress(around.encode("utf-8", "replace")))
 
 
+def wordlike(candidate: str) -> bool:
+    """Letters without digits whose parts are as long as words: in prose these are as novel as secrets to the compressor."""
+    parts = PART.findall(candidate)
+    return sum(map(len, parts)) >= WORDLIKE * len(parts)
+
+
 def novel_spans(text: str, raw: bytes, novelty: Novelty, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    if b"t" * 16 not in raw.translate(_RUN) or len(raw.translate(None, _DIGITS)) == len(raw):
+    if b"t" * LEAST not in raw.translate(_RUN):
         return []
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        word = m[0]
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+        named = NAMED.match(text, s, e)
+        # The name of an assigned value is its context, unless the value alone is too short.
+        start = named.end() if named and e - named.end() >= LEAST else s
+        word = text[start:e]
+        if not any(c.isalpha() for c in word):
+            continue
+        if any(start < y and x < e for _, x, y in taken):
+            continue
+        before, after = text[max(0, s - NEAR) : start], text[e : e + NEAR]
+        if not SENSITIVE.search(before):
             continue
-        if any(s < y and x < e for _, x, y in taken):
+        if not any(c.isdigit() for c in word) and not ASSIGNED.search(before) and wordlike(word):
             continue
-        before, after = text[max(0, s - NEAR) : s], text[e : e + NEAR]
-        if SENSITIVE.search(before) and novelty.added(before, word, after) >= NOVEL_SHARE * len(word):
-            found.append(("novel", s, e))
+        if novelty.added(before, word, after) >= NOVEL_SHARE * len(word):
+            found.append(("novel", start, e))
     return found
 
 

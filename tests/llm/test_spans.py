@@ -76,3 +76,16 @@ def test_pii_rows_and_masks(spark, docs_of):
     assert out.columns == df.columns and out.count() == df.count() and masked[1] is None and masked[32] == "Plain prose stays."
     assert masked[30] == "Write to é<EMAIL> or call <PHONE> from <IP>, card <CARD>." and "Anna" not in masked[31]
     assert pii.label_pii(df.limit(0), pii.fit_pii(df.limit(0))).count() == 0
+
+
+def test_novel_values_of_assignments():
+    n = secrets.Novelty()
+    value = "kJ8s7df6Qx2mVw4TzB1rLc9P"
+    for head in ("export AWS_SECRET_ACCESS_KEY=", "DB_AUTH=", "https://x.example/p?a=1&auth=", "--private-key=", "MY_LOGIN='", "auth: ", "SIGN_SALT=="):
+        t = f"{head}{value} then"
+        assert f"novel:{len(head)}:{len(head) + len(value)}" in secrets.joined(secrets.find_secrets(t, n)[1], secrets.KINDS), t
+    letters = "qWzXpLmNvBtRkJhGfDsA"
+    for t in (f"DB_AUTH={letters}", f"the private material was {letters} then", "auth = zqxwvkjhgfpmtrbnd"):
+        assert [k for k, _, _ in secrets.find_secrets(t, n)[1]] == ["novel"], t
+    for t in ("the key is characteristically counterrevolutionaries", f"PLAIN_SIZE={value}", "auth ====================", "the key is in AuthenticationManagerBuilder"):
+        assert not secrets.find_secrets(t, n)[1], t
