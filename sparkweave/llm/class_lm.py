@@ -17,6 +17,7 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,6 @@ from sparkweave.llm.common import fold_col, in_tasks, rows_in_arrow, scratch, te
 
 CLUSTERED, CLASSES, HEAD = 1000, 64, 150_000
 SHAPES = 8
-SWEEPS = 6
 #: Pseudo-counts that draw class transitions towards the classes' own shares.
 DRAW = 20.0
 #: Words kept in a worker's look-up table, and bigrams or words counted before they are passed on.
@@ -111,8 +111,10 @@ def class_bigrams(docs: DataFrame, top: dict[int, int]) -> DataFrame:
 
 # ---- clustering
 
-def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Classes of the places of a bigram matrix; the first `words` places move between `classes` classes, the others keep one each."""
+def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
+    """Classes of the places of a bigram matrix; the first `words` places move between `classes` classes, the others keep one each.
+
+    Sweeps go on until one changes nothing, or to the given number. Each move raises the likelihood by more than rounding, so they end."""
     n = len(bigrams)
     classes = max(1, min(classes, words)) if words else 0
     of = np.concatenate([np.arange(words) % max(classes, 1), classes + np.arange(n - words)]).astype(np.int64)
@@ -123,9 +125,10 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
     grid = held.T @ right
     xlog = lambda x: x * np.log(np.maximum(x, 1))
     moving = np.arange(classes)
+    least = 1e-12 * float(xlog(bigrams.sum()))
     after, before = bigrams.sum(1), bigrams.sum(0)
     rows, cols = np.bincount(of, after, k), np.bincount(of, before, k)
-    for _ in range(sweeps):
+    for _ in itertools.count() if sweeps is None else range(sweeps):
         moved = 0
         for w in range(words):
             g, r, l, own = of[w], right[w], left[w], bigrams[w, w]
@@ -144,7 +147,9 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
             diag = grid[moving, moving]
             cross = xlog(diag + r0[moving] + l0[moving] + own) - xlog(diag + r0[moving]) - xlog(diag + l0[moving]) + xlog(diag)
             size = xlog(rows[moving] + after[w]) - xlog(rows[moving]) + xlog(cols[moving] + before[w]) - xlog(cols[moving])
-            to = int((row + col + cross - size).argmax())
+            gain = row + col + cross - size
+            to = int(gain.argmax())
+            to = to if gain[to] > gain[g] + least else int(g)
             grid[to] += r0
             grid[:, to] += l0
             grid[to, to] += own

@@ -85,3 +85,11 @@ def test_no_training_rows(spark, docs_of):
     model, counts = c.fit_class_lm(df.limit(0))
     r = c.score_documents(df, model, counts).first()
     assert (r["n_tokens"], r["n_known"], r["base_score"], model.tokens) == (3, 0, 0.0, 0) and c.score_documents(df.limit(0), model, counts).count() == 0
+
+
+def test_sweeps_go_on_until_nothing_changes():
+    rng = np.random.default_rng(3)
+    n = 200
+    b = np.pad(rng.poisson(0.6 * rng.pareto(1.2, n)[:, None] * rng.pareto(1.2, n)[None, :]).clip(0, 500).astype(float), ((0, 1), (0, 1)))
+    of = c.exchange(b, n, classes=12)
+    assert np.array_equal(of, c.exchange(b, n, classes=12, sweeps=500)) and not np.array_equal(of, c.exchange(b, n, classes=12, sweeps=6))
