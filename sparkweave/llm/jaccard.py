@@ -9,7 +9,9 @@ frequencies predict. Two sets are candidates when their prefixes share the lesse
 The order's frequencies come from a sketch of fixed size that counts the shingles of all documents; it
 steers cost only, never results. Where sizes are known, a pair must share still more entries: matches_needed.
 
-Equal sets form one class and go on as one. No step forms all pairs of a group. Two rounds pair every class
+Equal sets form one class and go on as one. Prefix entries move once, packed by ranges of shingles; the task of a range
+drops the shingles that one class alone has. Entries of shingles that are known to be frequent are dealt by class instead,
+so that no range holds more than a bounded part of them. No step forms all pairs of a group. Two rounds pair every class
 with the one pivot that it shares most prefix entries with; what hangs together through these pairs is a
 family, and its most central class the root. Every class is compared with its root: that gives links, and its
 difference from the root. Two classes of a family differ at least by what each alone has beside the root, and
@@ -31,16 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import in_tasks, rows_in_arrow, scratch, texts, without, written
+from sparkweave.llm.common import bit_field, dropped, free_name, give_back, in_tasks, membership, quoted, rows_in_arrow, scratch, texts, without, written
 from sparkweave.operators.components import connected_components
 
 #: The threshold in hundredths: an overlap of at least PERCENT * union / 100.
 PERCENT, SHINGLE = 90, 3
-#: Counters of the frequency sketch, and bits of the filter that tells which documents' sets are needed.
-SKETCH, FILTER = 1 << 18, 1 << 24
+#: Counters of the frequency sketch.
+SKETCH = 1 << 18
+#: Entries of a range of shingles, and those that a task packs at once; a shingle that more documents hold is frequent.
+RANGE, PACKED, FREQUENT = 400_000, 500_000, 50_000
 LONGEST = 8
 PIVOT_ROUNDS = 2
 #: Counters of which root shingles a class lacks.
@@ -133,10 +137,10 @@ def frequencies(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
 
 def members_of(docs: DataFrame, frequency: np.ndarray, percent: int, size: int, seed: int) -> DataFrame:
-    """(doc_id, n, v, chk, ell, prefix) of every row: v and chk tell equal sets."""
+    """(doc_id, n, v, chk, ell, prefix) of every row: v and chk tell equal sets. Of equal sets in a task one has the prefix, as 8 bytes a shingle."""
 
     def make():
-        known = WordHashes()
+        known, seen = WordHashes(), set()
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict = {"doc_id": batch.column("doc_id"), **{k: [] for k in ("n", "v", "chk", "ell", "prefix")}}
@@ -144,58 +148,109 @@ def members_of(docs: DataFrame, frequency: np.ndarray, percent: int, size: int,
                 s = shingle_set(t, known, size)
                 raw = s.tobytes()
                 p, ell = prefix(s, frequency, percent) if len(s) else (s, 0)
+                key = xxhash.xxh3_64_intdigest(raw, seed), xxhash.xxh64_intdigest(raw, seed + 1)
                 out["n"].append(len(s))
-                out["v"].append(xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63))
-                out["chk"].append(xxhash.xxh64_intdigest(raw, seed + 1) - (1 << 63))
+                out["v"].append(key[0] - (1 << 63))
+                out["chk"].append(key[1] - (1 << 63))
                 out["ell"].append(ell)
-                out["prefix"].append(p.view(np.int64))
+                out["prefix"].append(p.tobytes() if len(p) and key not in seen else None)
+                seen.add(key)
             return out
 
         return run
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows_in_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, v long, chk long, ell int, prefix array<long>")
-
-
-def _places(ids: list) -> np.ndarray:
-    h = np.array([xxhash.xxh3_64_intdigest(str(x).encode()) for x in ids], np.uint64)
-    return np.concatenate([h % np.uint64(FILTER), (h >> np.uint64(32)) % np.uint64(FILTER)]).astype(np.int64)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit field of fixed size in which every id of the table has its bits set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER // 64, np.uint64)
+    return rows_in_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, v long, chk long, ell int, prefix binary")
+
+
+#: A packed entry, column by column: the shingle, the class, its size, low and high part, and its L.
+_PACKED = (np.uint64, np.int64, np.uint16, np.uint16, np.uint8)
+
+
+def shared_entries(members: DataFrame, frequency: np.ndarray, percent: int) -> DataFrame:
+    """(v, n, ell, size, token): the prefix entries, once each, of shingles that several classes have in their prefixes."""
+    held = members.filter("prefix IS NOT NULL")
+    ranges = max(1, -(-(held.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * RANGE)))
+    frequent = frequency >= FREQUENT
+
+    def packed(entries: list[np.ndarray]) -> pa.RecordBatch:
+        token, v, n, ell = (np.concatenate(x) for x in zip(*entries, strict=True))
+        # The high half of a hash tells its range; the sketch uses the lowest bits.
+        at = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        if frequent.any():
+            often = frequent[(token & np.uint64(SKETCH - 1)).astype(np.int64)]
+            at[often] = ranges + (v[often].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        columns = [x[order] for x in (token, v, (n & 0xFFFF).astype(np.uint16), (n >> 16).astype(np.uint16), ell)]
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() + [len(at)]
+        data = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["at", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, waiting = [], 0
         for batch in batches:
-            at = _places(batch.column(0).to_pylist())
-            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["at", "bits"])
-
-    got = in_tasks(ids, run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER // 64, np.uint64)
-    bits[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
-    """(v, s): the whole sets of the rows whose id is, or seems, among ids."""
-    bits = id_filter(ids)
+            sizes, ells, vs = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("n", "ell", "v"))
+            for k, raw in enumerate(batch.column("prefix")):
+                token = np.frombuffer(raw.as_buffer(), np.uint64)
+                entries.append((token, np.full(len(token), vs[k], np.int64), np.full(len(token), sizes[k], np.uint32), np.full(len(token), ells[k], np.uint8)))
+                waiting += len(token)
+                if waiting >= PACKED:
+                    yield packed(entries)
+                    entries, waiting = [], 0
+        if entries:
+            yield packed(entries)
+
+    def unpack(group: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[] for _ in _PACKED]
+        for raw in group.column("data"):
+            buffer, at = raw.as_buffer(), 0
+            count = len(buffer) // sum(np.dtype(k).itemsize for k in _PACKED)
+            for own, kind in zip(parts, _PACKED, strict=True):
+                own.append(np.frombuffer(buffer, kind, count, at))
+                at += count * np.dtype(kind).itemsize
+        token, v, low, high, ell = map(np.concatenate, parts)
+        order = np.lexsort((v, token))
+        token, v = token[order], v[order]
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        first = new | np.concatenate([[True], v[1:] != v[:-1]])
+        keep = first
+        if group.column("at")[0].as_py() < ranges:
+            shingle = np.cumsum(new) - 1
+            keep = first & (np.bincount(shingle, first)[shingle] > 1)
+        at = order[keep]
+        n = low[at].astype(np.int64) + (high[at].astype(np.int64) << 16)
+        need = -(-n * percent // 100)
+        give_back()
+        return pa.table([pa.array(v[keep]), pa.array(n), pa.array(ell[at].astype(np.int32)), pa.array((n - need + ell[at]).astype(np.int32)), pa.array(token[keep].view(np.int64))], ["v", "n", "ell", "size", "token"])
+
+    return in_tasks(held.select("v", "n", "ell", "prefix"), pack, "at int, data binary").groupBy("at").applyInArrow(unpack, "v long, n long, ell int, size int, token long")
+
+
+def sets_of(docs: DataFrame, need: DataFrame, size: int, seed: int) -> DataFrame:
+    """(v, s): the whole sets of the classes of need (v, rep), from the rows that stand for them, once each, as a written table."""
+    by_id, by_class = bit_field(need.select("rep")), bit_field(need.select("v"), 1)
 
     def make():
-        known = WordHashes()
+        known, seen = WordHashes(), set()
 
         def run(batch: pa.RecordBatch) -> dict:
-            at = _places(batch.column("doc_id").to_pylist()).reshape(2, -1)
-            on = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
-            some = batch.filter(pa.array(on))
+            some = batch.filter(pa.array(by_id.seems(batch.column("doc_id"))))
             found = [shingle_set(t, known, size).tobytes() for t in texts(some)]
-            return {"v": [xxhash.xxh3_64_intdigest(s, seed) - (1 << 63) for s in found], "s": found}
+            v = pa.array([xxhash.xxh3_64_intdigest(s, seed) - (1 << 63) for s in found], pa.int64())
+            at = np.flatnonzero(by_class.seems(v)).tolist() if len(v) else []
+            keys = list(zip(v.to_pylist(), some.column("doc_id").to_pylist(), strict=True))
+            at = [k for k in at if keys[k] not in seen and not seen.add(keys[k])]
+            return {"v": v.take(pa.array(at, pa.int64())), "rep": some.column("doc_id").take(pa.array(at, pa.int64())), "s": [found[k] for k in at]}
 
         return run
 
-    return rows_in_arrow(docs.select("doc_id", "text"), make, "v long, s binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = need.select("v", F.col("rep").alias("_rep"))
+    found = rows_in_arrow(docs.select("doc_id", "text"), make, f"v long, rep {kind}, s binary").join(held, "v")
+    sets = written(found.filter(F.col("rep").eqNullSafe(F.col("_rep"))).select("v", "s"), "sets")
+    # Rows that repeat an id and its text may lie in several tasks.
+    return sets if sets.count() == need.count() else written(sets.dropDuplicates(["v"]), "sets")
 
 
 # ---- links
@@ -203,7 +258,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
 def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, seed: int) -> DataFrame:
     """pairs (a, b, ...), a written table, with both whole sets, sa and sb."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    sets = written(sets_of(docs, classes.join(need, "v", "left_semi").select("rep"), size, seed).join(need, "v", "left_semi"), "sets")
+    sets = sets_of(docs, written(classes.join(need, "v", "left_semi").select("v", "rep"), "need"), size, seed)
     return pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
 
 
@@ -273,16 +328,20 @@ def family_pairs(differences: DataFrame, classes: DataFrame, components: DataFra
     rows = differences.select("v", "f", "n", "lacks", "spread").unionByName(roots).join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     # A partner has n * 100 / percent shingles at most.
     rows = rows.filter(F.col("alone") <= most(F.col("n"), F.floor(F.col("n") * 100 / percent)))
-    rows = written(rows.join(components, "v", "left").withColumn("c", F.coalesce("c", "v")), "rows")
-    kinds = rows.groupBy("f", "n", "alone", "lacks").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    side = lambda i: kinds.select("f", *[F.col(x).alias(f"{x}{i}") for x in ("n", "alone", "lacks", "lo", "hi")])
-    near = side(1).join(side(2), "f").filter(
-        (F.struct("n1", "alone1", "lacks1") <= F.struct(F.col("n2").alias("n1"), F.col("alone2").alias("alone1"), F.col("lacks2").alias("lacks1")))
+    rows = rows.join(components, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    home = rows.filter("v = f").select("f", F.col("c").alias("home"))
+    rows = written(rows.join(home, "f"), "rows")
+    kinds = rows.groupBy("f", "n", "alone", "lacks").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max((F.col("c") != F.col("home")).cast("int")).alias("out"))
+    kinds = written(kinds, "kinds")
+    side = lambda i: kinds.select("f", *[F.col(x).alias(f"{x}{i}") for x in ("n", "alone", "lacks", "lo", "hi", "out")])
+    # What lies in the root's component is linked already: one side lies outside; where both do, each pair once.
+    near = side(1).filter("out1 = 1").join(side(2), "f").filter(
+        ((F.col("out2") == 0) | (F.struct("n1", "alone1", "lacks1") <= F.struct(F.col("n2").alias("n1"), F.col("alone2").alias("alone1"), F.col("lacks2").alias("lacks1"))))
         & ((F.col("lo1") < F.col("hi1")) | (F.col("lo2") < F.col("hi2")) | (F.col("lo1") != F.col("lo2")))
         & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
         & (F.col("alone1") + F.col("alone2") + F.abs(F.col("lacks1") - F.col("lacks2")) <= most(F.col("n1"), F.col("n2")))
     )
-    near = written(near.select("f", *[f"{x}{i}" for i in (1, 2) for x in ("n", "alone", "lacks")]), "kinds")
+    near = written(near.select("f", *[f"{x}{i}" for i in (1, 2) for x in ("n", "alone", "lacks")]), "near")
     own = lambda i: rows.select("f", *[F.col(x).alias(f"{x}{i}") for x in ("v", "c", "n", "alone", "lacks", "spread")])
     # The same bound counter by counter.
     apart = F.aggregate(F.zip_with("spread1", "spread2", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
@@ -324,23 +383,24 @@ def open_pairs(entries: DataFrame, families: DataFrame, percent: int) -> DataFra
 def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs, as a written table."""
     with scratch() as keep:
-        return keep(_link_components(docs, percent, size), "components")
+        return keep(_link_components(docs, percent, size)[0].drop("v"), "components")
 
 
-def _link_components(docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _link_components(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, component_id, v, and the seed of v."""
     frequency = frequencies(docs, size)
     seed = 0
     while True:
         members = written(members_of(docs, frequency, percent, size, seed), "members")
-        classes = members.groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"), F.min("chk").alias("_least"), F.max("chk").alias("_most"))
+        classes = members.groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("chk").alias("_least"), F.max("chk").alias("_most"))
         classes = written(classes, "classes")
         if classes.filter("_least <> _most").isEmpty():
             break
         seed += 2  # two sets with one key: other keys
-    entries = classes.filter("n > 0").select("v", "n", "ell", F.size("prefix").alias("size"), F.explode("prefix").alias("token"))
-    # Most shingles occur in one class alone; their entries end here.
-    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("token")
-    entries = written(entries.join(several, "token", "left_semi"), "entries")
+    entries = written(shared_entries(members, frequency, percent), "entries")
+    # The prefixes aren't read again.
+    slim = written(members.drop("prefix", "chk", "ell"), "members")
+    dropped([members])
     families = families_of(entries, percent)
     differences = against_roots(families, docs, classes, percent, size, seed)
     links = differences.filter("links").select(F.col("v").alias("a"), F.col("f").alias("b"))
@@ -350,21 +410,38 @@ def _link_components(docs: DataFrame, percent: int, size: int) -> DataFrame:
     named = classes.select("v", "rep").join(components, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "c").select("v", "component_id")
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), "v").join(final, "v")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = slim.select("doc_id", F.col("n").alias("n_shingles"), "v").join(final, "v")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "v"), seed
+
+
+def class_key(size: int, seed: int) -> Column:
+    """The key v of each row's class, as a column."""
+
+    @F.arrow_udf("long")
+    def keyed(text: pa.Array) -> pa.Array:
+        known = WordHashes()
+        return pa.array([xxhash.xxh3_64_intdigest(shingle_set(t or "", known, size).tobytes(), seed) - (1 << 63) for t in text.to_pylist()], pa.int64())
+
+    return keyed(F.col("text"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """docs with one row, that of the least id, of each group of linked documents; all columns stay.
 
-    Rows that repeat an id are one document; rows without an id, or without a shingle, stay."""
-    found = link_components(docs.select("doc_id", "text"), percent, size)
-    kept = without(docs, found.filter("component_id <> doc_id").select("doc_id"))
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("doc_id")
+    Rows that repeat an id and a set of shingles are one document; texts that differ under one id are judged each for itself;
+    rows without an id stay, and so do those without a shingle, once for each id."""
+    with scratch() as keep:
+        found, seed = _link_components(docs.select("doc_id", "text"), percent, size)
+        found = keep(found, "components")
+    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("doc_id"), "again")
+    kept = without(docs, found.filter("component_id <> doc_id").select("doc_id").unionByName(again))
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    key, held = free_name(docs, "_class"), membership(docs, again)
+    some = (docs.filter(held) if held is not None else docs.join(again, "doc_id", "left_semi").select(*map(quoted, docs.columns))).withColumn(key, class_key(size, seed))
+    own = found.join(again, "doc_id", "left_semi").filter("component_id = doc_id").select("doc_id", F.col("v").alias(key))
+    once = some.join(own, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).select(*map(quoted, docs.columns))
+    return kept.unionByName(once)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
