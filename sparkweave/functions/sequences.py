@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The bases in the order of their codes, and what follows a contig's name in its header.
 ALPHABET = "ACGT"
 SUFFIX = "_length_[0-9]+_cov_[0-9]+(.)*$"
 

@@ -16,7 +16,7 @@ LEAST_LENGTH = 1000
 def kmer_counts(seqs: DataFrame, k: int = 4, key: str = "vid") -> DataFrame:
     """(key, kmer, n): canonical k-mers of each sequence of seqs (key, seq)."""
     spread = seqs.select(key, only_bases(F.col("seq")).alias("seq"))
-    if len(seqs.sparkSession.sparkContext.getConf().get("spark.master", "")) and seqs.inputFiles() and len(seqs.inputFiles()) == 1:
+    if len(seqs.inputFiles()) == 1:  # one file of few blocks would keep most cores idle
         spread = spread.repartition(seqs.sparkSession.sparkContext.defaultParallelism)
     phases = spread.filter(F.length("seq") >= k).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("seq"), i, F.length("seq")))).alias("q"))
     cut = phases.select(key, F.explode(F.regexp_extract_all("q", F.lit(f".{{{k}}}"), F.lit(0))).alias("kmer"))

@@ -3,9 +3,9 @@
 Every labelled vertex is a class of its own. A step multiplies by the row-normalised adjacency (weights rounded
 to single precision); a labelled vertex then gets its own class back to 1, all else it has stays as it
 came, and the other vertices' rows are normalised. Components don't mix, but the stop test is one for all: so
-components are solved side by side, first to learn how the change of each falls, then for exactly the number of
-steps at which the sum of all changes falls below the limit. Components of more than LARGEST vertices would
-not fit one task; then all steps run as joins instead.
+components are solved side by side, many in one task, first to learn how the change of each falls, then for exactly
+the number of steps at which the sum of all changes falls below the limit. Only components whose steps add up more
+than LARGEST numbers, which would not fit a task, run as joins.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkweave.operators.components import connected_components
 from sparkweave.storage import dropped, written
 
-EPSILON, MOST_STEPS, LARGEST = 1e-5, 1000, 3000
+EPSILON, MOST_STEPS, LARGEST = 1e-5, 1000, 4_000_000
 
 
 def transition_weights(edges: DataFrame) -> DataFrame:
@@ -48,84 +48,139 @@ def propagate_steps(edges: DataFrame, labelled: DataFrame, steps: int) -> DataFr
     weights, seeds = written(transition_weights(edges), "weights"), written(start(labelled, edges), "seeds")
     state = seeds
     for k in range(steps):
-        state = propagation_step(weights, state, seeds)
+        new = propagation_step(weights, state, seeds)
         if k < steps - 1:
-            state = written(state, "propagation")
+            new = written(new, "propagation")
+            if k:
+                dropped([state])
+        state = new
     return state
 
 
 def _steps(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """The states of one component (src, dst, w, known, known_dst): vertices, classes, matrix, change."""
-    ids = np.unique(pdf["src"].to_numpy())
-    at, to = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
-    t = np.zeros((len(ids), len(ids)))
-    t[at, to] = pdf["w"]
-    known = np.zeros(len(ids), bool)
-    known[at] = pdf["known"]
+    """The states of components (src, dst, w, known, c): vertices, classes, shares and the sum of changes.
+
+    Components share a sparse state, one place for each vertex and class of its component."""
+    ids, at = np.unique(pdf["src"].to_numpy(), return_inverse=True)
+    to = np.searchsorted(ids, pdf["dst"])
+    known, part = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
+    known[at], part[at] = pdf["known"], pd.factorize(pdf["c"])[0]
+    wide = np.bincount(part, known, part.max() + 1).astype(np.int64)  # classes of each component
+    rank = np.zeros(len(ids), np.int64)  # a class's place in its component
     rows = np.flatnonzero(known)
-    y = np.zeros((len(ids), len(rows)))
-    y[rows, np.arange(len(rows))] = 1
+    rows = rows[np.argsort(part[rows], kind="stable")]
+    rank[rows] = np.arange(len(rows)) - np.concatenate([[0], np.cumsum(wide)])[part[rows]]
+    size = wide[part]
+    base = np.concatenate([[0], np.cumsum(size)])
+    vertex = np.repeat(np.arange(len(ids)), size)
+    classes = np.zeros(base[-1], np.int64)
+    first = np.concatenate([[0], np.cumsum(wide)])
+    classes = ids[rows][first[part[vertex]] + np.arange(base[-1]) - base[vertex]] if len(rows) else classes
+    # Every edge once for each class, in order of the place that it adds to.
+    order = np.argsort(at, kind="stable")
+    at, to, w = at[order], to[order], pdf["w"].to_numpy()[order]
+    each = size[at]
+    edge = np.repeat(np.arange(len(at)), each)
+    cls = np.arange(len(edge)) - np.repeat(np.concatenate([[0], np.cumsum(each)])[:-1], each)
+    into, source, weight = base[at[edge]] + cls, base[to[edge]] + cls, w[edge]
+    y = np.zeros(base[-1])
+    own = base[rows] + rank[rows]
+    y[own] = 1
+    free = ~known[vertex]
     while True:
-        new = t @ y
-        new[rows, np.arange(len(rows))] = 1
-        total = new.sum(1)
-        free = ~known & (total > 0)
-        new[free] /= total[free, None]
+        new = np.bincount(into, weight * y[source], len(y))
+        new[own] = 1
+        total = np.bincount(vertex, new, len(ids))
+        scaled = free & (total[vertex] > 0)
+        new[scaled] /= total[vertex[scaled]]
         change = float(np.abs(new - y).sum())
         y = new
-        yield ids, ids[rows], y, change
+        yield ids[vertex], classes, y, change
+
+
+def _components(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(v, c, n, cost) of all vertices with an edge: component, its vertices, and the numbers that a step of it adds up."""
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = written(found.unionByName(found.select(F.col("c").alias("v"), "c")).distinct(), "components")
+    degree = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("d"))
+    sized = named.join(degree, "v").join(known.withColumnRenamed("src", "v"), "v", "left").groupBy("c").agg(F.count(F.lit(1)).alias("n"), (F.sum("d") * F.count("known")).alias("cost"))
+    return named.join(sized, "c")
 
 
 def propagate(edges: DataFrame, labelled: DataFrame, epsilon: float = EPSILON, most: int = MOST_STEPS, largest: int = LARGEST) -> DataFrame:
     """(vid, cls, p) with p > 0, after as many steps as the stop test takes."""
     spark = edges.sparkSession
-    components = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    named = written(components.unionByName(components.select(F.col("c").alias("v"), "c")).distinct(), "components")
-    if not (size := named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]):
-        return spark.createDataFrame([], "vid long, cls long, p double")
-    if size > largest:
-        return _propagate_joined(edges, labelled, epsilon, most)
+    edges = written(edges, "edges")
     known = labelled.select(F.col("vid").alias("src"), F.lit(True).alias("known"))
-    parts = transition_weights(edges).join(named.withColumnRenamed("v", "src"), "src").join(known, "src", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    parts = written(parts, "parts")
-
-    def changes(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if pdf["known"].any():
+    named = written(_components(edges, known), "named").filter("cost > 0")
+    small = named.filter(F.col("cost") <= largest)
+    parts = transition_weights(edges).join(small.withColumnRenamed("v", "src"), "src").join(known, "src", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # As many groups of components as tasks of bounded cost hold.
+    count, cost = small.filter("v = c").agg(F.count(F.lit(1)), F.sum("cost")).first()
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (cost or 0) // largest))
+    parts = written(parts.withColumn("_g", F.pmod(F.xxhash64("c"), F.lit(groups))), "parts")
+    floor = epsilon / (1000 * max(1, count))
+
+    def learnt(least: float) -> dict[int, tuple[float, int]]:
+        """Step: the sum of changes of all small components, and how many groups had come to rest before it."""
+
+        def changes(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = []
             for *_, change in _steps(pdf):
                 found.append(change)
-                if len(found) == most or change < 1e-16:
+                if len(found) == most or change <= least:
                     break
-        return pd.DataFrame({"t": np.arange(1, len(found) + 1), "d": np.array(found, float)})
-
-    summed = parts.groupBy("c").applyInPandas(changes, "t long, d double").groupBy("t").agg(F.sum("d").alias("d")).orderBy("t").collect()
-    steps = next((r["t"] for r in summed if r["d"] <= epsilon), most if len(summed) == most else len(summed) + 1)
+            return pd.DataFrame({"t": np.arange(1, len(found) + 1), "d": np.array(found, float), "last": np.arange(1, len(found) + 1) == len(found)})
+
+        rows = parts.groupBy("_g").applyInPandas(changes, "t long, d double, last boolean").groupBy("t").agg(F.sum("d").alias("d"), F.count_if("last").alias("ended")).orderBy("t").collect()
+        out, ended = {}, 0
+        for r in rows:
+            out[r["t"]] = (r["d"], ended)
+            ended += r["ended"]
+        return out
+
+    def steps_of(small_changes: dict[int, tuple[float, int]]) -> int:
+        return next((t for t, (d, _) in small_changes.items() if d <= epsilon), most if len(small_changes) == most else len(small_changes) + 1)
+
+    summed = learnt(floor)
+    steps = steps_of(summed)
+    if any(d <= epsilon < d + ended * floor for d, ended in summed.values()):
+        summed = learnt(0.0)  # what came to rest would decide
+        steps = steps_of(summed)
+    big = named.filter(F.col("cost") > largest)
+    out = None
+    if not big.isEmpty():
+        own = big.select(F.col("v").alias("src"))
+        state, steps = _propagate_joined(edges.join(own, "src", "left_semi"), labelled.join(own.withColumnRenamed("src", "vid"), "vid", "left_semi"), epsilon, most, {t: d for t, (d, _) in summed.items()})
+        out = state.select("vid", "cls", "p")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["known"].any():
-            return pd.DataFrame({"vid": np.array([], np.int64), "cls": np.array([], np.int64), "p": np.array([], float)})
         for k, (ids, classes, y, _) in enumerate(_steps(pdf), 1):
             if k == steps:
                 break
-        i, j = np.nonzero(y > 0)
-        return pd.DataFrame({"vid": ids[i], "cls": classes[j], "p": y[i, j]})
+        on = y > 0
+        return pd.DataFrame({"vid": ids[on], "cls": classes[on], "p": y[on]})
 
-    return parts.groupBy("c").applyInPandas(solve, "vid long, cls long, p double")
+    if not count:
+        return out if out is not None else spark.createDataFrame([], "vid long, cls long, p double")
+    solved = parts.groupBy("_g").applyInPandas(solve, "vid long, cls long, p double")
+    return solved if out is None else solved.unionByName(out)
 
 
-def _propagate_joined(edges: DataFrame, labelled: DataFrame, epsilon: float, most: int) -> DataFrame:
+def _propagate_joined(edges: DataFrame, labelled: DataFrame, epsilon: float, most: int, others: dict[int, float] | None = None) -> tuple[DataFrame, int]:
+    """The state and the number of steps, where others, components solved elsewhere, change by so much in each step."""
     weights, seeds = written(transition_weights(edges), "weights"), written(start(labelled, edges), "seeds")
-    state = seeds
-    for _ in range(most):
+    state, step = seeds, 0
+    for step in range(1, most + 1):
         new = written(propagation_step(weights, state, seeds), "propagation")
         old = state.withColumnRenamed("p", "q")
         change = new.join(old, ["vid", "cls"], "full").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0]
         if state is not seeds:
             dropped([state])
         state = new
-        if (change or 0.0) <= epsilon:
+        if (change or 0.0) + (others or {}).get(step, 0.0) <= epsilon:
             break
-    return state.filter("p > 0")
+    return state.filter("p > 0"), step
 
 
 # ---- weighted form: records (vid, label, edges array<struct<dest, weight>>), label 0 for none
@@ -157,10 +212,12 @@ def weighted_propagation(records: DataFrame, epsilon: float, most: int) -> DataF
     records = written(records, "records")
     edges = written(record_edges(records), "weighted-edges")
     state = weighted_start(records)
-    for _ in range(most):
-        new = written(weighted_step(records, edges, state), "weighted")
+    for step in range(most):
+        old, new = state, written(weighted_step(records, edges, state), "weighted")
         change = new.join(state.withColumnRenamed("score", "was"), ["vid", "label"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         state = new
+        if step:
+            dropped([old])
         if (change or 0.0) < epsilon:
             break
     return state

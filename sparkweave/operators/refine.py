@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.operators.components import connected_components
+from sparkweave.storage import dropped, written
+
+#: Edge rows that a task takes.
+LARGEST = 400_000
 
 
 def majority_sweep(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,34 +38,83 @@ def leaf_copy(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return met.select("vid", F.when(F.col("dst").isNull(), F.col("label")).when(F.col("facing") & (F.col("vid") > F.col("dst")), own).otherwise(other).alias("label"))
 
 
-def refine(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def _swept(src: np.ndarray, dst: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Signs of vertices 0, 1, ... at the fixpoint of sweeps in their order; edges are sorted by src.
+
+    Only vertices with a neighbour that changed since their last turn are looked at again."""
+    n = len(sign)
+    cut = np.searchsorted(src, np.arange(n + 1)).tolist()
+    near = dst.tolist()
+    total = np.bincount(src, sign[dst], n).astype(np.int64).tolist()
+    now, later, sign = list(range(n)), set(), sign.tolist()
+    waiting = set(now)
+    while now:
+        while now:
+            v = heapq.heappop(now)
+            waiting.discard(v)
+            s = (total[v] > 0) - (total[v] < 0)
+            if cut[v + 1] - cut[v] > 1 and s and s != sign[v]:
+                step, sign[v] = s - sign[v], s
+                for u in near[cut[v] : cut[v + 1]]:
+                    total[u] += step
+                    if u < v:
+                        later.add(u)
+                    elif u not in waiting:
+                        waiting.add(u)
+                        heapq.heappush(now, u)
+        now, later = sorted(later), set()
+        waiting = set(now)
+    return np.array(sign)
+
+
+def _swept_joined(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for components that no task could hold: (vid, label).
+
+    In a sweep a vertex looks at the new labels of lower neighbours and the old ones of higher neighbours. All vertices
+    are computed at once and again until none changes, which is the sweep's one outcome: a vertex is right as soon as the lower ones are."""
+    sign = F.when(F.col("label") == "plasmid", 1).when(F.col("label") == "chromosome", -1).otherwise(0)
+    state = written(vertices.select("vid", sign.alias("old"), sign.alias("new")), "swept")
+    while True:
+        of = state.select(F.col("vid").alias("dst"), F.col("old").alias("o"), F.col("new").alias("w"))
+        seen = edges.join(of, "dst").groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("d"), F.sum(F.when(F.col("dst") < F.col("src"), F.col("w")).otherwise(F.col("o"))).alias("s"))
+        turned = F.when((F.col("d") > 1) & (F.col("s") != 0), F.signum("s").cast("int")).otherwise(F.col("old"))
+        after = written(state.join(seen, "vid").select("vid", "old", turned.alias("next"), "new"), "swept")
+        moved, changed = after.agg(F.count_if(F.col("next") != F.col("new")), F.count_if(F.col("next") != F.col("old"))).first()
+        dropped([state])
+        # Within a sweep the old labels stay; once it is over the new ones are the old of the next.
+        state = written(after.select("vid", (F.col("old") if moved else F.col("next")).alias("old"), F.col("next").alias("new")), "swept")
+        dropped([after])
+        if not moved and not changed:
+            return state.select("vid", F.element_at(F.array(F.lit("chromosome"), F.lit("unclassified"), F.lit("plasmid")), F.col("new") + 2).alias("label"))
+
+
+def refine(vertices: DataFrame, edges: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(vid, label) at the fixpoint of sequential majority sweeps in order of ids, then leaf copy.
 
-    Components are independent and are swept side by side, each in one task; every change lets more
-    edges join equal labels, so the sweeps end."""
-    ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    named = connected_components(ends)
-    named = named.unionByName(named.select(F.col("c").alias("v"), "c")).distinct()
-    rows = edges.join(vertices.select(F.col("vid").alias("src"), "label"), "src").join(named.withColumnRenamed("v", "src"), "src")
+    Components are independent and are swept side by side, many in one task; those with more than `largest` edge rows go by joins.
+    Every change lets more edges join equal labels, so the sweeps end."""
+    edges = written(edges, "edges")
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = written(found.unionByName(found.select(F.col("c").alias("v"), "c")).distinct().withColumnRenamed("v", "src"), "named")
+    sized = written(edges.join(named, "src").groupBy("c").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    small, total, big = sized.agg(F.count_if(F.col("n") <= largest), F.sum(F.when(F.col("n") <= largest, F.col("n"))), F.count_if(F.col("n") > largest)).first()
+    groups = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * (total or 0) // largest))
+    label = vertices.select(F.col("vid").alias("src"), "label")
+    here = named.join(sized.filter(F.col("n") <= largest), "c").select("src", F.pmod(F.xxhash64("c"), F.lit(groups)).alias("_g"))
+    rows = edges.join(here, "src").join(label, "src")
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["src"])
-        at, to = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
-        sign = np.zeros(len(ids), int)
+        pdf = pdf.sort_values("src", kind="stable")
+        ids, at = np.unique(pdf["src"].to_numpy(), return_inverse=True)
+        sign = np.zeros(len(ids), np.int64)
         sign[at] = pdf["label"].map({"plasmid": 1, "chromosome": -1}).fillna(0)
-        order = np.argsort(at, kind="stable")
-        to, cut = to[order], np.searchsorted(at[order], np.arange(len(ids) + 1))
-        for _ in range(len(pdf) + 1):
-            changed = False
-            for v in range(len(ids)):
-                near = to[cut[v] : cut[v + 1]]
-                if len(near) > 1 and (s := int(np.sign(sign[near].sum()))) and s != sign[v]:
-                    sign[v] = s
-                    changed = True
-            if not changed:
-                break
-        return pd.DataFrame({"vid": ids, "swept": np.array(["chromosome", "unclassified", "plasmid"])[sign + 1]})
-
-    swept = rows.groupBy("c").applyInPandas(sweep, "vid long, swept string")
+        new = _swept(at, np.searchsorted(ids, pdf["dst"]), sign)
+        return pd.DataFrame({"vid": ids, "swept": np.array(["chromosome", "unclassified", "plasmid"])[new + 1]})
+
+    swept = rows.groupBy("_g").applyInPandas(sweep, "vid long, swept string")
+    if big:
+        own = named.join(sized.filter(F.col("n") > largest), "c", "left_semi").select("src")
+        joined = _swept_joined(vertices.join(own.withColumnRenamed("src", "vid"), "vid", "left_semi"), edges.join(own, "src", "left_semi"))
+        swept = swept.unionByName(joined.withColumnRenamed("label", "swept"))
     out = vertices.select("vid", "label").join(swept, "vid", "left").select("vid", F.coalesce("swept", "label").alias("label"))
     return leaf_copy(out, edges)

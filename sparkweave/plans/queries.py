@@ -6,6 +6,7 @@ quantities are its composition."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from sparkweave.operators import evaluate, graph, kmers, neighbours, propagation
 from sparkweave.operators.components import connected_components
 from sparkweave.plans import refinement
 from sparkweave.sources import assembly, sinks
+from sparkweave.storage import scratch, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,8 +44,78 @@ def fasta_header_parse(spark: SparkSession, sf: str) -> DataFrame:
     return headers(spark, sf).select(q.contig_id(h).alias("contig_id"), q.header_length(h).alias("length"), q.header_coverage(h).alias("coverage"))
 
 
+def fasta_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' sequences as records of a file: a header, a remark, and the sequence on two lines."""
+    named = headers(spark, sf).select(F.col("doc_id").alias("vid"), "header")
+    rows = sequences(spark, sf).join(named, "vid")
+    return rows.select(F.concat(F.lit(">"), "header", F.lit(" remark\n"), F.substring("seq", 1, 60), F.lit("\n"), F.expr("substring(seq, 61)")).alias("value"))
+
+
 def fasta_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.length("seq") >= 1000).alias("long"))
+    return assembly.parse_fasta(fasta_records(spark, sf)).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("length") >= 1000).alias("long"))
+
+
+def fasta_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return assembly.parse_fasta(fasta_records(spark, sf)).select("contig_id", F.md5(F.col("seq").cast("binary")).alias("md5"), "length", "coverage")
+
+
+def profiles_of_long(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense profiles of sequences of at least 1000, as (vid, pos, share) where the share isn't 0."""
+    rows = kmers.profiles(sequences(spark, sf)).select("vid", F.posexplode("profile").alias("pos", "share"))
+    return rows.filter("share > 0").select("vid", "pos", F.round("share", 9).alias("share"))
+
+
+def path_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as path records, split at the common start of names: one of each strand, with a continued line."""
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    forward = F.concat(key, F.lit("_length_9_cov_1.5\ns"), cust, F.lit("+,m"), key, F.lit("-;\ne"), key, F.lit("-\n"))
+    back = F.concat(key, F.lit("_length_9_cov_1.5'\ne"), key, F.lit("+;\nm"), key, F.lit("+,s"), cust, F.lit("-\n"))
+    return table(spark, sf, "orders").select(F.explode(F.array(forward, back)).alias("value"))
+
+
+def path_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return assembly.parse_paths(path_records(spark, sf))[0]
+
+
+def path_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return assembly.parse_paths(path_records(spark, sf))[1]
+
+
+def record_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as lines of records: their nation is the label, and the account's balance the weight of two edges."""
+    c = lambda name: F.col(name).cast("string")
+    line = F.concat(F.lit("["), c("c_custkey"), F.lit(", "), c("c_nationkey"), F.lit(", [["), c("c_nationkey"), F.lit(", "), c("c_acctbal"), F.lit("], [7, 1]]]"))
+    records = assembly.parse_records(table(spark, sf, "customer").select(line.alias("value")))
+    return records.select("vid", "label", F.explode("edges").alias("e")).select("vid", "label", "e.dest", "e.weight")
+
+
+def record_list(spark: SparkSession, sf: str) -> DataFrame:
+    records = assembly.records_of(spark, [[i, i % 3, [[(i + 1) % 40, i / 2], [(i + 7) % 40, 1]]] for i in range(40)])
+    return records.select("vid", "label", F.explode("edges").alias("e")).select("vid", "label", "e.dest", "e.weight")
+
+
+def input_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which inputs are refused: a file that is there, one that isn't, another classifier."""
+    def refused(paths: list[str], classifier: str) -> bool:
+        try:
+            assembly.check_inputs(spark, paths, classifier)
+        except ValueError:
+            return True
+        return False
+
+    cases = [("there", [f"{sf}/nation.parquet"], "pc"), ("missing", [f"{sf}/nation.parquet", f"{sf}/none.fasta"], "pf"), ("classifier", [], "px")]
+    return spark.createDataFrame([(name, refused(paths, classifier)) for name, paths, classifier in cases], "name string, refused boolean")
+
+
+def written_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The label file of the orders, read again, and whether each line stands behind the one before it in its file."""
+    path = f"{shared_dir(spark)}/sparkweave-final-{uuid.uuid4().hex}"
+    named = order_vertices(spark, sf).select("vid", F.concat(F.lit("NODE_"), F.col("vid").cast("string")).alias("contig_id"), "label")
+    with scratch() as keep:
+        sinks.write_labels(named, path)
+        lines = spark.read.schema("contig_id string, label string").option("sep", "\t").csv(path)
+        placed = assembly.placed(lines.withColumn("_file", F.input_file_name())).withColumn("_vid", F.expr("cast(substring(contig_id, 6) AS bigint)"))
+        return keep(placed.select("contig_id", "label", F.expr("coalesce(_vid > lag(_vid) OVER (PARTITION BY _file ORDER BY _at), true)").alias("ordered")), "labels")
 
 
 def _hashed(key: Column) -> Column:
@@ -56,9 +128,9 @@ def read_pc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_pf_sum(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings")
-    tail = F.slice("embedding", 25, 1_000_000)
-    return rows.select(F.concat(F.lit("NODE_"), F.col("vec_id").cast("string")).alias("contig_id"), F.round(F.aggregate(tail, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("prob"))
+    """Embeddings as tables of 64 columns."""
+    columns = [F.get("embedding", F.lit(i)) for i in range(64)]
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("NODE_"), F.col("vec_id").cast("string")).alias("contig_id"), F.round(assembly.pf_probability(columns), 6).alias("prob"))
 
 
 def contig_path_endpoints(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +240,8 @@ def label_prop_steps_3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_prop_full(spark: SparkSession, sf: str) -> DataFrame:
-    return propagation.propagate(order_edges(spark, sf), order_vertices(spark, sf).filter("label <> 'unclassified'"))
+    state = propagation.propagate(order_edges(spark, sf), order_vertices(spark, sf).filter("label <> 'unclassified'"))
+    return state.select("vid", "cls", F.round("p", 6).alias("p"))
 
 
 def topology_vote(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +268,7 @@ def labelprop_weighted_steps_3(spark: SparkSession, sf: str) -> DataFrame:
 def labelprop_weighted_full(spark: SparkSession, sf: str) -> DataFrame:
     records = nation_records(spark, sf)
     state = propagation.weighted_propagation(records, 1e-4, 100)
-    return propagation.clean_scores(state, propagation.best_labels(records, state))
+    return propagation.clean_scores(state, propagation.best_labels(records, state)).select("vid", "label", F.round("score", 6).alias("score"))
 
 
 def _weighted_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -289,6 +362,34 @@ def leaf_copy(spark: SparkSession, sf: str) -> DataFrame:
     return refine.leaf_copy(order_vertices(spark, sf), order_edges(spark, sf))
 
 
+def knn_training(spark: SparkSession, sf: str) -> DataFrame:
+    return refinement.training(order_vertices(spark, sf), order_edges(spark, sf)).select("vid", "label")
+
+
+def knn_open(spark: SparkSession, sf: str) -> DataFrame:
+    return refinement.open_by_coverage(order_vertices(spark, sf), 700).select("vid")
+
+
+def knn_switch(spark: SparkSession, sf: str) -> DataFrame:
+    """More pairs than the exact metric takes: plain neighbours of scaled training rows and queries as they are."""
+    open_, train = _knn_sides(spark, sf, F.concat("profile", F.array("coverage")))
+    return neighbours.knn_labels(open_, train, "joint", exact_pairs=1000)
+
+
+def attached(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with length and coverage, and with probability, truth and profile where there are any."""
+    rows = order_contigs(spark, sf).withColumn("contig_id", F.concat(F.lit("NODE_"), F.col("vid").cast("string")))
+    named = lambda df: df.withColumn("contig_id", F.concat(F.lit("NODE_"), F.col("vid").cast("string"))).drop("vid")
+    truth = rows.filter("vid % 3 = 0").select("contig_id", F.when(F.col("urgent"), "plasmid").otherwise("chromosome").alias("truth"))
+    profile = named(order_profiles(spark, sf).filter("vid % 5 <> 0"))
+    out = graph.attach(rows.select("vid", "contig_id"), rows.select("contig_id", "length", "coverage"), rows.filter("vid % 2 = 0").select("contig_id", "prob"), truth, profile)
+    return out.select("vid", "contig_id", "length", "coverage", "prob", "truth", F.size("profile").alias("parts"))
+
+
+def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.counts(order_vertices(spark, sf), order_edges(spark, sf))
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     truth = table(spark, sf, "orders").select(F.col("o_orderkey").alias("vid"), F.when(F.col("o_orderstatus") == "F", "Plasmid").when(F.col("o_orderstatus") == "O", "chromosome").otherwise("unclassified").alias("truth"))
     return order_vertices(spark, sf).filter("length >= 500").join(truth, "vid").select("truth", F.col("label").alias("predicted"))
@@ -387,6 +488,27 @@ od AS (SELECT src AS vid, sum(w) AS deg FROM ed GROUP BY 1), w0 AS (SELECT vid,
 for _i in range(1, 4):
     NATION_SQL += f""", w{_i} AS (SELECT ed.dst AS vid, s.label, sum(s.score * (ed.w / od.deg)) AS score FROM ed JOIN w{_i - 1} s ON s.vid = ed.src JOIN rec ON rec.vid = ed.dst AND rec.label = 0 JOIN od ON od.vid = ed.dst GROUP BY 1, 2 UNION ALL SELECT * FROM w0)"""
 
+#: All steps of the weighted form, numbered, and the first whose change is below the limit.
+NATION_FULL_SQL = NATION_SQL + """, st AS (SELECT 0 AS i, vid, label, score FROM w0 UNION ALL (
+  SELECT any_value(st.i) + 1, ed.dst, st.label, sum(st.score * (ed.w / od.deg)) FROM st JOIN ed ON st.vid = ed.src JOIN rec ON rec.vid = ed.dst AND rec.label = 0 JOIN od ON od.vid = ed.dst WHERE st.i < 100 GROUP BY ed.dst, st.label
+  UNION ALL SELECT (SELECT max(i) FROM st) + 1, vid, label, score FROM w0 WHERE (SELECT max(i) FROM st) < 100)),
+moved AS (SELECT coalesce(a.i, b.i + 1) AS i, sum(abs(coalesce(a.score, 0) - coalesce(b.score, 0))) AS change FROM st a FULL JOIN st b ON b.vid = a.vid AND b.label = a.label AND b.i = a.i - 1 GROUP BY 1),
+fin AS (SELECT st.* FROM st WHERE i = (SELECT least(coalesce(min(i) FILTER (change < 1e-4), 100), 100) FROM moved WHERE i >= 1 AND i <= 100)),
+top AS (SELECT vid, label, row_number() OVER (PARTITION BY vid ORDER BY score DESC, label) AS r FROM fin WHERE score > 0)"""
+#: The same for the plain form; each step's rows say how much it changed, and the step after it needs more than the limit.
+PROPAGATED_SQL = _steps_sql(0) + """, st AS (SELECT 0 AS i, vid, cls, p, 1.0::DOUBLE AS change FROM s0 UNION ALL (
+  WITH m AS (SELECT t.src AS vid, st.cls, sum(t.w * st.p) AS p FROM t JOIN st ON t.dst = st.vid WHERE st.i < 1000 AND st.change > 1e-5 GROUP BY t.src, st.cls),
+  new AS (SELECT vid, cls, p FROM m WHERE vid IN (SELECT vid FROM s0) AND vid <> cls UNION ALL SELECT vid, cls, p FROM s0 UNION ALL SELECT vid, cls, p / sum(p) OVER (PARTITION BY vid) FROM m WHERE vid NOT IN (SELECT vid FROM s0)),
+  far AS (SELECT sum(abs(coalesce(new.p, 0) - coalesce(st.p, 0))) AS change FROM new FULL JOIN st ON st.vid = new.vid AND st.cls = new.cls)
+  SELECT (SELECT max(i) FROM st) + 1, new.vid, new.cls, new.p, far.change FROM new, far WHERE (SELECT max(i) FROM st) < 1000 AND (SELECT max(st.change) FROM st) > 1e-5))"""
+#: Sweeps in order of ids: all vertices are computed at once and again until none changes, then the next sweep begins.
+SWEPT_SQL = """, st AS (SELECT 0 AS i, v.vid, CASE label WHEN 'plasmid' THEN 1 WHEN 'chromosome' THEN -1 ELSE 0 END AS old, CASE label WHEN 'plasmid' THEN 1 WHEN 'chromosome' THEN -1 ELSE 0 END AS new FROM v WHERE vid IN (SELECT src FROM edges) UNION ALL (
+  WITH s AS (SELECT src AS vid, count(*) AS d, sum(CASE WHEN dst < src THEN st.new ELSE st.old END) AS s FROM edges JOIN st ON st.vid = dst GROUP BY 1),
+  nx AS (SELECT st.i, st.vid, st.old, st.new, CASE WHEN d > 1 AND s <> 0 THEN sign(s)::INT ELSE st.old END AS nxt FROM st JOIN s ON s.vid = st.vid),
+  f AS (SELECT coalesce(bool_or(nxt <> new), false) AS moved, coalesce(bool_or(nxt <> old), false) AS changed FROM nx)
+  SELECT i + 1, vid, CASE WHEN moved THEN old ELSE nxt END, nxt FROM nx, f WHERE moved OR changed)),
+swept AS (SELECT v.vid, CASE st.new WHEN 1 THEN 'plasmid' WHEN -1 THEN 'chromosome' WHEN 0 THEN 'unclassified' ELSE v.label END AS label FROM v LEFT JOIN st ON st.vid = v.vid AND st.i = (SELECT max(i) FROM st))"""
+
 _FINITE = "CASE WHEN x < 'inf'::DOUBLE THEN round(x, 6) END AS dist"
 LEAF_SQL = """, leaf AS (SELECT src AS vid, min(dst) AS dst FROM edges GROUP BY 1 HAVING count(*) = 1),
 met AS (SELECT v.vid, v.label, leaf.dst, n.label AS near, (SELECT count(*) FROM leaf f WHERE f.vid = leaf.dst AND f.dst = v.vid) AS facing FROM v LEFT JOIN leaf ON leaf.vid = v.vid LEFT JOIN v n ON n.vid = leaf.dst)
@@ -413,7 +535,24 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "components": (components, f"WITH RECURSIVE {EDGE_SQL}, reach AS (SELECT vid, vid AS c FROM o UNION SELECT dst, c FROM reach JOIN edges ON src = reach.vid) SELECT vid, min(c) AS component FROM reach GROUP BY 1"),
     "transition_weights": (transition_weights, f"WITH {VERTEX_SQL}{_steps_sql(0)} SELECT src, dst, round(w, 9) AS w FROM t"),
     "label_prop_steps_3": (label_prop_steps_3, f"WITH {VERTEX_SQL}{_steps_sql(3)} SELECT vid, cls, round(p, 6) AS p FROM s3"),
-    "label_prop_full": (label_prop_full, None),
+    "label_prop_full": (label_prop_full, f"WITH RECURSIVE {VERTEX_SQL}{PROPAGATED_SQL} SELECT vid, cls, round(p, 6) AS p FROM st WHERE i = (SELECT max(i) FROM st) AND p > 0"),
+    "fasta_scan": (fasta_scan, f"WITH {SEQ_SQL}, {HEADER_SQL} SELECT 'NODE_' || vid AS contig_id, md5(seq) AS md5, length(seq)::BIGINT AS length, cov AS coverage FROM seqs JOIN h ON doc_id = vid"),
+    "profiles_of_long": (profiles_of_long, f"""WITH {KMER_SQL}, b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), k4 AS (SELECT p.c || q.c || r.c || s.c AS km FROM b p, b q, b r, b s),
+names AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS pos FROM (SELECT DISTINCT least(km, reverse(translate(km, 'ACGT', 'TGCA'))) AS kmer FROM k4))
+SELECT counts.vid, pos::INT AS pos, round(n / sum(n) OVER (PARTITION BY counts.vid), 9)::DOUBLE AS share FROM counts JOIN names USING (kmer) JOIN seqs ON seqs.vid = counts.vid WHERE length(seq) >= 1000"""),
+    "path_scan": (path_scan, "SELECT o_orderkey - 1 AS vid, 'NODE_' || o_orderkey AS contig_id, 's' || o_custkey || '+' AS start_seg, 'e' || o_orderkey || '-' AS end_seg FROM orders"),
+    "path_segments": (path_segments, "SELECT DISTINCT unnest(['s' || o_custkey || '+', 'e' || o_orderkey || '-', 'e' || o_orderkey || '+', 's' || o_custkey || '-']) AS segment, o_orderkey - 1 AS vid FROM orders"),
+    "record_scan": (record_scan, "SELECT c_custkey AS vid, c_nationkey::BIGINT AS label, c_nationkey::BIGINT AS dest, c_acctbal AS weight FROM customer UNION ALL SELECT c_custkey, c_nationkey, 7, 1 FROM customer"),
+    "record_list": (record_list, "SELECT i AS vid, i % 3 AS label, (i + 1) % 40 AS dest, i / 2.0::DOUBLE AS weight FROM range(40) t(i) UNION ALL SELECT i, i % 3, (i + 7) % 40, 1 FROM range(40) t(i)"),
+    "input_checks": (input_checks, "SELECT * FROM (VALUES ('there', false), ('missing', true), ('classifier', true)) t(name, refused)"),
+    "written_labels": (written_labels, f"WITH {VERTEX_SQL} SELECT 'NODE_' || vid AS contig_id, label, true AS ordered FROM v"),
+    "knn_training": (knn_training, f"WITH {VERTEX_SQL}, few AS (SELECT o.vid FROM o LEFT JOIN edges ON o.vid = src GROUP BY 1 HAVING count(dst) < 3) SELECT vid, label FROM v WHERE label <> 'unclassified' AND length >= 1000 AND vid IN (SELECT vid FROM few)"),
+    "knn_open": (knn_open, f"WITH {VERTEX_SQL} SELECT vid FROM v WHERE label = 'unclassified' AND length > 700"),
+    "knn_switch": (knn_switch, f"WITH {_knn_sql('list_distance(a.y, b.z)', 'label')}"),
+    "attached": (attached, f"""WITH {VERTEX_SQL} SELECT o.vid, 'NODE_' || o.vid AS contig_id, o.length, o.coverage, CASE WHEN o.vid % 2 = 0 THEN prob END AS prob,
+  CASE WHEN o.vid % 3 <> 0 THEN 'unclassified' WHEN urgent THEN 'plasmid' ELSE 'chromosome' END AS truth, CASE WHEN o.vid % 5 <> 0 AND prof.vid IS NOT NULL THEN 7 END AS parts FROM o LEFT JOIN prof ON prof.vid = o.vid"""),
+    "graph_counts": (graph_counts, f"""WITH {VERTEX_SQL} SELECT count(*) AS vertices, count(DISTINCT label) FILTER (label <> 'unclassified') AS labels, count(*) FILTER (label <> 'unclassified') AS labelled,
+  count(*) FILTER (label = 'unclassified') AS unlabelled, (SELECT count(*) FROM edges) AS edges FROM v"""),
     "labelprop_weighted_steps_3": (labelprop_weighted_steps_3, f"WITH {NATION_SQL} SELECT vid, label, round(score, 6) AS score FROM w3"),
     "labelprop_best_labels": (labelprop_best_labels, f"""WITH {NATION_SQL}, top AS (SELECT vid, label, score, row_number() OVER (PARTITION BY vid ORDER BY score DESC, label) AS r FROM w3 WHERE score > 0)
 SELECT rec.vid, coalesce(top.label, (SELECT min(label) FROM rec WHERE label <> 0)) AS label, round(coalesce(score, 0), 6) AS score FROM rec LEFT JOIN top ON top.vid = rec.vid AND r = 1"""),
@@ -422,7 +561,7 @@ SELECT w3.vid, any_value(top.label) AS label, round(sum(w3.score), 6) AS score F
     "propagation_change": (propagation_change, f"WITH {VERTEX_SQL}{_steps_sql(3)} SELECT round(sum(abs(coalesce(s3.p, 0) - coalesce(s2.p, 0))), 5) AS change FROM s3 FULL JOIN s2 ON s3.vid = s2.vid AND s3.cls = s2.cls"),
     "read_truth_last_wins": (read_truth_last_wins, "SELECT 'NODE_' || o_custkey AS contig_id, arg_max(o_orderstatus, o_orderkey) AS truth FROM orders GROUP BY o_custkey"),
     "segment_flip": (segment_flip, "WITH s AS (SELECT DISTINCT l_partkey || CASE l_returnflag WHEN 'R' THEN '+' WHEN 'A' THEN '-' ELSE '?' END AS segment FROM lineitem) SELECT segment, substring(segment, 1, length(segment) - 1) || CASE WHEN segment LIKE '%+' THEN '-' ELSE '+' END AS flipped FROM s"),
-    "labelprop_weighted_full": (labelprop_weighted_full, None),
+    "labelprop_weighted_full": (labelprop_weighted_full, f"WITH RECURSIVE {NATION_FULL_SQL} SELECT fin.vid, any_value(top.label) AS label, round(sum(fin.score), 6) AS score FROM fin JOIN top ON top.vid = fin.vid AND r = 1 GROUP BY 1 HAVING sum(fin.score) <> 0"),
     "coverage_distance": (coverage_distance, f"WITH {VERTEX_SQL}{DIST_SQL}, y AS (SELECT src, dst, {_cov_sql('ca', 'cb')} AS x FROM ends) SELECT src, dst, {_FINITE} FROM y"),
     "composition_distance": (composition_distance, f"WITH {VERTEX_SQL}{DIST_SQL}, y AS (SELECT src, dst, {_comp_sql('pa', 'pb')} AS x FROM ends) SELECT src, dst, {_FINITE} FROM y"),
     "joint_distance": (joint_distance, f"WITH {VERTEX_SQL}{DIST_SQL}, y AS (SELECT src, dst, {_comp_sql('pa', 'pb')} + {_cov_sql('ca', 'cb')} AS x FROM ends) SELECT src, dst, {_FINITE} FROM y"),
@@ -431,7 +570,7 @@ SELECT w3.vid, any_value(top.label) AS label, round(sum(w3.score), 6) AS score F
     "knn_comp_cov": (_knn(lambda: F.concat("profile", F.array("coverage")), "joint"), f"WITH {_knn_sql(_comp_sql('a.profile', 'b.profile') + ' + ' + _cov_sql('a.coverage', 'b.coverage'))}"),
     "knn_minmax_euclid": (knn_minmax_euclid, f"WITH {_knn_sql('list_distance(a.z, b.z)', 'label')}"),
     "refine_one_sync_sweep": (refine_one_sync_sweep, f"WITH {VERTEX_SQL}, s AS (SELECT src, count(*) AS d, count(*) FILTER (label = 'chromosome') AS c, count(*) FILTER (label = 'plasmid') AS p FROM edges JOIN v ON vid = dst GROUP BY 1) SELECT vid, CASE WHEN d > 1 AND c > p THEN 'chromosome' WHEN d > 1 AND p > c THEN 'plasmid' ELSE label END AS label FROM v LEFT JOIN s ON src = vid"),
-    "refine_full": (refine_full, None),
+    "refine_full": (refine_full, f"WITH RECURSIVE {VERTEX_SQL}{SWEPT_SQL}{LEAF_SQL.replace('FROM v ', 'FROM swept v ').replace('JOIN v n', 'JOIN swept n')}"),
     "leaf_copy": (leaf_copy, f"WITH {VERTEX_SQL}{LEAF_SQL}"),
     "confusion_matrix": (confusion_matrix, f"WITH {SCORE_SQL} SELECT * FROM m"),
     "macro_scores": (macro_scores, f"""WITH {SCORE_SQL}, k AS (SELECT cc::DOUBLE / greatest(cc + pc, 1) AS pc_, pp::DOUBLE / greatest(pp + cp, 1) AS pp_, cc::DOUBLE / greatest(cc + cp + cu, 1) AS rc, pp::DOUBLE / greatest(pc + pp + pu, 1) AS rp,

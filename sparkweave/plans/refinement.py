@@ -25,22 +25,28 @@ def correct_by_topology(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return topology.corrected(vertices, topology.vote(topology.reachable(vertices, state)))
 
 
-def _training(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def training(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The vertices that teach: classified, long enough, and with fewer than three neighbours."""
     few = graph.degrees(vertices, edges).filter("degree < 3").select("vid")
     return vertices.filter((F.col("label") != "unclassified") & (F.col("length") >= LEAST_KNN)).join(few, "vid", "left_semi")
 
 
 def correct_by_composition(vertices: DataFrame, edges: DataFrame, exact_pairs: int = neighbours.EXACT_PAIRS) -> DataFrame:
     x = F.concat("profile", F.array("coverage")).alias("x")
-    train = _training(vertices, edges).filter("profile IS NOT NULL").select(F.col("vid").alias("nbr"), x, "label")
+    train = training(vertices, edges).filter("profile IS NOT NULL").select(F.col("vid").alias("nbr"), x, "label")
     open_ = vertices.filter((F.col("label") == "unclassified") & (F.col("length") >= LEAST_KNN) & F.col("profile").isNotNull()).select("vid", x)
     return topology.corrected(vertices, neighbours.knn_labels(open_, train, "joint", exact_pairs))
 
 
+def open_by_coverage(vertices: DataFrame, least: int = 500) -> DataFrame:
+    """The unclassified vertices that coverage decides on: longer than least."""
+    return vertices.filter((F.col("label") == "unclassified") & (F.col("length") > max(0, least)))
+
+
 def correct_by_coverage(vertices: DataFrame, edges: DataFrame, least: int = 500, exact_pairs: int = neighbours.EXACT_PAIRS) -> DataFrame:
     x = F.array("coverage").alias("x")
-    train = _training(vertices, edges).select(F.col("vid").alias("nbr"), x, "label")
-    open_ = vertices.filter((F.col("label") == "unclassified") & (F.col("length") > max(0, least))).select("vid", x)
+    train = training(vertices, edges).select(F.col("vid").alias("nbr"), x, "label")
+    open_ = open_by_coverage(vertices, least).select("vid", x)
     return topology.corrected(vertices, neighbours.knn_labels(open_, train, "coverage", exact_pairs))
 
 
@@ -61,14 +67,19 @@ def refine_all(vertices: DataFrame, edges: DataFrame, least: int = 500, watch=No
 def run(spark: SparkSession, sequences: str, paths: str, links: str, classifier: str, probabilities: str, truth: str | None = None, least: int = 500) -> tuple[DataFrame, DataFrame]:
     """(vid, contig_id, label, ...) of every contig path, and the graph's edges."""
     assembly.check_inputs(spark, [sequences, paths, links, probabilities], classifier)
-    contigs = written(assembly.read_fasta(spark, sequences), "contigs")
+    contigs = written(assembly.placed(assembly.read_fasta(spark, sequences)), "contigs")
     named, segments = assembly.read_contig_paths(spark, paths)
+    total, long_ones = contigs.agg(F.count(F.lit(1)), F.count_if(F.col("length") >= kmers.LEAST_LENGTH)).first()
+    log.debug("sequences %d, of these with %d characters or more %d", total, kmers.LEAST_LENGTH, long_ones)
     edges = written(graph.contig_edges(named, assembly.read_links(spark, links), segments), "contig-edges")
     probs = written({"pc": assembly.read_pc, "pf": assembly.read_pf}[classifier](spark, probabilities), "probabilities")
     plasmid, chromosome = thresholds.probability_thresholds(probs, classifier)
-    profile = kmers.profiles(contigs.select("contig_id", "seq"), key="contig_id")
+    log.debug("thresholds: plasmid above %s, chromosome up to %s", plasmid, chromosome)
+    # Of equal ids the last counts, for profiles the last that is long enough.
+    long = assembly.last_of_each(contigs.filter(F.col("length") >= kmers.LEAST_LENGTH))
+    profile = kmers.profiles(long.select("contig_id", "seq"), key="contig_id")
     known = assembly.read_truth(spark, truth) if truth else None
-    one = contigs.groupBy("contig_id").agg(F.max_by(F.struct("length", "coverage"), F.col("length")).alias("r")).select("contig_id", "r.length", "r.coverage")
+    one = assembly.last_of_each(contigs).select("contig_id", "length", "coverage")
     vertices = graph.attach(named.select("vid", "contig_id"), one, probs, known, profile)
     vertices = written(vertices.withColumn("label", thresholds.assigned_class(F.col("prob"), plasmid, chromosome)), "vertices")
     if vertices.filter("length IS NULL").limit(1).count():
@@ -80,6 +91,7 @@ def run(spark: SparkSession, sequences: str, paths: str, links: str, classifier:
             log.info("after %s\n%s", name, evaluate.report(matrix.first().asDict(), evaluate.scores(matrix).first().asDict()))
 
     final = refine_all(vertices, edges, least, watch)
+    log.debug("%s", sinks.described(edges, final))
     log.info("%s", ", ".join(f"{r['label']} {r['n']}" for r in evaluate.class_counts(final).collect()))
     return final, edges
 
@@ -96,7 +108,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--plots", action="store_true", help="writes tables of nodes and edges for plotting")
     p.add_argument("-v", "--version", action="version", version="sparkweave 0.1")
     got = p.parse_args(args)
-    logging.basicConfig(level=logging.INFO)
+    sinks.log_to(got.output, got.output + "/sparkweave.log")
     spark = session(f"local[{got.threads}]")
     names = (f"{got.assembly}/{x}" for x in ("contigs.fasta", "contigs.paths", "assembly_graph_with_scaffolds.gfa"))
     final, edges = run(spark, *names, got.classifier, got.probabilities, got.ground_truth, got.least_length)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sparkweave.functions.sequences import contig_id, header_coverage, header_length
 
 LEAST_LENGTH = 1000
+#: Fixed value: the first column, from 0, of the class probabilities that are added up.
+FIRST_CLASS = 24
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
@@ -23,6 +25,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta(spark.read.text(path, lineSep="\n>"))
 
 
+def last_of_each(contigs: DataFrame) -> DataFrame:
+    """contigs, with their place in the file as _at, but for all but the last record of each contig_id; sequences move only where ids repeat."""
+    again = contigs.groupBy("contig_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last")).filter("_n > 1")
+    if again.isEmpty():
+        return contigs
+    return contigs.join(again, "contig_id", "left").filter("_last IS NULL OR _at = _last").select(*contigs.columns)
+
+
 def last_wins(rows: DataFrame, key: str) -> DataFrame:
     """Of rows with one key the last in the file, by the place that _at holds."""
     others = [c for c in rows.columns if c not in (key, "_at")]
@@ -30,7 +40,7 @@ def last_wins(rows: DataFrame, key: str) -> DataFrame:
     return last.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def _placed(rows: DataFrame) -> DataFrame:
+def placed(rows: DataFrame) -> DataFrame:
     """rows with _at, which follows the order of the lines within a file."""
     return rows.withColumn("_at", F.monotonically_increasing_id())
 
@@ -43,11 +53,11 @@ def parse_probabilities(rows: DataFrame, header: Column, prob: Column) -> DataFr
 
 def read_pc(spark: SparkSession, path: str) -> DataFrame:
     """A table of two columns, contig and probability, without a header."""
-    rows = _placed(spark.read.schema("h string, p double").option("sep", "\t").csv(path))
+    rows = placed(spark.read.schema("h string, p double").option("sep", "\t").csv(path))
     return parse_probabilities(rows, F.col("h"), F.col("p"))
 
 
-def pf_probability(columns: list[Column], first: int = 24) -> Column:
+def pf_probability(columns: list[Column], first: int = FIRST_CLASS) -> Column:
     """The sum of the columns from number `first`, from 0."""
     return F.aggregate(F.array(*[c.cast("double") for c in columns[first:]]), F.lit(0.0), lambda s, x: s + x)
 
@@ -55,13 +65,15 @@ def pf_probability(columns: list[Column], first: int = 24) -> Column:
 def read_pf(spark: SparkSession, path: str) -> DataFrame:
     """A quoted table with a header: the id in column 2, class probabilities from column 24 on, both from 0."""
     rows = spark.read.option("sep", "\t").option("header", True).option("quote", '"').csv(path)
+    if len(rows.columns) <= FIRST_CLASS:
+        raise ValueError(f"a table of class probabilities has more than {FIRST_CLASS} columns, this one {len(rows.columns)}")
     rows = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
-    return parse_probabilities(_placed(rows), F.col("c2"), pf_probability([F.col(c) for c in rows.columns]))
+    return parse_probabilities(placed(rows), F.col("c2"), pf_probability([F.col(c) for c in rows.columns]))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """(contig_id, truth); the last of equal ids wins."""
-    rows = _placed(spark.read.schema("h string, truth string").option("sep", "\t").csv(path))
+    rows = placed(spark.read.schema("h string, truth string").option("sep", "\t").csv(path))
     return last_wins(rows.select(contig_id(F.col("h")).alias("contig_id"), "truth", "_at"), "contig_id")
 
 
@@ -77,7 +89,7 @@ def parse_paths(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     The record of the reverse strand, whose name ends in ', gives segments alone."""
     name, body = F.element_at(F.split("value", "\n", 2), 1), F.regexp_replace(F.element_at(F.split("value", "\n", 2), 2), r"\n+$", "")
     start, end = path_ends(body)
-    rows = _placed(records.filter("value rlike '_length_'")).select((F.regexp_extract(name, "^(.*)_length_", 1).cast("long") - 1).alias("vid"), name.endswith("'").alias("back"), start.alias("s"), end.alias("e"), "_at")
+    rows = placed(records.filter("value rlike '_length_'")).select((F.regexp_extract(name, "^(.*)_length_", 1).cast("long") - 1).alias("vid"), name.endswith("'").alias("back"), start.alias("s"), end.alias("e"), "_at")
     first = rows.filter("NOT back").groupBy("vid").agg(F.min_by(F.struct("s", "e"), "_at").alias("r"))
     paths = first.select("vid", F.concat(F.lit("NODE_"), (F.col("vid") + 1).cast("string")).alias("contig_id"), F.col("r.s").alias("start_seg"), F.col("r.e").alias("end_seg"))
     return paths, rows.select(F.explode(F.array("s", "e")).alias("segment"), "vid").distinct()
@@ -123,6 +135,6 @@ def check_inputs(spark: SparkSession, paths: list[str], classifier: str) -> None
 
 
 __all__ = [
-    "check_inputs", "last_wins", "parse_fasta", "parse_links", "parse_paths", "parse_probabilities", "parse_records", "path_ends", "pf_probability",
+    "check_inputs", "last_of_each", "last_wins", "parse_fasta", "parse_links", "parse_paths", "parse_probabilities", "parse_records", "path_ends", "pf_probability", "placed",
     "read_contig_paths", "read_fasta", "read_links", "read_pc", "read_pf", "read_truth", "records_of",
 ]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import os
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,32 @@ from pyspark.sql import functions as F
 COLOURS = {"plasmid": "green", "chromosome": "orange", "unclassified": "white"}
 
 
+def log_to(folder: str, path: str) -> None:
+    """The library's log: from INFO on the console, from DEBUG in a file of the driver; folder is made where it is missing."""
+    os.makedirs(folder, exist_ok=True)
+    log = logging.getLogger("sparkweave")
+    log.setLevel(logging.DEBUG)
+    for old in log.handlers[:]:
+        log.removeHandler(old)
+        old.close()
+    for handler, level in ((logging.StreamHandler(sys.stderr), logging.INFO), (logging.FileHandler(path), logging.DEBUG)):
+        handler.setLevel(level)
+        handler.setFormatter(logging.Formatter("%(asctime)s - %(levelname)s - %(message)s"))
+        log.addHandler(handler)
+
+
+def counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the graph's vertices, edges, labels, and vertices with and without a label (label 0, or unclassified)."""
+    label = F.col("label").cast("string")
+    known = ~label.isin("0", "unclassified")
+    of = vertices.agg(F.count(F.lit(1)).alias("vertices"), F.countDistinct(F.when(known, label)).alias("labels"), F.count_if(known).alias("labelled"), F.count_if(~known).alias("unlabelled"))
+    return of.join(edges.agg(F.count(F.lit(1)).alias("edges")), F.lit(True))
+
+
+def described(edges: DataFrame, vertices: DataFrame) -> str:
+    return ", ".join(f"{k} {v}" for k, v in counts(vertices, edges).first().asDict().items())
+
+
 def write_labels(vertices: DataFrame, path: str) -> None:
     """Tab-separated contig and label of all vertices in order of their ids, over as many files as the order's ranges take."""
     vertices.orderBy("vid").select("contig_id", "label").write.option("sep", "\t").csv(path)

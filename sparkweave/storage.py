@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,13 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: list[tuple[SparkSession, str]] = []
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+#: Each thread has its own scopes, so that queries side by side don't delete one another's tables.
+_THREAD = threading.local()
+
+
+def _scopes() -> list[list[tuple[SparkSession, str]]]:
+    if not hasattr(_THREAD, "scopes"):
+        _THREAD.scopes = []
+    return _THREAD.scopes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where none is named."""
+    """The folder that the driver and all executors see; a local one only where none is named and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors see")
         named = "/tmp/checkpoints/sparkweave"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -43,8 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _OWN:
         atexit.register(_forget)
     _OWN.append((spark, path))
-    if _SCOPES:
-        _SCOPES[-1].append((spark, path))
+    if _scopes():
+        _scopes()[-1].append((spark, path))
     # The rows are safe in the table, so their shuffle files can go at once.
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
@@ -58,22 +68,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables written inside are deleted at the end, but for those written by the function that this gives."""
-    _SCOPES.append([])
+    scopes = _scopes()
+    scopes.append([])
     lasting: set[str] = set()
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         table = written(df, name)
-        lasting.add(_SCOPES[-1][-1][1])
+        lasting.add(scopes[-1][-1][1])
         return table
 
     try:
         yield keep
     finally:
-        for spark, path in _SCOPES.pop():
+        for spark, path in scopes.pop():
             if path not in lasting:
                 _delete(spark, path)
-            elif _SCOPES:
-                _SCOPES[-1].append((spark, path))
+            elif scopes:
+                scopes[-1].append((spark, path))
 
 
 def dropped(tables: list[DataFrame]) -> None:

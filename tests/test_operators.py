@@ -236,3 +236,61 @@ def test_all_labels_of_small_graphs_end(spark):
     for given in product([P, C], repeat=3):
         got = refine.refine(labels(spark, dict(enumerate(given))), graph(spark, [(0, 1), (1, 2), (2, 0)])).collect()
         assert len({r["label"] for r in got}) == 1
+
+
+def test_refinement_by_joins_matches_sequential_sweeps(spark):
+    rng = random.Random(8)
+    pairs = [(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(32)) if a != b]
+    given = {v: rng.choice([P, C, U]) for v in range(26)}
+    got = {r["vid"]: r["label"] for r in refine.refine(labels(spark, given), graph(spark, pairs), largest=3).collect()}
+    assert got == sequential(pairs, given)
+
+
+def test_a_long_chain_and_a_star(spark):
+    n = 50_000
+    chain = [(i, i + 1) for i in range(n)]
+    star = [(100_000, 100_001 + i) for i in range(n)]
+    edges = graph(spark, chain + star)
+    given = {0: P, 10: C, 100_000: P}
+    state = {(r["vid"], r["cls"]): r["p"] for r in propagation.propagate(edges, labels(spark, given), most=30).collect()}
+    assert state[5, 0] == pytest.approx(1 - state[5, 10]) and state[130_000, 100_000] == 1 and (45, 10) not in state and (40, 10) in state
+    start = {i: P if i % 3 else C for i in range(n + 1)} | {100_000 + i: C if i else P for i in range(n + 1)}
+    got = {r["vid"]: r["label"] for r in refine.refine(labels(spark, start), edges).collect()}
+    assert got == sequential_fast(chain + star, start)
+
+
+def sequential_fast(pairs, given):
+    near = {v: [] for v in given}
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    lab, changed = dict(given), True
+    while changed:
+        changed = False
+        for v in sorted(lab):
+            if len(near[v]) > 1:
+                p = sum((lab[n] == P) - (lab[n] == C) for n in near[v])
+                new = P if p > 0 else C if p < 0 else lab[v]
+                changed |= new != lab[v]
+                lab[v] = new
+    for v in sorted(lab):
+        if len(near[v]) == 1 and lab[near[v][0]] != U:
+            lab[v] = lab[near[v][0]]
+    return lab
+
+
+@pytest.mark.parametrize("metric", ["joint", "euclid"])
+def test_neighbours_with_many_equal_rows_match_all_pairs(spark, metric):
+    rng = np.random.default_rng(6)
+    base = rng.random((12, 4)) / 30
+    train = [(i, [*map(float, base[rng.integers(0, 12)]), float(rng.integers(5, 20))], rng.choice([P, C]).item()) for i in range(150)]
+    open_ = [(1000 + i, [*map(float, base[i % 12] + (i % 3) / 300), float(8 + i % 9)]) for i in range(40)]
+    t, o = spark.createDataFrame(train, "nbr long, x array<double>, label string"), spark.createDataFrame(open_, "vid long, x array<double>")
+    for block in (2048, 11):
+        got = {}
+        for r in neighbours.nearest(o, t, metric, block=block).orderBy("vid", "rank").collect():
+            got.setdefault(r["vid"], []).append((r["dist"], r["nbr"], r["label"]))
+        for vid, x in open_:
+            far = neighbours.METRICS[metric][0](np.array([x] * len(train)), np.array([y for _, y, _ in train]))
+            best = sorted((round(dist, 9), i, lab) for dist, (i, _, lab) in zip(far.tolist(), train, strict=True) if math.isfinite(dist))[:5]
+            assert [(i, lab) for _, i, lab in got.get(vid, [])] == [(i, lab) for _, i, lab in best]

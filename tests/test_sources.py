@@ -62,3 +62,34 @@ def test_written_labels_are_in_order(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "final").glob("part-*")))
     assert text.splitlines() == ["NODE_1\tchromosome", "NODE_2\tunclassified", "NODE_3\tplasmid"]
     assert {r["label"]: r["colour"] for r in sinks.plot_nodes(v).collect()} == {"plasmid": "green", "chromosome": "orange", "unclassified": "white"}
+
+
+def test_short_tables_last_records_and_logs(spark, tmp_path):
+    import logging
+
+    (tmp_path / "pf.tsv").write_text("a\tb\nx\t0.5\n")
+    with pytest.raises(ValueError, match="24"):
+        assembly.read_pf(spark, str(tmp_path / "pf.tsv"))
+    (tmp_path / "c.fasta").write_text(">NODE_1_length_4_cov_1.0\nACGTACGT\n>NODE_2_length_1_cov_7.0\nA\n>NODE_1_length_4_cov_9.0\nCC\n")
+    got = assembly.last_of_each(assembly.placed(assembly.read_fasta(spark, str(tmp_path / "c.fasta"))))
+    assert rows(got, "contig_id", "seq", "coverage") == [("NODE_1", "CC", 9.0), ("NODE_2", "A", 7.0)]
+    sinks.log_to(str(tmp_path / "out"), str(tmp_path / "out" / "x.log"))
+    logging.getLogger("sparkweave").debug("figures %d", 7)
+    assert "DEBUG - figures 7" in (tmp_path / "out" / "x.log").read_text()
+    for h in logging.getLogger("sparkweave").handlers[:]:
+        logging.getLogger("sparkweave").removeHandler(h)
+        h.close()
+    v = spark.createDataFrame([(0, "plasmid"), (1, "unclassified"), (2, "chromosome")], "vid long, label string")
+    assert sinks.counts(v, spark.createDataFrame([(0, 1)], "src long, dst long")).first().asDict() == {"vertices": 3, "labels": 2, "labelled": 2, "unlabelled": 1, "edges": 1}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from sparkweave import storage
+
+    made = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(made(master))
+    assert storage.shared_dir(made("local[4]"))
