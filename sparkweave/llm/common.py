@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import ctypes
 import gc
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,7 +21,7 @@ from pyspark.sql.types import StructType
 from sparkweave.storage import dropped, scratch, shared_dir, written
 
 __all__ = [
-    "BitField", "bit_field", "dropped", "fold", "fold_col", "free_name", "give_back", "in_tasks", "kept", "membership", "parts", "quoted", "rows_in_arrow", "scratch", "seeming", "shared_dir",
+    "BitField", "bit_field", "dropped", "fold", "fold_col", "free_name", "give_back", "in_tasks", "kept", "membership", "overlaps", "parts", "quoted", "rows_in_arrow", "scratch", "seeming", "shared_dir",
     "slices", "texts", "with_column", "without", "written",
 ]
 
@@ -189,6 +191,13 @@ def without(docs: DataFrame, gone: DataFrame, most_bits: int | None = None) -> D
     return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
+def overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch of text shares a place with one of the spans, by a search in their order."""
+    ordered = sorted(spans)
+    starts, ends = [s for s, _ in ordered], list(itertools.accumulate((e for _, e in ordered), max))
+    return lambda start, end: bool(k := bisect.bisect_left(starts, end)) and ends[k - 1] > start
+
+
 def quoted(name: str) -> str:
     """A column's name as it stands, dots and signs included."""
     return "`" + name.replace("`", "``") + "`"

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkweave.llm.common import rows_in_arrow, texts
 from sparkweave.llm.html_tree import Tree, node_features, parse
 
-TRAIN_PAGES, TREES, DEPTH, BINS = 500, 40, 4, 24
-SWITCH = 1.5
+TRAIN_PAGES, TREES, DEPTH, BINS = 900, 60, 4, 24
+SWITCH = 1.0
 #: Nodes that are scored at once.
 MOST_NODES = 100_000
 
@@ -97,13 +97,30 @@ def training_page(rng: random.Random) -> str:
             return f"<h{rng.randint(2, 4)}>{words(1, 8)}</h{rng.randint(2, 4)}>"
         if kind < 0.55:
             return f"<div>{inside}</div>"
+        if kind < 0.58:
+            return f"<figure><img src=x><figcaption>{words(2, 20)}</figcaption></figure>"
         return f"<p>{inside}</p>"
 
     out = " data-out"
-    inside = some(0.9, lambda: rng.choice([f"<h1>{words(1, 12)}</h1>", f"<h1>{words(1, 12)}</h1>", f"<header><h1>{words(1, 12)}</h1></header>"]))
+    inside = some(0.65, lambda: rng.choice([f"<h1>{words(1, 12)}</h1>", f"<h1>{words(1, 12)}</h1>", f"<header><h1>{words(1, 12)}</h1></header>"]))
     for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 15])):
         inside += paragraph() + some(0.06, lambda: rng.choice([ad, form, sidebar, notice])(out))
     inside += some(0.12, lambda: comments(out)) + some(0.08, lambda: f"<footer{out}>{words(2, 15)}</footer>") + some(0.08, lambda: form(out)) + some(0.05, lambda: menu(out))
+    start, plain = rng.random(), f"{rng.choice('abcxyz')}{rng.randint(1, 99)}"
+    if start < 0.22:  # straight in the body, or in a box without a telling name, with the rest around it
+        rest = lambda extra: some(0.7, lambda: menu(extra)) + some(0.3, lambda: ad(extra)) + some(0.2, lambda: notice(extra))
+        foot = lambda extra: some(0.8, lambda: f"<footer{extra}>{rng.choice([words(2, 20), f'<p>{words(2, 20)}</p>'])}</footer>")
+        top = lambda extra: some(0.4, lambda: f"<header{extra}>{words(1, 5)}</header>")
+        if start < 0.08:
+            return f"<html><head><title>{words(1, 8)}</title></head><body data-main>{top(out)}{rest(out)}{inside}{some(0.3, lambda: comments(out))}{foot(out)}</body></html>"
+        return f"<html><head><title>{words(1, 8)}</title></head><body>{top('')}{rest('')}<div class={plain} data-main>{inside}</div>{some(0.3, comments)}{some(0.3, sidebar)}{foot('')}</body></html>"
+    if start < 0.28:  # a table of layout
+        cells = [f"<td valign=top>{rng.choice([menu, sidebar])()}</td>", f"<td data-main>{inside}</td>"]
+        rng.shuffle(cells)
+        return f"<html><head><title>{words(1, 8)}</title></head><body>{some(0.5, menu)}<table width='100%'><tr>{''.join(cells)}</tr></table>{some(0.6, lambda: f'<footer>{words(2, 20)}</footer>')}</body></html>"
+    if start < 0.33:  # several articles
+        inside = "</article><article data-main>".join([inside, *(f"<h2>{words(1, 8)}</h2>" + "".join(paragraph() for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))])
+        return f"<html><head><title>{words(1, 8)}</title></head><body>{some(0.6, menu)}<main><article data-main>{inside}</article></main>{some(0.4, sidebar)}{some(0.7, lambda: f'<footer>{words(2, 20)}</footer>')}</body></html>"
     main = rng.choice([
         lambda: f"<article data-main>{inside}</article>", lambda: f"<article data-main>{inside}</article>", lambda: f"<article data-main>{inside}</article>",
         lambda: f"<main><article data-main>{inside}</article></main>", lambda: f"<main data-main>{inside}</main>",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -89,7 +89,8 @@ def _bits(name: str, attrs: str) -> int:
 def parse(html: str, seen: Callable[[str, str], object] | None = None) -> Tree:
     """The page's elements in page order; node 0 is the page itself. seen gets the name and attributes of each."""
     t = Tree([N_GROUPS - 1], [-1], [0], [0], [0], [0], [0], [0])
-    stack, names, opened = [0], [""], Counter()
+    stack, names = [0], [""]
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a name stand
     at, inside_link, hidden = 0, 0, 0
 
     def close(upto: int) -> None:
@@ -97,7 +98,7 @@ def parse(html: str, seen: Callable[[str, str], object] | None = None) -> Tree:
         while len(stack) > upto:
             stack.pop()
             gone = names.pop()
-            opened[gone] -= 1
+            places[gone].pop()
             inside_link -= gone == "a"
             hidden -= gone in HIDDEN
             if gone in BLOCK:
@@ -121,21 +122,17 @@ def parse(html: str, seen: Callable[[str, str], object] | None = None) -> Tree:
             continue
         name = name.lower()
         if m["end"]:
-            if opened[name]:
-                close(len(names) - 1 - names[::-1].index(name))
+            if places.get(name):
+                close(places[name][-1])
             continue
-        if name in CLOSES_P and opened["p"]:
-            close(len(names) - 1 - names[::-1].index("p"))
+        if name in CLOSES_P and places.get("p"):
+            close(places["p"][-1])
         elif name in GROUPS:
-            ends, within = GROUPS[name]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in within:
-                    break
-                if names[k] in ends:
-                    close(k)
-                    break
-        elif name == "body" and opened["head"]:
-            close(names.index("head"))
+            last, walls = (max((places[x][-1] for x in some if places.get(x)), default=0) for some in GROUPS[name])
+            if last > walls:
+                close(last)
+        elif name == "body" and places.get("head"):
+            close(places["head"][0])
         if name in BLOCK:
             t.flow.append((-1, ""))
         if name in VOID:
@@ -157,8 +154,8 @@ def parse(html: str, seen: Callable[[str, str], object] | None = None) -> Tree:
         t.paras.append(int(name == "p"))
         if not m["attrs"].endswith("/"):
             stack.append(v)
+            places[name].append(len(names))
             names.append(name)
-            opened[name] += 1
             inside_link += name == "a"
             hidden += name in HIDDEN
     put(html[at:])

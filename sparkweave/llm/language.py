@@ -2,8 +2,8 @@
 
 Every language gets a codeword; one binary classifier per codeword bit predicts that bit from hashed
 byte 2- to 4-gram frequencies of the whole lower-cased text. Loss-weighted decoding adds the logistic loss
-of each bit, weighted by that bit's training accuracy, and takes the nearest codeword; a text whose two
-nearest codewords lie close together is flagged as ambiguous.
+of each bit, weighted by that bit's training accuracy, and takes the nearest codeword, of equally near ones the first in
+order of the languages' names; a text whose two nearest codewords lie close together is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows (MOST_TRAIN, spread over languages, picked
 by a hash of the id), as sparse n-gram counts made on the executors. Prediction reads the text alone.
@@ -30,6 +30,9 @@ MOST_TRAIN = 2400
 #: Characters handled at once, for bounded memory.
 CHUNK = 1 << 20
 MARGIN = 0.05
+#: Mean loss of a bit, or more if labelled texts reach more, beyond which a text is far from every codeword (a guess has 0.69),
+#: the letters that it takes to say so, and the texts that every language must have taught for that.
+FAR, LEAST_LETTERS, LEAST_TAUGHT = 0.42, 40, 40
 
 
 @dataclass
@@ -38,6 +41,7 @@ class Codes:
     words: np.ndarray  # languages x bits, -1 or 1
     weights: np.ndarray  # buckets + 1 x bits
     trust: np.ndarray  # per bit
+    far: float = np.inf  # the mean loss of a bit beyond which a text belongs to no language
 
 
 def codewords(n: int) -> np.ndarray:
@@ -92,23 +96,31 @@ def fit_codes(x: np.ndarray, langs: list[str], steps: int = 120) -> Codes:
         w = new
     right = ((x @ w) * y > 0).astype(np.float32)
     trust = (right * per_row).sum(0)
-    return Codes(known, words, w, trust / max(trust.sum(), 1e-9) * len(trust))
+    codes = Codes(known, words, w, trust / max(trust.sum(), 1e-9) * len(trust))
+    # What the languages' own texts reach, but for one in a thousand, is not far; a few texts don't show what a language reaches.
+    if min(map(langs.count, known)) >= LEAST_TAUGHT:
+        codes.far = max(FAR, float(np.quantile(decode(codes, x @ w)[3], 0.999)))
+    return codes
 
 
-def decode(codes: Codes, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest codeword, its score from 0 to 1, and the lead over the next one, for rows of bit margins."""
+def decode(codes: Codes, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest codeword, its score from 0 to 1, the lead over the next one, and its mean loss, for rows of bit margins."""
     loss = (np.logaddexp(0, -f[:, None, :] * codes.words[None]) * codes.trust).sum(2)
     p = np.exp(loss.min(1, keepdims=True) - loss)
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
     top = np.sort(p, axis=1)
-    return best, top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
+    return best, top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0), loss.min(1) / f.shape[1]
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def letters(text: str) -> int:
+    return sum(map(str.isalpha, text))
+
+
 def fit_language(docs: DataFrame, teach: Column | None = None) -> Codes | None:
     """The codes learnt from rows of docs (text, lang, doc_id) for which teach holds; None without labels."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.coalesce(teach, F.lit(False)) if teach is not None else F.lit(True)))
@@ -144,18 +156,17 @@ def fit_language(docs: DataFrame, teach: Column | None = None) -> Codes | None:
     return fit_codes(x, [r["lang"] for r in got])
 
 
-def predict(codes: Codes | None, some: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """lang_pred, score and whether the text is ambiguous, for a list of texts."""
-    lang, score, lead = ["und"] * len(some), np.zeros(len(some)), np.ones(len(some))
+def predict(codes: Codes | None, some: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """lang_pred, score, whether the text is ambiguous, and its distance from the nearest codeword, for a list of texts."""
+    lang, score, lead, far = ["und"] * len(some), np.zeros(len(some)), np.ones(len(some)), np.zeros(len(some))
     at = [i for i, t in enumerate(some) if codes and t is not None and has_letter(t)]
     for i in range(0, len(at), 64):
         own = at[i : i + 64]
         f = features(np.stack([gram_counts(some[j]) for j in own])) @ codes.weights
-        best, p, apart = decode(codes, f)
-        score[own], lead[own] = p, apart
+        best, score[own], lead[own], far[own] = decode(codes, f)
         for j, b in zip(own, best, strict=True):
             lang[j] = codes.langs[b]
-    return lang, score, lead < MARGIN
+    return lang, score, lead < MARGIN, far
 
 
 def identify_language(docs: DataFrame, codes: Codes | None) -> DataFrame:
@@ -163,7 +174,7 @@ def identify_language(docs: DataFrame, codes: Codes | None) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            lang, score, unsure = predict(codes, batch.column("text").to_pylist())
+            lang, score, unsure, _ = predict(codes, batch.column("text").to_pylist())
             return {"doc_id": batch.column("doc_id"), "lang_pred": lang, "score": score, "ambiguous": unsure}
 
         return run
@@ -180,13 +191,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language can't be told; all columns stay."""
+    """docs without the rows whose language can't be told; all columns stay.
+
+    These are texts without a letter, and texts of at least LEAST_LETTERS letters that lie far from every codeword or as near to
+    two: another language or script, or no language. Shorter texts say too little for that and stay; where a
+    language has fewer than LEAST_TAUGHT labelled texts all that have a letter stay."""
     codes = fit_language(docs, fold_col("doc_id", 3) != 1)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lang, _, _ = predict(codes, batch.column("text").to_pylist())
-            return batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+            some = batch.column("text").to_pylist()
+            _, _, unsure, far = predict(codes, some)
+            doubtful = (unsure | (far > codes.far)) & np.isfinite(codes.far) if codes else np.zeros(len(some), bool)
+            return batch.filter(pa.array([t is not None and has_letter(t) and not (d and letters(t) >= LEAST_LETTERS) for t, d in zip(some, doubtful, strict=True)], pa.bool_()))
 
         return run
 

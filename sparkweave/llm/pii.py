@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import rows_in_arrow, texts, with_column
+from sparkweave.llm.common import overlaps, rows_in_arrow, texts, with_column
 from sparkweave.llm.secrets import joined
 
 KINDS = ("email", "ip", "card", "phone", "id", "iban", "name")
@@ -41,7 +42,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 OTHER_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])")
 NUMBER_ID = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
-NAME_CUE = re.compile(r"(?<![A-Za-z])(?:[Mm]y name is|[Nn]ame:|Mrs?\.|Ms\.|Dr\.|[Ss]igned,|[Cc]ontact:)\x20+([A-Z][a-z]+(?:\x20[A-Z][a-z]+){1,2})")
+#: Cues in the languages of the corpus; a name's words start with a capital of any script.
+NAME_CUE = regex.compile(
+    r"(?<!\p{L})(?:[Mm]y name is|[Nn]ame:|Mrs?\.|Ms\.|Dr\.|[Ss]igned,|[Cc]ontact:|[Mm]ein Name ist|[Ii]ch hei(?:ß|ss)e|Herrn?|Frau|[Jj]e m['’]appelle|[Mm]on nom est|Mme|[Nn]om:|[Mm]e llamo|[Mm]i nombre es|Sra?\.|[Nn]ombre:)"
+    r"\x20+(\p{Lu}\p{Ll}+(?:[\x20-]\p{Lu}\p{Ll}+){1,2})"
+)
+CUES = ("ame is", "ame:", "Mr", "Ms.", "Dr.", "igned,", "ontact:", "Name ist", "ch hei", "Herr", "Frau", "appelle", "nom est", "Mme", "om:", "llamo", "nombre es", "Sr", "ombre:")
 #: The gazetteers: usual first names, ends of host names, beginnings of country codes.
 FIRST_NAMES = frozenset("anna anne carlos claire daniel david elena emma eva hans isabel james jean john jose julia karl laura linda luis maria marie mark martin mary michael paul peter pierre robert sarah sofia susan thomas".split())
 HOST_ENDS = frozenset("com org net edu gov de fr es io uk eu info at ch us it".split())
@@ -118,7 +124,7 @@ def candidates(text: str) -> list[Candidate]:
     if len(raw.translate(None, _DIGITS)) != len(raw):
         if b"." in raw:
             for m in IP.finditer(text):
-                good = all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups())
+                good = all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m.groups())
                 add("ip", *m.span(), good, good, 0)
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -130,12 +136,12 @@ def candidates(text: str) -> list[Candidate]:
             for m in PHONE.finditer(text):
                 good = 9 <= sum(c in "0123456789" for c in m[0]) <= 15
                 add("phone", *m.span(), good, good, 0)
-        taken = [(c.start, c.end) for c in found if c.base]
+        taken = overlaps([(c.start, c.end) for c in found if c.base])
         for kind, pattern in (("phone", OTHER_PHONE), ("id", NUMBER_ID), ("iban", IBAN)):
             for m in pattern.finditer(text):
-                if not any(m.start() < y and x < m.end() for x, y in taken):
+                if not taken(*m.span()):
                     add(kind, *m.span(), False, True, _iban_check(m[0]) if kind == "iban" else 0)
-    if "ame is" in text or "ame:" in text or "Mr" in text or "Ms." in text or "Dr." in text or "igned," in text or "ontact:" in text:
+    if any(cue in text for cue in CUES):
         for m in NAME_CUE.finditer(text):
             add("name", *m.span(1), False, True, 0)
     return found

@@ -5,7 +5,7 @@ candidate: a zstandard compressor, primed with a dictionary of common identifier
 text with and without the candidate, and the bytes that the candidate adds tell how much of it neither the
 dictionary nor the surroundings explain. Strings that stay incompressible are reported as `novel`. In NAME=value the
 value is the candidate and the name belongs to its context. Letters without digits count wherever they are assigned; in prose
-only if they aren't built like words.
+only if they aren't built like words, and identifiers of the usual 8-4-4-4-12 form only where they are assigned.
 
 Work on a text is linear: byte look-ups decide which patterns can match at all.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.llm.common import rows_in_arrow, texts
+from sparkweave.llm.common import overlaps, rows_in_arrow, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The patterns of the base spans.
@@ -40,6 +40,7 @@ client_secret session cookie signature checksum digest sha1 sha256 md5 uuid vers
 master main origin repository package module library path file directory http https www example.com
 localhost 127.0.0.1 true false null none undefined 0123456789 abcdefghijklmnopqrstuvwxyz
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 12345678 2020-01-01 2021 2022 2023 2024 changeme placeholder
+_2023_12_31_235959 _2024_01_01_000000 2025-06-15T12:30:00Z v1.2.3
 """
 SENSITIVE = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|sign|login|session|api", re.I | re.A)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
@@ -47,6 +48,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 NAMED = re.compile(r"[A-Za-z_-][A-Za-z0-9_/-]*=+(?=[^=])")
 #: What ends the text before a value that is assigned.
 ASSIGNED = re.compile(r"""[:=]\x20*["'`]?\Z""")
+#: Forms of identifiers that name something and are no secrets unless they are assigned.
+NAME_OF_A_THING = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 #: Parts of a candidate that can be words.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NEAR, LEAST, WORDLIKE = 64, 16, 4
@@ -93,7 +96,7 @@ def wordlike(candidate: str) -> bool:
 def novel_spans(text: str, raw: bytes, novelty: Novelty, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if b"t" * LEAST not in raw.translate(_RUN):
         return []
-    found = []
+    found, held = [], overlaps([(s, e) for _, s, e in taken])
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         named = NAMED.match(text, s, e)
@@ -102,11 +105,13 @@ def novel_spans(text: str, raw: bytes, novelty: Novelty, taken: list[tuple[str,
         word = text[start:e]
         if not any(c.isalpha() for c in word):
             continue
-        if any(start < y and x < e for _, x, y in taken):
+        if held(start, e):
             continue
         before, after = text[max(0, s - NEAR) : start], text[e : e + NEAR]
         if not SENSITIVE.search(before):
             continue
+        if NAME_OF_A_THING.fullmatch(word) and not ASSIGNED.search(before):
+            continue
         if not any(c.isdigit() for c in word) and not ASSIGNED.search(before) and wordlike(word):
             continue
         if novelty.added(before, word, after) >= NOVEL_SHARE * len(word):

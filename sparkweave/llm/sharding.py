@@ -20,6 +20,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.llm.common import free_name, quoted
+
 N_SHARDS, TABLE_SIZE = 32, 4099
 #: Slots that may be broadcast: 16 bytes each.
 MOST_SLOTS = 1_000_003
@@ -64,13 +66,11 @@ def slot_of(keys: list[Column], size: int = TABLE_SIZE) -> Column:
 
 def assign_shards(df: DataFrame, keys: list[str], n_shards: int = N_SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """df with slot (long) and shard (int)."""
-    kept = df.drop(*[c for c in ("slot", "shard") if c not in keys])
-    placed = kept.withColumn("_slot", slot_of([df[k] for k in keys], size))
-    table = lookup_table(df.sparkSession, n_shards, size).withColumnRenamed("slot", "_slot")
-    table = table.withColumnRenamed("shard", "_shard")
-    out = placed.join(F.broadcast(table), "_slot", "left")
-    own = [c for c in df.columns if c not in ("slot", "shard")]
-    return out.select(*own, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    at, to = free_name(df, "_slot"), free_name(df, "_shard")
+    own = [quoted(c) for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.select(*own, slot_of([F.col(quoted(k)) for k in keys], size).alias(at))
+    out = placed.join(F.broadcast(lookup_table(df.sparkSession, n_shards, size).toDF(at, to)), at, "left")
+    return out.select(*own, F.col(at).alias("slot"), F.col(to).alias("shard"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ Query blocks meet row blocks in a grid, so that nothing that grows with the inpu
 pair of blocks sends on k rows per query at most, which are merged per query.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as
-padded by zeros; ties go to the smaller id; rows that repeat an id and vector count once; a
+padded by zeros; quantised components and scores beyond the range of a long count as its end; ties go to the smaller id; rows that repeat an id and vector count once; a
 query's own id never is a result of it; an empty table gives no rows; extra columns are not read.
 """
 
@@ -27,6 +27,7 @@ K, SCALE, QUERY_EVERY = 5, 256, 50
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 16_384, 1_024
 #: Attribute values are floor-divided by 2 to this power before they are sliced.
 QUANTUM_BITS = 2
+MOST_SCORE = (1 << 63) - 1
 
 
 def quantised(embedding: Column, scale: int = SCALE) -> Column:
@@ -170,6 +171,8 @@ def block_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame
                 others = others & ~np.packbits(mask, bitorder="little").view(np.uint64)
             at = index.top(q[i], k, others)
         score = exact[1][at] @ exact[0][i]
+        if index is None:
+            score = np.clip(score, -MOST_SCORE, MOST_SCORE)
         best = sorted(zip((-score).tolist(), ids[at].tolist(), strict=True))[:k] if len(at) <= 64 else [(int(-score[j]), int(ids[at[j]])) for j in np.lexsort((ids[at], -score))[:k]]
         got["query_id"] += [query] * len(best)
         got["vec_id"] += [v for _, v in best]

@@ -88,3 +88,9 @@ def test_case_and_punctuation_hide_no_copy(spark, docs_of):
     got = found(spark, docs, [(1, item), (2, ITEM.upper())])
     assert set(got) == {(k, 1) for k in range(len(forms))} and all(r["n_words"] == len(item.split()) for r in got.values())
     assert set(found(spark, docs_of([(1, ITEM.title()), (2, ITEM)]), [(1, ITEM), (2, ITEM.upper())])) == {(i, k) for i in (1, 2) for k in (1, 2)}
+
+
+def test_short_items_and_lists_of_names(spark, docs_of):
+    names = "John Smith met Anna Jones in Paris on Monday and Peter Brown saw Carl Weber on Friday"
+    docs = docs_of([(1, f"before it {names} after it"), (2, "so what is 2 + 2 then"), (3, "what is the answer"), (4, "Anna Jones was in Paris")])
+    assert set(found(spark, docs, [(1, names), (2, "what is 2 + 2")])) == {(1, 1), (2, 2)}

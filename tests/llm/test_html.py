@@ -72,3 +72,52 @@ def test_pages_of_the_test_tables():
     for (h,), got in zip(rows, x.main_texts([r[0] for r in rows], x.page_forest()), strict=True):
         inside = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)[^>]*>", "\n", re.search(r"<article>(.*)</article>", h, re.S)[1]))
         assert got == "\n".join(s for s in (" ".join(html.unescape(b).split()) for b in inside.split("\n")) if s)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(n)).capitalize() + "."
+
+
+@pytest.mark.parametrize("kind", ["body", "box", "table", "articles"])
+def test_plain_layouts_lose_no_paragraph(kind):
+    rng = random.Random(5)
+    for _ in range(60):
+        ps = [prose(rng, rng.randint(3, 60)) for _ in range(rng.randint(2, 9))]
+        body, nav, foot = "".join(f"<p>{p}</p>" for p in ps), "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News item</a></li></ul></nav>", "<footer>Copyright this site</footer>"
+        got = text({"body": f"<html><body>{nav}{body}{foot}</body></html>", "box": f"<html><body>{nav}<div class=a1>{body}</div>{foot}</body></html>",
+                    "table": f"<html><body><table><tr><td>{nav}</td><td>{body}</td></tr></table>{foot}</body></html>", "articles": f"<html><body>{nav}<main><article>{body}</article><article>{body}</article></main>{foot}</body></html>"}[kind])
+        assert got.split("\n") == ps * (2 if kind == "articles" else 1)
+
+
+def test_decoding_is_the_cheapest_of_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    for page in ("<div><p>a</p><div><p>b</p></div></div>", "<p>a</p><ul><li>b</li><li>c</li></ul>", "<div><div><div>x</div></div></div><p>y</p>"):
+        tree = parse(page)
+        n = len(tree.parent)
+        for _ in range(30):
+            p = np.clip(rng.random(n), 1e-4, 1 - 1e-4)
+            best, least = set(), 1e18
+            for states in product((0, 1, 2), repeat=n - 1):  # on the way, content, out
+                s = (0, *states)
+                # The page is on the way; below out all is out, below content all is content or out.
+                if all((above != 2 or s[v] == 2) and (above != 1 or s[v] != 0) for v in range(1, n) for above in [s[tree.parent[v]]]):
+                    cost = sum(-np.log(p[v]) if s[v] == 1 else -np.log(1 - p[v]) for v in range(1, n)) + x.SWITCH * sum((s[v] == 1) != (s[tree.parent[v]] == 1) and s[v] != 0 and (s[v] == 1 or s[tree.parent[v]] == 1) for v in range(1, n))
+                    if cost < least - 1e-9:
+                        least, best = cost, set()
+                    if cost < least + 1e-9:
+                        best.add(tuple(y == 1 for y in s))
+            assert tuple(x.decode(tree, p)) in best
+
+
+def test_markup_is_read_in_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        parse("<div>" * n + "x" + "</div>" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(80_000) for _ in range(3)) < 4 * min(took(40_000) for _ in range(3))

@@ -99,3 +99,37 @@ def test_prefixes_share_what_they_promise():
             assert len(np.intersect1d(p, q)) >= min(x, y)
             need = min(x - j.least_overlap(len(a)), y - j.least_overlap(len(b))) + -(-90 * (len(a) + len(b)) // 190)
             assert len(np.intersect1d(p, q)) >= need
+
+
+@pytest.mark.parametrize("bits", [None, 64])
+def test_rows_go_by_id_without_moving_their_texts(spark, docs_of, bits):
+    from sparkweave.llm.common import without
+
+    df = docs_of([(k, f"text {k}") for k in range(400)] + [(None, "no id"), (3, "again")]).selectExpr("*", "'x' AS `a.b`")
+    gone = spark.createDataFrame([(k,) for k in range(0, 400, 40)] + [(None,), (999,)], "doc_id long")
+    out = without(df, gone, bits)
+    assert out.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted([*(str(k) for k in range(400) if k % 40), "3", "None"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    words = df.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text")
+    assert without(words, words.filter("doc_id = '7'"), bits).count() == df.count() - 1 and without(words, words.limit(0)).count() == df.count()
+
+
+def test_texts_that_differ_under_one_id(spark, docs_of):
+    rng = random.Random(7)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    df = docs_of([(1, a), (5, a), (5, b), (5, b), (5, c + " end"), (7, c)]).selectExpr("*", "'x' AS `a.b`", "1 AS _class")
+    out = j.keep_one_of_each(df, 80, 5)
+    assert out.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, a), (5, b), (5, c + " end")])
+
+
+def test_frequent_shingles_are_dealt_by_class(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(j, "FREQUENT", 2)
+    monkeypatch.setattr(j, "RANGE", 50)
+    monkeypatch.setattr(j, "PACKED", 300)
+    rng = random.Random(11)
+    rows = family(rng, 60, 150, 5, 10_000) + family(rng, 40, 40, 3, 20_000) + [(i, t) for i, t, _ in texts_of()][:80]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.link_components(docs_of(rows), 80, 5).collect()}
+    assert got == plain_components(rows, 80, 5)

@@ -28,3 +28,12 @@ def test_rows_and_plan(spark, docs_of):
     assert s.assign_shards(df.limit(0), ["doc_id"]).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_clashing_and_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", 5), (2, "d", "e", None, 6)], "doc_id long, _slot string, _shard string, `a.b` string, slot int")
+    out = s.assign_shards(df, ["doc_id", "a.b"])
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == ["doc_id", "_slot", "_shard", "a.b", "slot", "shard"]
+    assert (got[1]["_slot"], got[1]["_shard"], got[1]["a.b"]) == ("a", "b", "c") and 0 <= got[2]["slot"] < 4099 and got[2]["a.b"] is None
+    assert s.assign_shards(df, ["slot"]).filter("slot BETWEEN 0 AND 4098").count() == 2

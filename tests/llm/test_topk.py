@@ -63,3 +63,10 @@ def test_query_equals_sql(spark):
     duckdb.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = sorted(duckdb.execute(t.OP6_SQL).fetchall())
     assert sorted(tuple(r) for r in t.op6_topk_search(spark, sf).collect()) == want
+
+
+def test_huge_components_saturate(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    rows = df.select("vec_id", t.quantised(F.col("embedding")).alias("v"))
+    got = t.top_k(rows, rows.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 3, 2] and got[0]["score"] == 2**63 - 1 and got[2]["score"] == -(2**63 - 1)
