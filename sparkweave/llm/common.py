@@ -211,7 +211,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about most_bytes, so that a few long texts don't fill a worker's memory."""
     n = batch.num_rows
     step = max(1, min(n, int(n * most_bytes / max(1, batch.nbytes)))) if n else 1

@@ -37,7 +37,7 @@ WINDOW, RUN, LEAST_WORDS, LEAST_LITERAL = 8, 10, 5, 4
 BROKEN_RUN = 2 * RUN
 MOST_HASHES, MOST_BROADCAST = 2_000_000, 200_000
 #: Words kept in a worker's look-up table.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 #: Units of measure and money that give way to a placeholder.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds"

@@ -44,7 +44,7 @@ PERCENT, SHINGLE = 90, 3
 #: Counters of the frequency sketch.
 SKETCH = 1 << 18
 #: Entries of a range of shingles, and those that a task packs at once; a shingle that more documents hold is frequent.
-RANGE, PACKED, FREQUENT = 400_000, 500_000, 50_000
+RANGE, PACKED, FREQUENT = 100_000, 200_000, 50_000
 LONGEST = 8
 PIVOT_ROUNDS = 2
 #: Counters of which root shingles a class lacks.
