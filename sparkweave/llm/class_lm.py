@@ -2,17 +2,20 @@
 
 Passes over the texts: (1) counts of all training words; (2) counts of class bigrams, with the CLUSTERED most
 frequent words kept apart; exchange clustering then moves each of these words to the class that raises the
-likelihood of the class bigrams most, until a sweep changes nothing; all other words have the class of their
-shape. (3) Scoring: log10 P(class | class before) + log10 P(word | class), both smoothed, over a text's words
-and its end.
+likelihood of the class bigrams most, until a sweep changes nothing; (3) for every other word, which classes it
+follows and precedes, and how often. These words begin in the class of their shape, and one exchange step for all of them
+at once moves each to the class that raises the likelihood most, against the same class counts. So every training word has a
+class by exchange. (4) Texts become sequences of classes, a byte a word, from which transitions are counted and the
+texts are scored: log10 P(class | class before) + log10 P(word | class), both smoothed, over a text's words and its end.
+Words that never occurred in training have the class of their shape.
 
 Counts cover all training documents. Those of the HEAD most frequent words, a bounded table, travel with the
-tasks; rarer words leave the scan as (hash, count in the text) and meet the full table in a hash join. No rare
+tasks; rarer words leave the scan as (place, hash) and meet the full table of counts and classes in a hash join. No rare
 word is frequent, by construction, so that join has no hot key.
 
 Cases: a null or empty text is its end alone; very long texts are handled whole; repeated rows are scored
-each for itself and all teach; without training documents all counts are 0; an empty table gives no rows;
-extra columns are not read.
+each for itself and all teach; without training documents all counts are 0; a word whose best classes tie stays where it
+is, or goes to the first; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import itertools
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import fold_col, in_tasks, rows_in_arrow, scratch, texts, written
+from sparkweave.llm.common import dropped, fold_col, in_tasks, rows_in_arrow, scratch, texts, written
 
 CLUSTERED, CLASSES, HEAD = 1000, 64, 150_000
 SHAPES = 8
@@ -37,6 +40,8 @@ SHAPES = 8
 DRAW = 20.0
 #: Words kept in a worker's look-up table, and bigrams or words counted before they are passed on.
 MOST_WORDS, MOST_COUNTS = 200_000, 300_000
+#: Neighbours of words gathered before they are counted, and words judged at once.
+MOST_NEIGHBOURS, JUDGED = 1_000_000, 256
 #: A text's end; no word holds a space.
 END = b" end"
 
@@ -54,7 +59,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def shape(word: bytes) -> int:
-    """The class of a word without a cluster: long or short, with or without a sign at its end, ASCII letters only or not."""
+    """The class that a word begins in, and where words never met stay: long or short, with or without a sign at its end, ASCII letters only or not."""
     return (len(word) > 8) + 2 * (not word[-1:].isalpha() and word[-1] < 128) + 4 * (not word.isascii())
 
 
@@ -111,6 +116,10 @@ def class_bigrams(docs: DataFrame, top: dict[int, int]) -> DataFrame:
 
 # ---- clustering
 
+def _xlog(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
 def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
     """Classes of the places of a bigram matrix; the first `words` places move between `classes` classes, the others keep one each.
 
@@ -123,9 +132,8 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
     held[np.arange(n), of] = 1
     right, left = bigrams @ held, bigrams.T @ held  # place x class: followed by, preceded by
     grid = held.T @ right
-    xlog = lambda x: x * np.log(np.maximum(x, 1))
     moving = np.arange(classes)
-    least = 1e-12 * float(xlog(bigrams.sum()))
+    least = 1e-12 * float(_xlog(bigrams.sum()))
     after, before = bigrams.sum(1), bigrams.sum(0)
     rows, cols = np.bincount(of, after, k), np.bincount(of, before, k)
     for _ in itertools.count() if sweeps is None else range(sweeps):
@@ -142,11 +150,11 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
             rows[g] -= after[w]
             cols[g] -= before[w]
             # What each class would gain: its row and column, and where these cross.
-            row = xlog(grid[moving] + r0).sum(1) - xlog(grid[moving]).sum(1)
-            col = xlog(grid[:, moving] + l0[:, None]).sum(0) - xlog(grid[:, moving]).sum(0)
+            row = _xlog(grid[moving] + r0).sum(1) - _xlog(grid[moving]).sum(1)
+            col = _xlog(grid[:, moving] + l0[:, None]).sum(0) - _xlog(grid[:, moving]).sum(0)
             diag = grid[moving, moving]
-            cross = xlog(diag + r0[moving] + l0[moving] + own) - xlog(diag + r0[moving]) - xlog(diag + l0[moving]) + xlog(diag)
-            size = xlog(rows[moving] + after[w]) - xlog(rows[moving]) + xlog(cols[moving] + before[w]) - xlog(cols[moving])
+            cross = _xlog(diag + r0[moving] + l0[moving] + own) - _xlog(diag + r0[moving]) - _xlog(diag + l0[moving]) + _xlog(diag)
+            size = _xlog(rows[moving] + after[w]) - _xlog(rows[moving]) + _xlog(cols[moving] + before[w]) - _xlog(cols[moving])
             gain = row + col + cross - size
             to = int(gain.argmax())
             to = to if gain[to] > gain[g] + least else int(g)
@@ -167,6 +175,82 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
     return of
 
 
+def neighbours(docs: DataFrame, top: ClassModel) -> DataFrame:
+    """(h, shape, codes, ns) of every word of docs outside the head of top: how often it precedes class c (code c) and follows it (code k + c)."""
+    k = top.end + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, waiting = Known(top), [], 0
+
+        def out() -> pa.RecordBatch:
+            h, cls, code = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+            held.clear()
+            order = np.lexsort((code, h))
+            h, cls, code = h[order], cls[order], code[order]
+            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.append(at, len(h)))
+            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array((cls[at] - top.shapes_at).astype(np.int32)), pa.array(code[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "shape", "code", "n"])
+
+        for batch in batches:
+            for t in texts(batch):
+                words = words_of(t)
+                ids = known.places(words)
+                cls = np.full(len(words) + 2, top.end, np.int16)
+                cls[1:-1] = known.cls[ids]
+                at = np.flatnonzero(~known.head[ids])
+                h, own = known.h[ids[at]], cls[at + 1]
+                held += [(h, own, cls[at + 2]), (h, own, cls[at] + np.int16(k))]
+                waiting += 2 * len(at)
+                if waiting > MOST_NEIGHBOURS:
+                    yield out()
+                    waiting = 0
+        yield out()
+
+    counted = in_tasks(docs.select("text"), run, "h long, shape int, code int, n long").groupBy("h", "shape", "code").agg(F.sum("n").alias("n"))
+    # A word has 2 k codes at most.
+    return counted.groupBy("h", "shape").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("h", "shape", F.col("x.code").alias("codes"), F.col("x.n").alias("ns"))
+
+
+def best_classes(grid: np.ndarray, shapes_at: int, shapes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of words after one exchange step against the class bigrams of grid, from their shape's class and their neighbours'.
+
+    lengths says how many of codes and ns belong to each word."""
+    k, m = len(grid), shapes_at + SHAPES
+    cells = np.concatenate([grid[:m].T, grid[:, :m]])  # code x class: what a word adds to if it is in the class
+    size, logs = grid[:m].sum(1), _xlog(cells)
+    starts, word = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(len(lengths)), lengths)
+    n = np.add.reduceat(np.where(codes < k, ns, 0), starts)
+    own, each = shapes_at + shapes, np.arange(len(lengths))
+    gain = _xlog(cells[codes] + ns[:, None]) - logs[codes]
+    # The word's own class holds it already: what it loses without it.
+    at, mine = np.arange(len(codes)), own[word]
+    gain[at, mine] = logs[codes, mine] - _xlog(cells[codes, mine] - ns)
+    total = np.add.reduceat(gain, starts, axis=0) - 2 * (_xlog(size + n[:, None]) - _xlog(size))
+    total[each, own] = np.add.reduceat(gain[at, mine], starts) - 2 * (_xlog(size[own]) - _xlog(size[own] - n))
+    to = total.argmax(1)
+    better = total[each, to] > total[each, own] + 1e-9 * np.maximum(1, np.abs(total[each, own]))
+    return n, np.where(better, to, own)
+
+
+def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> DataFrame:
+    """(h, n, cls) of the words of neighbours()."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {"n": [], "cls": []}
+            for at in range(0, batch.num_rows, JUDGED):
+                some = batch.slice(at, JUDGED)
+                shapes, lengths = some.column("shape").to_numpy().astype(np.int64), some.column("codes").value_lengths().to_numpy().astype(np.int64)
+                n, cls = best_classes(grid, shapes_at, shapes, lengths, some.column("codes").flatten().to_numpy(), some.column("ns").flatten().to_numpy())
+                out["n"].append(n)
+                out["cls"].append(cls)
+            return {"h": batch.column("h"), **{x: np.concatenate(y) if y else [] for x, y in out.items()}}
+
+        return run
+
+    return rows_in_arrow(words, make, "h long, n long, cls int")
+
+
 @dataclass
 class ClassModel:
     hashes: np.ndarray  # of the head, sorted
@@ -184,13 +268,11 @@ class ClassModel:
         return self.shapes_at + SHAPES
 
 
-def fit_class_lm(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of all rows of docs, and the written table (h, n) of all their words' counts."""
+def fit_classes(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
+    """The model of all rows of docs without its transitions, and the written table (h, n, cls) of all their words and the end."""
     counts = written(training_counts(docs), "words")
-    by_shape = {r["shape"]: (r["v"], r["n"]) for r in counts.groupBy("shape").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()}
-    head = counts.filter(F.col("shape") < SHAPES).orderBy(F.desc("n"), "h").limit(HEAD).toArrow().to_pandas()
-    head = head.sort_values(["n", "h"], ascending=[False, True], kind="stable")
-    top = head.head(CLUSTERED)
+    top = counts.filter(F.col("shape") < SHAPES).orderBy(F.desc("n"), "h").limit(CLUSTERED).toArrow().to_pandas()
+    top = top.sort_values(["n", "h"], ascending=[False, True], kind="stable")
     places = {int(h): k for k, h in enumerate(top["h"])}
     wide = len(places) + SHAPES + 1
     bigrams = np.zeros((wide, wide))
@@ -202,23 +284,52 @@ def fit_class_lm(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     held = np.zeros((wide, k))
     held[np.arange(wide), of] = 1
     grid = held.T @ bigrams @ held
-    share = (grid.sum(0) + 1) / (grid.sum() + k)
-    step = np.log10((grid + DRAW * share) / (grid.sum(1, keepdims=True) + DRAW))
+
+    def model(head, classes, base=0.0, within=np.zeros(k), tokens=0, ends=0) -> ClassModel:
+        h = head["h"].to_numpy(np.int64)
+        order = np.argsort(h)
+        return ClassModel(h[order], head["n"].to_numpy(np.int64)[order], np.asarray(classes, np.int64)[order], np.zeros((k, k)), base, within, tokens, ends, shapes_at)
+
+    first = model(top, of[: len(places)])
+    ends = counts.filter(F.col("shape") == SHAPES).select("h", "n", F.lit(shapes_at + SHAPES).alias("cls"))
+    common = docs.sparkSession.createDataFrame([(int(h), int(n), int(c)) for h, n, c in zip(top["h"], top["n"], of[: len(places)], strict=True)], "h long, n long, cls int")
+    rarer = classes_by_exchange(neighbours(docs, first), grid, shapes_at)
+    words = written(common.unionByName(ends).unionByName(rarer), "classes")
+    dropped([counts])
+    by_class = {r["cls"]: (r["v"], r["n"]) for r in words.groupBy("cls").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()}
     size, kinds = np.zeros(k), np.zeros(k)
-    np.add.at(size, of[: len(places)], top["n"].to_numpy(float))
-    np.add.at(kinds, of[: len(places)], 1)
-    rest = top.groupby("shape")["n"].agg(["count", "sum"])
-    for s in range(SHAPES):
-        v, n = by_shape.get(s, (0, 0))
-        kinds[shapes_at + s] = v - (rest["count"].get(s, 0))
-        size[shapes_at + s] = n - (rest["sum"].get(s, 0))
-    classes = np.array([of[places[int(h)]] if int(h) in places else shapes_at + s for h, s in zip(head["h"], head["shape"], strict=True)], np.int64)
-    tokens, kinds_all = sum(n for _, n in by_shape.values()), sum(v for v, _ in by_shape.values())
-    order = np.argsort(head["h"].to_numpy(np.int64))
+    for c, (v, n) in by_class.items():
+        if c < shapes_at + SHAPES:
+            size[c], kinds[c] = n, v
+    head = words.filter(F.col("cls") < shapes_at + SHAPES).orderBy(F.desc("n"), "h").limit(HEAD).toArrow().to_pandas()
+    tokens, kinds_all = sum(n for _, n in by_class.values()), sum(v for v, _ in by_class.values())
     # One place more in each class is for words that never occurred; the end is alone in its class.
-    within = np.log10(size + kinds + 1)
-    model = ClassModel(head["h"].to_numpy(np.int64)[order], head["n"].to_numpy(np.int64)[order], classes[order], step, float(np.log10(tokens + kinds_all + 1)), within, tokens, by_shape.get(SHAPES, (0, 0))[1], shapes_at)
-    return model, counts.select("h", "n")
+    return model(head, head["cls"], float(np.log10(tokens + kinds_all + 1)), np.log10(size + kinds + 1), tokens, by_class.get(shapes_at + SHAPES, (0, 0))[1]), words
+
+
+def with_transitions(model: ClassModel, coded: DataFrame) -> ClassModel:
+    """The model with the smoothed transitions between the classes of all rows of coded."""
+    k = model.end + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for cls in sequences(batch, model.end):
+                np.add.at(total, cls[:-1] * k + cls[1:], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
+
+    got = in_tasks(coded.select("seq", "found"), run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    grid = np.zeros((k, k))
+    grid[got["a"], got["b"]] = got["n"]
+    share = (grid.sum(0) + 1) / (grid.sum() + k)
+    return replace(model, step=np.log10((grid + DRAW * share) / (grid.sum(1, keepdims=True) + DRAW)))
+
+
+def fit_class_lm(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
+    """The model of all rows of docs, and the written table (h, n, cls) of all their words' counts and classes."""
+    model, words = fit_classes(docs)
+    return with_transitions(model, class_sequences(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), model, words)), words
 
 
 # ---- scoring
@@ -263,9 +374,10 @@ class Known(dict):
         return ids
 
 
-def score_documents(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def class_sequences(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
+    """Per row of docs, as a written table: its columns but the text, n_tokens, n_known, logs (of the counts), seq (a class a byte),
+    and found, the classes (at, cls) of words beyond the head, which seq has in the class of their shape."""
+    others = [c for c in docs.columns if c != "text"]
 
     def make():
         known, row = Known(model), 0
@@ -273,37 +385,64 @@ def score_documents(docs: DataFrame, model: ClassModel, counts: DataFrame) -> Da
 
         def run(batch: pa.RecordBatch) -> dict:
             nonlocal row
-            out: dict = {"doc_id": batch.column("doc_id"), **{k: [] for k in ("row", "n_tokens", "n_head", "logs", "score", "rare", "times")}}
+            out: dict = {**{c: batch.column(c) for c in others}, **{k: [] for k in ("_row", "n_tokens", "n_head", "head_logs", "seq", "at", "h")}}
             for t in texts(batch):
-                words = words_of(t)
-                ids = known.places(words)
-                cls = np.full(len(words) + 2, model.end, np.int64)
-                cls[1:-1] = known.cls[ids]
+                ids = known.places(words_of(t))
                 head = known.head[ids]
-                logs = float(known.log[ids].sum())
-                rare, times = np.unique(known.h[ids[~head]], return_counts=True)
-                out["row"].append(part + row)
+                at = np.flatnonzero(~head)
+                out["_row"].append(part + row)
                 row += 1
-                out["n_tokens"].append(len(words) + 1)
+                out["n_tokens"].append(len(ids) + 1)
                 out["n_head"].append(int(head.sum()) + (model.ends > 0))
-                out["logs"].append(logs)
-                # The end has its class for itself: once there, it is certain.
-                out["score"].append(float(model.step[cls[:-1], cls[1:]].sum() - model.within[cls[1:-1]].sum()))
-                out["rare"].append(rare)
-                out["times"].append(times)
+                out["head_logs"].append(float(known.log[ids].sum()))
+                out["seq"].append(known.cls[ids].astype(np.uint8).tobytes())
+                out["at"].append(at)
+                out["h"].append(known.h[ids[at]])
             return out
 
         return run
 
-    scanned = written(rows_in_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, row long, n_tokens long, n_head long, logs double, score double, rare array<long>, times array<long>"), "scored")
-    rare = scanned.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
-    found = rare.join(counts, "h").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))
-    out = scanned.drop("rare", "times").join(found, "row", "left")
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        (logs + F.lit(float(np.log10(model.ends + 1))) - F.col("n_tokens") * F.lit(model.base)).alias("base_score"), (F.col("score") + logs).alias("score"),
-    )
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    scanned = written(rows_in_arrow(docs.select(*others, "text"), make, f"{kinds}, _row long, n_tokens long, n_head long, head_logs double, seq binary, at array<int>, h array<long>"), "scanned")
+    rare = scanned.select("_row", F.explode(F.arrays_zip("at", "h")).alias("w")).select("_row", "w.at", "w.h")
+    found = rare.join(words, "h").groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.log10(F.col("n") + 1)).alias("_logs"), F.collect_list(F.struct("at", "cls")).alias("found"))
+    out = scanned.drop("at", "h").join(found, "_row", "left")
+    coded = written(out.select(*others, "n_tokens", (F.col("n_head") + F.coalesce("_n", F.lit(0))).alias("n_known"), (F.col("head_logs") + F.coalesce("_logs", F.lit(0.0))).alias("logs"), "seq", "found"), "coded")
+    dropped([scanned])
+    return coded
+
+
+def sequences(batch: pa.RecordBatch, end: int) -> Iterator[np.ndarray]:
+    """The classes of each row of class_sequences(), between two ends."""
+    for raw, found in zip(batch.column("seq"), batch.column("found").to_pylist(), strict=True):
+        own = np.frombuffer(raw.as_buffer(), np.uint8)
+        cls = np.full(len(own) + 2, end, np.int64)
+        cls[1:-1] = own
+        for w in found or ():
+            cls[w["at"] + 1] = w["cls"]
+        yield cls
+
+
+def scores(coded: DataFrame, model: ClassModel) -> DataFrame:
+    """Per row of class_sequences(): doc_id, n_tokens, n_known, base_score, score."""
+    kind = coded.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            # The end has its class for itself: once there, it is certain.
+            own = [float(model.step[cls[:-1], cls[1:]].sum() - model.within[cls[1:-1]].sum()) for cls in sequences(batch, model.end)]
+            return {**{c: batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")}, "steps": own}
+
+        return run
+
+    out = rows_in_arrow(coded.select("doc_id", "n_tokens", "n_known", "logs", "seq", "found"), make, f"doc_id {kind}, n_tokens long, n_known long, logs double, steps double")
+    base = F.col("logs") + F.lit(float(np.log10(model.ends + 1))) - F.col("n_tokens") * F.lit(model.base)
+    return out.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), (F.col("steps") + F.col("logs")).alias("score"))
+
+
+def score_documents(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, n_known, base_score, score."""
+    return scores(class_sequences(docs.select("doc_id", "text"), model, words), model)
 
 
 def perplexity(score: Column, n_tokens: Column) -> Column:
@@ -312,7 +451,10 @@ def perplexity(score: Column, n_tokens: Column) -> Column:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    learns = fold_col("doc_id", 7) != 2
     with scratch() as keep:
-        model, counts = fit_class_lm(docs.filter(fold_col("doc_id", 7) != 2))
-        out = keep(score_documents(docs, model, counts), "scores")
+        model, words = fit_classes(docs.filter(learns))
+        coded = class_sequences(docs, model, words)
+        model = with_transitions(model, coded.filter(learns))
+        out = keep(scores(coded, model), "scores")
     return out.select("doc_id", (fold_col("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -93,3 +93,69 @@ def test_sweeps_go_on_until_nothing_changes():
     b = np.pad(rng.poisson(0.6 * rng.pareto(1.2, n)[:, None] * rng.pareto(1.2, n)[None, :]).clip(0, 500).astype(float), ((0, 1), (0, 1)))
     of = c.exchange(b, n, classes=12)
     assert np.array_equal(of, c.exchange(b, n, classes=12, sweeps=500)) and not np.array_equal(of, c.exchange(b, n, classes=12, sweeps=6))
+
+
+def test_rarer_words_join_the_class_that_raises_the_likelihood_most():
+    rng = np.random.default_rng(7)
+    k, shapes_at = 4 + c.SHAPES + 1, 4
+    x = lambda v: (v * np.log(np.maximum(v, 1))).sum()
+    whole = rng.integers(0, 40, (k, k)).astype(float)
+    shapes, lengths, codes, ns, want = [], [], [], [], []
+    grid = whole.copy()
+    words = []
+    for _ in range(30):
+        s = int(rng.integers(0, c.SHAPES))
+        r, le = (np.bincount(rng.integers(0, k, 6), minlength=k).astype(float) for _ in range(2))
+        r[shapes_at + s] = le[shapes_at + s] = 0
+        grid[shapes_at + s] += r
+        grid[:, shapes_at + s] += le
+        words.append((s, r, le))
+
+    for s, r, le in words:
+        gains = []
+        for g in range(k - 1):  # rows and columns as they would be with the word in g alone, each counted by itself
+            rows, cols = grid.copy(), grid.copy()
+            for m, sign, at in ((rows, -1, shapes_at + s), (rows, 1, g)):
+                m[at] += sign * r
+            for m, sign, at in ((cols, -1, shapes_at + s), (cols, 1, g)):
+                m[:, at] += sign * le
+            size = grid.sum(1)[: k - 1].copy()
+            size[shapes_at + s] -= r.sum()
+            size[g] += r.sum()
+            gains.append(x(rows) + x(cols) - 2 * x(size))
+        want.append(int(np.argmax(gains)))
+        own = [(a, int(v)) for a, v in enumerate(np.concatenate([r, le])) if v]
+        shapes.append(s)
+        lengths.append(len(own))
+        codes += [a for a, _ in own]
+        ns += [v for _, v in own]
+    n, got = c.best_classes(grid, shapes_at, *(np.array(v) for v in (shapes, lengths, codes, ns)))
+    assert n.tolist() == [int(r.sum()) for _, r, _ in words] and got.tolist() == want
+
+
+@pytest.mark.parametrize("head", [150_000, 25])
+def test_scores_by_hand_over_all_classes(spark, docs_of, monkeypatch, head):
+    monkeypatch.setattr(c, "HEAD", head)
+    monkeypatch.setattr(c, "CLUSTERED", 20)
+    rows = [(i, t) for i, t, _ in texts_of()][:80]
+    df = docs_of(rows)
+    model, words = c.fit_class_lm(df.filter(fold_col("doc_id", 7) != 2))
+    known = {r["h"]: (r["n"], r["cls"]) for r in words.collect()}
+    end = model.end
+    code = lambda t: [end, *(known.get(c.word_hash(w), (0, model.shapes_at + c.shape(w)))[1] for w in c.words_of(t or "")), end]
+    grid, size, kinds = np.zeros((end + 1, end + 1)), np.zeros(end + 1), np.zeros(end + 1)
+    for i, t in rows:
+        if fold(i, 7) != 2:
+            for a, b in zip(code(t), code(t)[1:], strict=False):
+                grid[a, b] += 1
+    for n, cls in known.values():
+        size[cls] += n
+        kinds[cls] += 1
+    share = (grid.sum(0) + 1) / (grid.sum() + end + 1)
+    step = (grid + c.DRAW * share) / (grid.sum(1, keepdims=True) + c.DRAW)
+    got = {r["doc_id"]: r["score"] for r in c.score_documents(df, model, words).collect()}
+    for i, t in rows:
+        own = code(t)
+        emit = sum(math.log10((known.get(c.word_hash(w), (0, 0))[0] + 1) / (size[cls] + kinds[cls] + 1)) for w, cls in zip(c.words_of(t or ""), own[1:-1], strict=True))
+        assert got[i] == pytest.approx(sum(math.log10(step[a, b]) for a, b in zip(own, own[1:], strict=False)) + emit, abs=1e-6)
+    assert len({cls for _, cls in known.values()}) > c.SHAPES
