@@ -27,6 +27,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,39 +177,40 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
 
 
 def neighbours(docs: DataFrame, top: ClassModel) -> DataFrame:
-    """(h, shape, codes, ns) of every word of docs outside the head of top: how often it precedes class c (code c) and follows it (code k + c)."""
+    """(h, shape, codes, ns) of every word of docs outside the head of top: how often it precedes class c (code c) and follows it (code k + c).
+
+    codes and ns are packed, as bytes and eight bytes each; a word has a row from each task that met it, or some."""
     k = top.end + 1
+    if 2 * k > 256:
+        raise ValueError("codes of classes take a byte")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, waiting = Known(top), [], 0
 
         def out() -> pa.RecordBatch:
-            h, cls, code = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+            keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
             held.clear()
-            order = np.lexsort((code, h))
-            h, cls, code = h[order], cls[order], code[order]
-            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(at, len(h)))
-            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array((cls[at] - top.shapes_at).astype(np.int32)), pa.array(code[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "shape", "code", "n"])
+            ids, codes = keys >> 8, (keys & 255).astype(np.uint8)
+            at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+            ends, own = np.append(at[1:], len(ids)), ids[at]
+            packed = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, ends[-1:]) * x.itemsize).astype(np.int32).tobytes() or bytes(4)), pa.py_buffer(x.tobytes())]) for x in (codes, n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(known.h[own]), pa.array((known.cls[own] - top.shapes_at).astype(np.int32)), *packed], ["h", "shape", "codes", "ns"])
 
         for batch in batches:
             for t in texts(batch):
-                words = words_of(t)
-                ids = known.places(words)
-                cls = np.full(len(words) + 2, top.end, np.int16)
+                if waiting > MOST_NEIGHBOURS or len(known) > MOST_WORDS:
+                    yield out()
+                    waiting = 0
+                ids = known.places(words_of(t))
+                cls = np.full(len(ids) + 2, top.end, np.int64)
                 cls[1:-1] = known.cls[ids]
                 at = np.flatnonzero(~known.head[ids])
-                h, own = known.h[ids[at]], cls[at + 1]
-                held += [(h, own, cls[at + 2]), (h, own, cls[at] + np.int16(k))]
+                own = ids[at] << 8
+                held += [own + cls[at + 2], own + (cls[at] + k)]
                 waiting += 2 * len(at)
-                if waiting > MOST_NEIGHBOURS:
-                    yield out()
-                    waiting = 0
         yield out()
 
-    counted = in_tasks(docs.select("text"), run, "h long, shape int, code int, n long").groupBy("h", "shape", "code").agg(F.sum("n").alias("n"))
-    # A word has 2 k codes at most.
-    return counted.groupBy("h", "shape").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("h", "shape", F.col("x.code").alias("codes"), F.col("x.n").alias("ns"))
+    return in_tasks(docs.select("text"), run, "h long, shape int, codes binary, ns binary")
 
 
 def best_classes(grid: np.ndarray, shapes_at: int, shapes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,23 +234,45 @@ def best_classes(grid: np.ndarray, shapes_at: int, shapes: np.ndarray, lengths:
     return n, np.where(better, to, own)
 
 
-def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> DataFrame:
-    """(h, n, cls) of the words of neighbours()."""
+def merged(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """h, shapes, lengths, codes, ns of the words of rows of neighbours() in the order of h, each word once."""
+    h, shapes = batch.column("h").to_numpy(), batch.column("shape").to_numpy()
+    lengths = pc.binary_length(batch.column("codes")).to_numpy()
+    codes, ns = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("codes", np.uint8), ("ns", np.int64)))
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    keys, at = np.unique((np.repeat(np.cumsum(new) - 1, lengths) << 8) + codes, return_inverse=True)
+    return h[new], shapes[new].astype(np.int64), np.bincount(keys >> 8, minlength=int(new.sum())), keys & 255, np.bincount(at, ns).astype(np.int64)
 
-    def make():
-        def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"n": [], "cls": []}
-            for at in range(0, batch.num_rows, JUDGED):
-                some = batch.slice(at, JUDGED)
-                shapes, lengths = some.column("shape").to_numpy().astype(np.int64), some.column("codes").value_lengths().to_numpy().astype(np.int64)
-                n, cls = best_classes(grid, shapes_at, shapes, lengths, some.column("codes").flatten().to_numpy(), some.column("ns").flatten().to_numpy())
-                out["n"].append(n)
-                out["cls"].append(cls)
-            return {"h": batch.column("h"), **{x: np.concatenate(y) if y else [] for x, y in out.items()}}
 
-        return run
+def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> DataFrame:
+    """(h, n, cls) of the words of neighbours().
 
-    return rows_in_arrow(words, make, "h long, n long, cls int")
+    A word's rows lie side by side in one partition and are added up as they pass, so that no group is ever held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(h, shapes, lengths, codes, ns) -> Iterator[pa.RecordBatch]:
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            for x in range(0, len(h), JUDGED):
+                y = min(x + JUDGED, len(h))
+                own = slice(ends[x], ends[y])
+                n, cls = best_classes(grid, shapes_at, shapes[x:y], lengths[x:y], codes[own], ns[own])
+                yield pa.RecordBatch.from_arrays([pa.array(h[x:y]), pa.array(n), pa.array(cls.astype(np.int32))], ["h", "n", "cls"])
+
+        last = None  # the word that may go on in the next batch, as a row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch.cast(last.schema)]).combine_chunks().to_batches()[0]
+            h, shapes, lengths, codes, ns = merged(batch)
+            cut = len(codes) - lengths[-1]
+            kept = [pa.array(h[-1:]), pa.array(shapes[-1:].astype(np.int32)), pa.array([codes[cut:].astype(np.uint8).tobytes()]), pa.array([ns[cut:].astype(np.int64).tobytes()])]
+            last = pa.RecordBatch.from_arrays(kept, ["h", "shape", "codes", "ns"])
+            yield from judged(h[:-1], shapes[:-1], lengths[:-1], codes[:cut], ns[:cut])
+        if last is not None:
+            yield from judged(*merged(last))
+
+    return in_tasks(words.repartition("h").sortWithinPartitions("h"), run, "h long, n long, cls int")
 
 
 @dataclass

@@ -159,3 +159,37 @@ def test_scores_by_hand_over_all_classes(spark, docs_of, monkeypatch, head):
         emit = sum(math.log10((known.get(c.word_hash(w), (0, 0))[0] + 1) / (size[cls] + kinds[cls] + 1)) for w, cls in zip(c.words_of(t or ""), own[1:-1], strict=True))
         assert got[i] == pytest.approx(sum(math.log10(step[a, b]) for a, b in zip(own, own[1:], strict=False)) + emit, abs=1e-6)
     assert len({cls for _, cls in known.values()}) > c.SHAPES
+
+
+def test_neighbours_are_those_of_a_plain_count(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(c, "MOST_NEIGHBOURS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # words go on from batch to batch
+    try:
+        rows = [(i, t) for i, t, _ in texts_of()][:40]
+        n = Counter(w for _, t in rows for w in c.words_of(t or ""))
+        top = {w: k % 3 for k, (w, _) in enumerate(n.most_common(9))}
+        h = sorted((c.word_hash(w), n[w], k) for w, k in top.items())
+        model = c.ClassModel(*(np.array(x) for x in zip(*h, strict=True)), np.zeros((12, 12)), 0.0, np.zeros(12), 0, 0, 3)
+        want = Counter()
+        of = lambda w: model.end if w is None else top.get(w, 3 + c.shape(w))
+        for _, t in rows:
+            words = [None, *c.words_of(t or ""), None]
+            for a, w, b in zip(words, words[1:], words[2:], strict=False):
+                if w not in top:
+                    want[c.word_hash(w), of(b)] += 1
+                    want[c.word_hash(w), 12 + of(a)] += 1
+        grid = np.random.default_rng(1).integers(50, 90, (12, 12)) + 10_000.0
+        found = c.neighbours(docs_of(rows), model)
+        got = Counter()
+        for r in found.collect():
+            for a, k in zip(np.frombuffer(r["codes"], np.uint8).tolist(), np.frombuffer(r["ns"], np.int64).tolist(), strict=True):
+                got[r["h"], a] += k
+        assert got == want
+        placed = {r["h"]: (r["n"], r["cls"]) for r in c.classes_by_exchange(found, grid, 3).collect()}
+        assert len(placed) == len(n) - 9
+        for w in set(n) - set(top):
+            own = sorted((a, k) for (x, a), k in want.items() if x == c.word_hash(w))
+            m, cls = c.best_classes(grid, 3, np.array([c.shape(w)]), np.array([len(own)]), *(np.array(x) for x in zip(*own, strict=True)))
+            assert placed[c.word_hash(w)] == (m[0], cls[0]) and m[0] == n[w]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
