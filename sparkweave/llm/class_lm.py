@@ -41,8 +41,8 @@ SHAPES = 8
 DRAW = 20.0
 #: Words kept in a worker's look-up table, and bigrams or words counted before they are passed on.
 MOST_WORDS, MOST_COUNTS = 200_000, 300_000
-#: Neighbours of words gathered before they are counted, and words judged at once.
-MOST_NEIGHBOURS, JUDGED = 1_000_000, 256
+#: Neighbours of words gathered before they are counted, words judged at once, and counts whose gains are kept.
+MOST_NEIGHBOURS, JUDGED, FEW = 2_000_000, 256, 16
 #: A text's end; no word holds a space.
 END = b" end"
 
@@ -213,17 +213,31 @@ def neighbours(docs: DataFrame, top: ClassModel) -> DataFrame:
     return in_tasks(docs.select("text"), run, "h long, shape int, codes binary, ns binary")
 
 
-def best_classes(grid: np.ndarray, shapes_at: int, shapes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(grid: np.ndarray) -> np.ndarray:
+    """Code x class: what a word adds to if it is in the class; the end, the last one, takes no words."""
+    return np.concatenate([grid[:-1].T, grid[:, :-1]])
+
+
+def gains_of_few(cells: np.ndarray) -> np.ndarray:
+    """What 1 to FEW neighbours more add to the likelihood, by code and class."""
+    return np.stack([_xlog(cells + n) - _xlog(cells) for n in range(1, FEW + 1)])
+
+
+def best_classes(grid: np.ndarray, shapes_at: int, shapes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, ns: np.ndarray, few: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Count and class of words after one exchange step against the class bigrams of grid, from their shape's class and their neighbours'.
 
     lengths says how many of codes and ns belong to each word."""
     k, m = len(grid), shapes_at + SHAPES
-    cells = np.concatenate([grid[:m].T, grid[:, :m]])  # code x class: what a word adds to if it is in the class
+    cells = cells_of(grid)
     size, logs = grid[:m].sum(1), _xlog(cells)
     starts, word = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(len(lengths)), lengths)
     n = np.add.reduceat(np.where(codes < k, ns, 0), starts)
     own, each = shapes_at + shapes, np.arange(len(lengths))
-    gain = _xlog(cells[codes] + ns[:, None]) - logs[codes]
+    # Most words are met a few times only: what that adds is the same for all of them.
+    few = gains_of_few(cells) if few is None else few
+    gain = few[np.minimum(ns, FEW) - 1, codes]
+    more = np.flatnonzero(ns > FEW)
+    gain[more] = _xlog(cells[codes[more]] + ns[more, None]) - logs[codes[more]]
     # The word's own class holds it already: what it loses without it.
     at, mine = np.arange(len(codes)), own[word]
     gain[at, mine] = logs[codes, mine] - _xlog(cells[codes, mine] - ns)
@@ -255,9 +269,10 @@ def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> D
             for x in range(0, len(h), JUDGED):
                 y = min(x + JUDGED, len(h))
                 own = slice(ends[x], ends[y])
-                n, cls = best_classes(grid, shapes_at, shapes[x:y], lengths[x:y], codes[own], ns[own])
+                n, cls = best_classes(grid, shapes_at, shapes[x:y], lengths[x:y], codes[own], ns[own], few)
                 yield pa.RecordBatch.from_arrays([pa.array(h[x:y]), pa.array(n), pa.array(cls.astype(np.int32))], ["h", "n", "cls"])
 
+        few = gains_of_few(cells_of(grid))
         last = None  # the word that may go on in the next batch, as a row
         for batch in batches:
             if not batch.num_rows:
@@ -266,8 +281,8 @@ def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> D
                 batch = pa.Table.from_batches([last, batch.cast(last.schema)]).combine_chunks().to_batches()[0]
             h, shapes, lengths, codes, ns = merged(batch)
             cut = len(codes) - lengths[-1]
-            kept = [pa.array(h[-1:]), pa.array(shapes[-1:].astype(np.int32)), pa.array([codes[cut:].astype(np.uint8).tobytes()]), pa.array([ns[cut:].astype(np.int64).tobytes()])]
-            last = pa.RecordBatch.from_arrays(kept, ["h", "shape", "codes", "ns"])
+            row = [pa.array(h[-1:]), pa.array(shapes[-1:].astype(np.int32)), pa.array([codes[cut:].astype(np.uint8).tobytes()]), pa.array([ns[cut:].astype(np.int64).tobytes()])]
+            last = pa.RecordBatch.from_arrays(row, ["h", "shape", "codes", "ns"])
             yield from judged(h[:-1], shapes[:-1], lengths[:-1], codes[:cut], ns[:cut])
         if last is not None:
             yield from judged(*merged(last))

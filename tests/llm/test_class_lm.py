@@ -105,7 +105,7 @@ def test_rarer_words_join_the_class_that_raises_the_likelihood_most():
     words = []
     for _ in range(30):
         s = int(rng.integers(0, c.SHAPES))
-        r, le = (np.bincount(rng.integers(0, k, 6), minlength=k).astype(float) for _ in range(2))
+        r, le = (np.bincount(rng.integers(0, k, 6), minlength=k) * rng.integers(1, 9) * 1.0 for _ in range(2))
         r[shapes_at + s] = le[shapes_at + s] = 0
         grid[shapes_at + s] += r
         grid[:, shapes_at + s] += le
