@@ -446,3 +446,13 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same rows by all pairs that share a shingle, for small tables.
+OP5_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), x AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.c) AS component_id FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY 1, 2"""

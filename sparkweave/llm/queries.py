@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkweave.llm.class_lm import op9_lm_scoring
 from sparkweave.llm.decontaminate import op7_decontamination
 from sparkweave.llm.html_extract import op2_html_extraction
-from sparkweave.llm.jaccard import op5_ngram_jaccard_join
+from sparkweave.llm.jaccard import OP5_SQL, op5_ngram_jaccard_join
 from sparkweave.llm.language import op3_language_id
 from sparkweave.llm.packing import op8_best_fit_packing
 from sparkweave.llm.pii import op10_pii
@@ -40,4 +40,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op6_topk_search": OP6_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL}

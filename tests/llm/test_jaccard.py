@@ -133,3 +133,14 @@ def test_frequent_shingles_are_dealt_by_class(spark, docs_of, monkeypatch):
     rows = family(rng, 60, 150, 5, 10_000) + family(rng, 40, 40, 3, 20_000) + [(i, t) for i, t, _ in texts_of()][:80]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.link_components(docs_of(rows), 80, 5).collect()}
     assert got == plain_components(rows, 80, 5)
+
+
+def test_the_query_gives_the_rows_of_its_sql(spark):
+    import duckdb
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = j.op5_ngram_jaccard_join(spark, sf)
+    assert sorted(got.columns) == ["component_id", "doc_id", "n_shingles"]
+    want = sorted(db.execute(f"SELECT doc_id, n_shingles, component_id FROM ({j.OP5_SQL})").fetchall())
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == want and any(c != i for i, _, c in want)
