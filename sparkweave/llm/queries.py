@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm.class_lm import op9_lm_scoring
 from sparkweave.llm.decontaminate import op7_decontamination
+from sparkweave.llm.divergence import OP11_SQL, op11_source_divergence_audit
+from sparkweave.llm.filter_audit import OP12_SQL, op12_filter_interaction_audit
 from sparkweave.llm.html_extract import op2_html_extraction
 from sparkweave.llm.jaccard import OP5_SQL, op5_ngram_jaccard_join
 from sparkweave.llm.language import op3_language_id
@@ -35,9 +37,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_pii": op10_pii,
+        "op11_source_divergence_audit": op11_source_divergence_audit,
+        "op12_filter_interaction_audit": op12_filter_interaction_audit,
         "pipeline": pipeline,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL, "op11_source_divergence_audit": OP11_SQL, "op12_filter_interaction_audit": OP12_SQL}
