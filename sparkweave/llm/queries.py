@@ -14,6 +14,7 @@ from sparkweave.llm.filter_audit import OP12_SQL, op12_filter_interaction_audit
 from sparkweave.llm.html_extract import op2_html_extraction
 from sparkweave.llm.jaccard import OP5_SQL, op5_ngram_jaccard_join
 from sparkweave.llm.language import op3_language_id
+from sparkweave.llm.line_crf import op13_quality_classifier
 from sparkweave.llm.packing import op8_best_fit_packing
 from sparkweave.llm.pii import op10_pii
 from sparkweave.llm.secrets import op4_secret_scan
@@ -39,6 +40,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": op10_pii,
         "op11_source_divergence_audit": op11_source_divergence_audit,
         "op12_filter_interaction_audit": op12_filter_interaction_audit,
+        "op13_quality_classifier": op13_quality_classifier,
         "pipeline": pipeline,
     }
 
