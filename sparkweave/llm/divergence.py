@@ -26,14 +26,22 @@ from __future__ import annotations
 
 import functools
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import scratch, written
+from sparkweave.llm.common import in_tasks, scratch, slices, texts, written
 
-#: Fixed value: runs of ASCII letters and of all that isn't ASCII.
+#: Fixed value: terms are runs of ASCII letters and of all that isn't ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same for the bytes of UTF-8: A to Z in lower case, what ends a term as a blank, and all else as it is.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: Terms that a task counts before it hands them on.
+MOST_HELD = 400_000
 LEAST_DOCS, TOP = 10, 10
 #: Values are below 2 to the power of BITS and are looked at DIGIT bits at a time.
 BITS, DIGIT = 30, 10
@@ -44,19 +52,42 @@ GROUP = ["lang", "source"]
 
 # ---- terms
 
-def terms(text: Column) -> Column:
-    """The terms of a text in order, A to Z in lower case."""
-    plain = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(F.lower(text)), F.lit(TERM), F.lit(0))
+def terms(text: str) -> list[bytes]:
+    """The terms of a text in order, A to Z in lower case, as UTF-8."""
+    return text.encode("utf-8", "replace").translate(_BYTES).split()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that hold the term, of docs (lang, source, text)."""
-    held = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in GROUP], terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    # Of each document every occurrence, and every distinct term once more as a mark of the document.
-    marked = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("mark"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("mark"))))
-    rows = held.select(*GROUP, F.explode(marked).alias("t")).select(*GROUP, "t.term", "t.mark")
-    return rows.groupBy(*GROUP, "term").agg(F.count_if(~F.col("mark")).alias("n"), F.count_if("mark").alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, held) in groups.items():
+                if n:
+                    of = list(n)
+                    same = lambda x, k=len(of): pa.array([x], pa.string()).take(pa.array(np.zeros(k, np.int32)))
+                    yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(of, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([held[x] for x in of], pa.int64())], ["lang", "source", "term", "n", "docs"])
+            groups.clear()
+
+        size = 0
+        for batch in batches:
+            for piece in slices(batch):
+                for text, *key in zip(texts(piece), texts(piece, "lang"), texts(piece, "source"), strict=True):
+                    found = terms(text)
+                    n, held = groups.setdefault(tuple(key), (Counter(), Counter()))
+                    size -= len(n)
+                    n.update(found)
+                    held.update(set(found))
+                    size += len(n)
+                    if size > MOST_HELD:
+                        yield from handed_on()
+                        size = 0
+        yield from handed_on()
+
+    counted = in_tasks(docs.select("text", *GROUP), run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_counts(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
