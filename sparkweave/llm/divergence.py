@@ -15,7 +15,7 @@ value; among rows with that value the bytes of the items' UTF-8 are counted the
 histogram has one row per group and digit, added up where the rows are, so no group is gathered or sorted.
 Full ranks come from the same histograms: the rows of higher digits are counted, only those that share a digit are sorted.
 
-Arithmetic is exact: shares use decimals of 38 digits, all else fits 64 bits.
+Arithmetic is exact in 64 bits, up to 9e15 occurrences of terms in a language; more would raise an error.
 
 Cases: null text, lang and source count as ''; groups without terms, or of a language that keeps none, have pairs of value 0
 (base shares alone otherwise) and no terms; repeated rows count each as a document; terms of any length are taken whole; a language
@@ -87,7 +87,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from handed_on()
 
     counted = in_tasks(docs.select("text", *GROUP), run, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Placed by language and term at once, where all that follows wants the rows; tasks have added up most of it.
+    return counted.repartition("lang", "term").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_counts(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -97,8 +98,14 @@ def kept_counts(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 
 
 def share(n: Column, total: Column, kinds: Column) -> Column:
-    """The smoothed share of n occurrences among total ones of so many kinds of terms, in billionths and 1 more."""
-    return F.expr("1L") + _div(F.lit(10**9).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)"), (total + 2 * kinds).cast("decimal(20,0)"))
+    """The smoothed share of n occurrences among total ones of so many kinds of terms, in billionths and 1 more.
+
+    The nine digits come three at a time, so that nothing exceeds 64 bits."""
+    whole, rest, out = (total + 2 * kinds).cast("long"), (n + 2).cast("long"), F.expr("1L")
+    for scale in (10**6, 10**3, 1):
+        out = out + _div(rest * 1000, whole) * scale
+        rest = (rest * 1000) % whole
+    return out
 
 
 def _div(a: Column, b: Column) -> Column:
