@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import itertools
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from sparkweave.storage import dropped, scratch, shared_dir, written
 
@@ -41,6 +42,10 @@ def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     if conf.get(_BATCH) == "10000":  # the default
         conf.set(_BATCH, "1000")
     name = f"{run.__module__}.{run.__qualname__}"
+    # Names that Spark would take for paths are plain ones on the way through the tasks.
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    taken = {c.lower() for c in (*df.columns, *kind.names)}
+    plain = {c: next(p for k in itertools.count(at) if (p := f"column_{k}") not in taken) for at, c in enumerate(dict.fromkeys([*df.columns, *kind.names])) if not re.fullmatch(r"\w+", c)}
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _of_worker(name)
@@ -49,7 +54,10 @@ def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         finally:
             give_back()
 
-    return df.mapInArrow(tidy, schema)
+    if not plain:
+        return df.mapInArrow(tidy, kind)
+    through = StructType([StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in kind])
+    return df.toDF(*[plain.get(c, c) for c in df.columns]).mapInArrow(tidy, through).toDF(*kind.names)
 
 
 _KEPT: dict[tuple[str, ...], object] = {}

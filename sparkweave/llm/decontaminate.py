@@ -8,15 +8,16 @@ without any placeholder meet one another, whatever their slots. Matches that con
 don't make one by themselves. A run counts when it spans RUN words, or
 a shorter item but for a word, and its slots are consistent: one value of the item always stands for one value of
 the document, so that re-parameterised questions are caught and chance matches of templates are not. A run whose slots
-conflict is split there, and each consistent stretch of BROKEN_RUN words counts by itself.
+conflict is split there: what counts by itself is each stretch of RUN words whose slots hold the item's own values, and each
+consistent stretch of BROKEN_RUN words with other values.
 
 Document windows are tested against the sorted benchmark hashes while texts are read, so only matches leave
 the scan. These hashes are broadcast when there are at most MOST_HASHES of them; beyond that all document
 windows go into the same hash join, whose benchmark side is broadcast up to MOST_BROADCAST rows. Matches are pre-aggregated per document and item; no pair of documents
 is ever formed, so a passage that a third of all documents share costs each of them its own windows.
 
-Cases: null or empty texts match nothing; an item of fewer words than a window is one window of its own, if it has
-LEAST_WORDS words; an empty benchmark or table gives no rows; repeated documents repeat their result once per
+Cases: null or empty texts match nothing; an item of fewer words than a window is one window of its own, by its words as they are
+alone where it has less than LEAST_WORDS, as a template of so few words says nothing; an empty benchmark or table gives no rows; repeated documents repeat their result once per
 distinct id; extra columns are not read, and filtering keeps them.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from sparkweave.llm.common import kept, rows_in_arrow, texts, without, written
 
 WINDOW, RUN, LEAST_WORDS, LEAST_LITERAL = 8, 10, 5, 4
-#: Words of a stretch that counts although its run's slots conflict elsewhere; shorter ones may be another question.
+#: Words of a stretch with other values than the item's that counts although its run's slots conflict elsewhere; shorter ones are another question.
 BROKEN_RUN = 2 * RUN
 MOST_HASHES, MOST_BROADCAST = 2_000_000, 200_000
 #: Words kept in a worker's look-up table.
@@ -192,12 +193,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("hash", "bare", "size", "kind", "item_id", "item_at", "item_words", "slots", "vals")}
             for item, text in zip(batch.column("item_id").to_pylist(), texts(batch), strict=True):
                 t, v, slot = template(text, words)
-                size = len(t) if LEAST_WORDS <= len(t) < WINDOW else WINDOW
+                size = min(len(t), WINDOW) or WINDOW
                 bare, (h, good), plain = _bare(t, size), window_hashes(t, v, slot, size), plain_hashes(v, size)
                 for p in range(len(h)):
                     here = np.flatnonzero(slot[p : p + size])
                     vals = v[p + here].view(np.int64).tolist()
-                    for x, kind in ((h, ENOUGH if good[p] else POOR), (plain, PLAIN)):
+                    for x, kind in ((h, ENOUGH if good[p] else POOR), (plain, PLAIN))[size < LEAST_WORDS :]:
                         for k, y in (("hash", int(x[p : p + 1].view(np.int64)[0])), ("bare", int(bare[p : p + 1].view(np.int64)[0])), ("size", size), ("kind", kind), ("item_id", item), ("item_at", p), ("item_words", len(t)), ("slots", here.tolist()), ("vals", vals)):
                             out[k].append(y)
             return out
@@ -288,6 +289,13 @@ def consistent(slots: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
     return [*out, (lo, len(slots))] if len(slots) > lo else out
 
 
+def unchanged(slots: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The stretches, as (first, last + 1), of windows in which every slot holds the item's own value."""
+    same = np.concatenate([[0], [all(a == b for a, b in pairs) for pairs in slots], [0]]).astype(np.int8)
+    edge = np.flatnonzero(np.diff(same))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
 def _counted(runs: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_words) of the runs that count, split where slots conflict."""
 
@@ -299,8 +307,12 @@ def _counted(runs: DataFrame) -> DataFrame:
                 slots = [[(x["a"], x["b"]) for x in w["slots"]] for w in windows]
                 parts, enough = consistent(slots), [s for s, w in zip(slots, windows, strict=True) if w["enough"]]
                 # Windows with few plain words may break off without making the others' run doubtful.
-                least = min(RUN, r["item_words"] - 1) if consistent(enough) in ([], [(0, len(enough))]) else BROKEN_RUN
-                parts = [(x, y) for x, y in parts if y - x + r["size"] - 1 >= least and any(w["strong"] for w in windows[x:y])]
+                whole = consistent(enough) in ([], [(0, len(enough))])
+                least = min(RUN, r["item_words"] - 1)
+                parts = [(x, y) for x, y in parts if y - x + r["size"] - 1 >= (least if whole else BROKEN_RUN)]
+                if not whole:
+                    parts += [(x, y) for x, y in unchanged(slots) if y - x + r["size"] - 1 >= least]
+                parts = [(x, y) for x, y in parts if any(w["strong"] for w in windows[x:y])]
                 if parts:
                     held = set().union(*(range(x, y) for x, y in parts))
                     for k, y in (("doc_id", r["doc_id"]), ("item_id", r["item_id"]), ("n_windows", len(held)), ("n_words", max(y - x for x, y in parts) + r["size"] - 1)):

@@ -38,9 +38,30 @@ def test_stages(spark, docs_of, tmp_path):
     assert sorted(map(tuple, direct.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
 
 
+def test_stages_take_odd_rows_names_and_empty_tables(spark, docs_of, tmp_path):
+    """Columns with dots and with names that stages use, rows without id or text, an empty benchmark, and an empty table."""
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 60)) for k in range(12)] + [(None, prose(rng, 30)), (None, None), (50, ""), (51, None), (0, prose(rng, 20)), (60, "mail jo@mail.example.com now " + prose(rng, 20))]
+    named = docs_of(rows).selectExpr("*", "1 AS `a.b`", "2 AS `x y.z`", "3 AS column_5", "4 AS _shard")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name, df in (("odd", named), ("empty", named.limit(0))):
+        sf = tmp_path / name
+        df.write.parquet(str(sf / "documents.parquet"))
+        bench.write.parquet(str(sf / "benchmark.parquet"))
+        docs = spark.read.parquet(str(sf / "documents.parquet"))
+        for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+            stage(spark, docs, str(sf)).write.parquet(str(tmp_path / f"{name}-{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{k}"))
+            assert docs.columns == df.columns
+        got = cp.run(spark, str(sf)).select("doc_id").collect()
+        assert {r[0] for r in got} == ({r[0] for r in rows} - {50, 51} if name == "odd" else set())
+    kept = {r["doc_id"]: r for r in spark.read.parquet(str(tmp_path / "odd-3")).collect()}
+    assert kept[60]["a.b"] == 1 and kept[60]["x y.z"] == 2 and kept[60]["column_5"] == 3 and "<EMAIL>" in kept[60]["text"]
+
+
 def test_every_query_is_registered_and_runs(spark):
     names = set(llm_queries())
-    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(llm_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 14)), "pipeline"} and set(llm_sql()) <= names
     for name in ("op2_html_extraction", "op4_secret_scan", "op10_pii", "op7_decontamination"):
         assert llm_queries()[name](spark, SF).columns
     import duckdb
