@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.operators.components import connected_components
-from sparkweave.storage import dropped, written
+from sparkweave.operators.frontier import sweep_blocks
+from sparkweave.storage import scratch, written
 
 #: Edge rows that a task takes.
 LARGEST = 400_000
@@ -67,33 +68,17 @@ def _swept(src: np.ndarray, dst: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return np.array(sign)
 
 
-def _swept_joined(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same for components that no task could hold: (vid, label).
-
-    In a sweep a vertex looks at the new labels of lower neighbours and the old ones of higher neighbours. All vertices
-    are computed at once and again until none changes, which is the sweep's one outcome: a vertex is right as soon as the lower ones are."""
-    sign = F.when(F.col("label") == "plasmid", 1).when(F.col("label") == "chromosome", -1).otherwise(0)
-    state = written(vertices.select("vid", sign.alias("old"), sign.alias("new")), "swept")
-    while True:
-        of = state.select(F.col("vid").alias("dst"), F.col("old").alias("o"), F.col("new").alias("w"))
-        seen = edges.join(of, "dst").groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("d"), F.sum(F.when(F.col("dst") < F.col("src"), F.col("w")).otherwise(F.col("o"))).alias("s"))
-        turned = F.when((F.col("d") > 1) & (F.col("s") != 0), F.signum("s").cast("int")).otherwise(F.col("old"))
-        after = written(state.join(seen, "vid").select("vid", "old", turned.alias("next"), "new"), "swept")
-        moved, changed = after.agg(F.count_if(F.col("next") != F.col("new")), F.count_if(F.col("next") != F.col("old"))).first()
-        dropped([state])
-        # Within a sweep the old labels stay; once it is over the new ones are the old of the next.
-        state = written(after.select("vid", (F.col("old") if moved else F.col("next")).alias("old"), F.col("next").alias("new")), "swept")
-        dropped([after])
-        if not moved and not changed:
-            return state.select("vid", F.element_at(F.array(F.lit("chromosome"), F.lit("unclassified"), F.lit("plasmid")), F.col("new") + 2).alias("label"))
-
-
 def refine(vertices: DataFrame, edges: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(vid, label) at the fixpoint of sequential majority sweeps in order of ids, then leaf copy.
 
-    Components are independent and are swept side by side, many in one task; those with more than `largest` edge rows go by joins.
+    Components are independent and are swept side by side, many in one task; those with more than `largest` edge rows go
+    in blocks, by an active frontier.
     Every change lets more edges join equal labels, so the sweeps end."""
-    edges = written(edges, "edges")
+    with scratch() as keep:
+        return keep(_refined(vertices, written(edges, "edges"), largest), "refined")
+
+
+def _refined(vertices: DataFrame, edges: DataFrame, largest: int) -> DataFrame:
     found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     named = written(found.unionByName(found.select(F.col("c").alias("v"), "c")).distinct().withColumnRenamed("v", "src"), "named")
     sized = written(edges.join(named, "src").groupBy("c").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -114,7 +99,8 @@ def refine(vertices: DataFrame, edges: DataFrame, largest: int = LARGEST) -> Dat
     swept = rows.groupBy("_g").applyInPandas(sweep, "vid long, swept string")
     if big:
         own = named.join(sized.filter(F.col("n") > largest), "c", "left_semi").select("src")
-        joined = _swept_joined(vertices.join(own.withColumnRenamed("src", "vid"), "vid", "left_semi"), edges.join(own, "src", "left_semi"))
-        swept = swept.unionByName(joined.withColumnRenamed("label", "swept"))
+        sign = F.when(F.col("label") == "plasmid", 1).when(F.col("label") == "chromosome", -1).otherwise(0)
+        signs, _ = sweep_blocks(vertices.join(own.withColumnRenamed("src", "vid"), "vid", "left_semi").select("vid", sign.alias("sign")), edges.join(own, "src", "left_semi"), largest)
+        swept = swept.unionByName(signs.select("vid", F.element_at(F.array(F.lit("chromosome"), F.lit("unclassified"), F.lit("plasmid")), F.col("sign") + 2).alias("swept")))
     out = vertices.select("vid", "label").join(swept, "vid", "left").select("vid", F.coalesce("swept", "label").alias("label"))
     return leaf_copy(out, edges)

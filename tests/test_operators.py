@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions import distances as d
 from sparkweave.functions import sequences as q
-from sparkweave.operators import evaluate, kmers, neighbours, propagation, refine, thresholds, topology
+from sparkweave.operators import evaluate, frontier, kmers, neighbours, propagation, refine, thresholds, topology
 from sparkweave.operators.components import connected_components
 from sparkweave.operators.graph import undirected
 from sparkweave.sources.assembly import records_of
@@ -45,6 +45,36 @@ def test_kmer_counts_match_a_loop(spark):
     assert {r["vid"] for r in dense} == {4, 5} and all(abs(sum(r["profile"]) - 1) < 1e-9 and len(r["profile"]) == 136 for r in dense)
 
 
+def test_kmers_stay_where_their_sequence_is(spark, monkeypatch):
+    rng = random.Random(4)
+    seqs = [(i, "".join(rng.choice("ACGTé") for _ in range(n))) for i, n in enumerate([0, 7, 300, 1000])] + [(9, None)]
+    df = spark.createDataFrame(seqs, "vid long, seq string")
+    plan = kmers.kmer_shares(kmers.kmer_counts(df))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+    turn = str.maketrans("ACGT", "TGCA")
+    for k in (3, 11):  # in a dense array, and sorted
+        want = {}
+        for i, s in seqs:
+            s = (s or "").replace("é", "A")
+            for x in (s[j : j + k] for j in range(len(s) - k + 1)):
+                x = min(x, x.translate(turn)[::-1])
+                want[i, x] = want.get((i, x), 0) + 1
+        for piece in (1 << 20, 13):
+            monkeypatch.setattr(kmers, "PIECE", piece)
+            got = [kmers.code_counts(s or "", k) for _, s in seqs]
+            assert {(i, n): int(c) for (i, _), (code, count) in zip(seqs, got, strict=True) for n, c in zip(kmers._names(code, k).to_pylist(), count, strict=True)} == want
+        assert {(r["vid"], r["kmer"]): r["n"] for r in kmers.kmer_counts(df, k).collect()} == want
+
+
+def test_pieces_of_a_sequence_add_up(spark):
+    rng = random.Random(5)
+    s = "".join(rng.choice("ACGT") for _ in range(2000))
+    cut = spark.createDataFrame([(1, s[i : i + 500 + 3]) for i in range(0, 2000, 500)], "vid long, seq string")
+    whole = kmers.profiles(spark.createDataFrame([(1, s)], "vid long, seq string")).first()["profile"]
+    got = kmers.merged(kmers.kmer_counts(cut))
+    assert np.allclose(kmers.merged_profiles(got).first()["profile"], whole)
+
+
 def test_codes(spark):
     got = spark.createDataFrame([("AAaN",), ("TGCA",)], "k string").select(q.kmer_code(F.col("k")).alias("c"), q.reverse_complement(F.col("k")).alias("r")).collect()
     assert [tuple(r) for r in got] == [(0, "NaTT"), (228, "TGCA")]
@@ -238,14 +268,35 @@ def test_all_labels_of_small_graphs_end(spark):
         assert len({r["label"] for r in got}) == 1
 
 
-def test_refinement_by_joins_matches_sequential_sweeps(spark):
+def test_refinement_in_blocks_matches_sequential_sweeps(spark):
+    """Blocks of few edges, and two vertices with more neighbours than a block has edges."""
     rng = random.Random(8)
     pairs = [(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(32)) if a != b]
+    pairs += [(hub, v) for hub in (3, 17) for v in range(0, 25, 2)]
+    pairs = list({(min(p), max(p)) for p in pairs})
     given = {v: rng.choice([P, C, U]) for v in range(26)}
     got = {r["vid"]: r["label"] for r in refine.refine(labels(spark, given), graph(spark, pairs), largest=3).collect()}
     assert got == sequential(pairs, given)
 
 
+def test_changes_run_through_a_long_chain_block_by_block(spark):
+    sign = {P: 1, C: -1, U: 0}
+    n = 50_000
+    given = {i: P if i % 2 == 0 else C for i in range(n)}
+    chain = [(i, i + 1) for i in range(n - 1)]
+    signs = lambda some: spark.createDataFrame([(v, sign[x]) for v, x in some.items()], "vid long, sign int")
+    swept, rounds = frontier.sweep_blocks(signs(given), graph(spark, chain), 1000)
+    done = sequential_fast(chain, given)
+    assert rounds < 60 and all(r["sign"] == sign[done[r["vid"]]] for r in swept.collect() if 0 < r["vid"] < n - 1)
+    # What the first block decides reaches the last one: all others wait for it.
+    m = 400
+    wave = {i: P if i % 2 else C for i in range(1, m)} | {0: P}
+    short = [(i, i + 1) for i in range(m - 1)]
+    swept, rounds = frontier.sweep_blocks(signs(wave), graph(spark, short), 25)
+    done = sequential_fast(short, wave)
+    assert rounds <= m // 25 + 6 and all(r["sign"] == sign[done[r["vid"]]] for r in swept.collect() if 0 < r["vid"] < m - 1)
+
+
 def test_a_long_chain_and_a_star(spark):
     n = 50_000
     chain = [(i, i + 1) for i in range(n)]
