@@ -63,9 +63,25 @@ class Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.t, self.v, self.f = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+        self._room(1 << 16)
+
+    def _room(self, n: int) -> None:
+        """Arrays with n places, which keep what they had; single values are set through views, which is faster."""
+        old = (self.t, self.v, self.f) if hasattr(self, "t") else ()
+        self.t, self.v, self.f = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        for mine, was in zip((self.t, self.v, self.f), old, strict=False):
+            mine[: len(was)] = was
+        self.views = memoryview(self.t), memoryview(self.v), memoryview(self.f)
 
     def __missing__(self, raw: str) -> int:
+        at = self[raw] = len(self)
+        if at >= len(self.t):
+            self._room(2 * len(self.t))
+        t, v, f = self.views
+        if raw.isalpha() and raw.islower() and raw not in UNITS and raw not in NUMBER_WORDS:  # most words; no sign to strip
+            t[at] = h = _hash(raw)
+            v[at], f[at] = _value(h), LITERAL
+            return at
         word = raw.strip(STRIP)
         low = word.lower()
         flags = ENDS if raw[-1] in ".!?:\"”»" else 0
@@ -75,10 +91,9 @@ class Words(dict):
             kind, flags = "\x00unit", flags | UNIT
         else:
             kind, flags = low, flags | (CAPITAL if word[:1].isupper() else 0) | (LITERAL if low else 0)
-        at = self[raw] = len(self)
-        if at >= len(self.t):
-            self.t, self.v, self.f = (np.concatenate([x, np.zeros_like(x)]) for x in (self.t, self.v, self.f))
-        self.t[at], self.v[at], self.f[at] = _hash(kind), _hash("=" + low.translate(APOSTROPHES)), flags
+        bare = low.translate(APOSTROPHES)
+        t[at] = h = _hash(kind)
+        v[at], f[at] = _value(h if bare == kind else _hash(bare)), flags
         return at
 
     def of(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +107,11 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace"))
 
 
+def _value(h: int) -> int:
+    """The hash of a word as it is, from that of its letters."""
+    return (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+
+
 NAME = np.uint64(_hash("\x00name"))
 _NUMERIC = frozenset("0123456789$€£+-")
 
