@@ -32,7 +32,7 @@ from sparkweave.llm.common import kept, parts, rows_in_arrow, texts, written
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in each of two generations of a worker's look-up tables.
-MOST_WORDS = 240_000
+MOST_WORDS = 140_000
 #: Intervals that may be broadcast; the plan has fewer by far, as it doesn't grow with the documents.
 MOST_BROADCAST = 2_000_000
 _END = b"\0\0\0\0"
