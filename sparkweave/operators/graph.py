@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions.sequences import flipped
+from sparkweave.storage import written
+
+#: Contigs of a segment beyond which it is split, and split segments that may be broadcast.
+HUB, MOST_HUBS = 1000, 100_000
 
 
 def contig_edges(paths: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
@@ -13,8 +17,27 @@ def contig_edges(paths: DataFrame, links: DataFrame, segments: DataFrame) -> Dat
     ends = paths.select(F.col("vid").alias("src"), F.explode(F.array("start_seg", flipped(F.col("start_seg")), "end_seg", flipped(F.col("end_seg")))).alias("segment")).distinct()
     both = links.select("seg_a", "seg_b").unionByName(links.select(F.col("seg_b").alias("seg_a"), F.col("seg_a").alias("seg_b"))).distinct()
     near = ends.join(both, F.col("segment") == F.col("seg_a")).select("src", F.col("seg_b").alias("segment")).distinct()
-    met = near.join(segments.select("segment", F.col("vid").alias("dst")), "segment").filter("src <> dst")
-    return undirected(met)
+    near, held = split_hubs(near, segments.select("segment", F.col("vid").alias("dst")))
+    return undirected(near.join(held, ["segment", "_i", "_j"]).filter("src <> dst"))
+
+
+def split_hubs(near: DataFrame, held: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """near (src, segment) and held (segment, dst) with _i and _j, so that no key has more than about `hub` rows of either.
+
+    The rows of a segment with more are dealt to parts on both sides, and each part of one side meets all parts of the other."""
+    count = lambda df, name: df.groupBy("segment").agg(F.count(F.lit(1)).alias(name))
+    many = count(near, "a").join(count(held, "b"), "segment").filter((F.col("a") > hub) | (F.col("b") > hub))
+    many = many.select("segment", *[F.ceil(F.col(c) / hub).cast("int").alias(f"_{c}") for c in "ab"])
+    if near.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":  # with it, a small table is broadcast by its true size
+        many = written(many, "hubs")
+        many = F.broadcast(many) if many.count() <= MOST_HUBS else many
+
+    def dealt(df: DataFrame, by: str, own: str, mine: str, other: str, its: str) -> DataFrame:
+        parts = df.join(many, "segment", "left")
+        n, m = (F.coalesce(f"_{c}", F.lit(1)) for c in (mine, its))
+        return parts.select("segment", by, F.pmod(F.xxhash64(by), n).cast("int").alias(own), F.explode(F.sequence(F.lit(0), m - 1)).alias(other))
+
+    return dealt(near, "src", "_i", "a", "_j", "b"), dealt(held, "dst", "_j", "b", "_i", "a")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

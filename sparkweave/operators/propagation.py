@@ -5,22 +5,28 @@ to single precision); a labelled vertex then gets its own class back to 1, all e
 came, and the other vertices' rows are normalised. Components don't mix, but the stop test is one for all: so
 components are solved side by side, many in one task, first to learn how the change of each falls, then for exactly
 the number of steps at which the sum of all changes falls below the limit. Only components whose steps add up more
-than LARGEST numbers, which would not fit a task, run as joins.
+than LARGEST numbers, which would not fit a task, run as joins: edges and states lie in buckets by the vertex on which they
+meet, so that a step moves the new state once and edges never. What a step changes is observed as it is written.
+
+The weighted form is linear in the scores of unlabelled vertices, so only what a step changed goes through the edges in the next.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkweave.operators.components import connected_components
-from sparkweave.storage import dropped, written
+from sparkweave.storage import bucketed, dropped, scratch, written
 
 EPSILON, MOST_STEPS, LARGEST = 1e-5, 1000, 4_000_000
+#: Tables of what steps changed before they are added up.
+MOST_GATHERED = 16
 
 
 def transition_weights(edges: DataFrame) -> DataFrame:
@@ -35,11 +41,26 @@ def start(labelled: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def propagation_step(weights: DataFrame, state: DataFrame, seeds: DataFrame) -> DataFrame:
-    """One step of state (vid, cls, p); seeds is the start state."""
-    moved = weights.join(state, weights["dst"] == state["vid"]).groupBy(weights["src"].alias("vid"), "cls").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
-    marked = moved.join(seeds.select("vid", F.lit(True).alias("known")), "vid", "left").withColumn("_all", F.sum("p").over(Window.partitionBy("vid")))
-    new = marked.filter("known IS NULL AND _all > 0 OR vid <> cls").select("vid", "cls", F.when(F.col("known"), F.col("p")).otherwise(F.col("p") / F.col("_all")).alias("p"))
-    return new.filter("p > 0").unionByName(seeds)
+    """One step of state (vid, cls, p); seeds is the start state, and part of every state."""
+    return _step(weights, state, seeds).filter("p > 0").select("vid", "cls", "p")
+
+
+def _step(weights: DataFrame, state: DataFrame, seeds: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(vid, cls, p, was): a step of state and what it had before; p is 0 where nothing is left. With buckets, rows move to these once."""
+    moved = weights.join(state, weights["dst"] == state["vid"]).select(weights["src"].alias("vid"), "cls", (F.col("w") * F.col("p")).alias("p"), F.lit(0.0).alias("was"))
+    both = moved.unionByName(state.select("vid", "cls", F.lit(0.0).alias("p"), F.col("p").alias("was")))
+    if buckets:
+        both = both.repartition(buckets, "vid")
+    summed = both.groupBy("vid", "cls").agg(F.sum("p").alias("p"), F.sum("was").alias("was"))
+    marked = summed.join(seeds.select("vid", F.lit(True).alias("known")), "vid", "left").withColumn("_all", F.sum("p").over(Window.partitionBy("vid")))
+    free = F.when(F.col("_all") > 0, F.col("p") / F.col("_all")).otherwise(0.0)
+    return marked.select("vid", "cls", F.when(F.col("known") & (F.col("vid") == F.col("cls")), 1.0).when(F.col("known"), F.col("p")).otherwise(free).alias("p"), "was")
+
+
+def observed(df: DataFrame, change: Column) -> tuple[DataFrame, Observation]:
+    """df, and what its next write adds up of change."""
+    seen = Observation()
+    return df.observe(seen, F.sum(F.abs(change)).alias("change")), seen
 
 
 def propagate_steps(edges: DataFrame, labelled: DataFrame, steps: int) -> DataFrame:
@@ -109,6 +130,11 @@ def _components(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, labelled: DataFrame, epsilon: float = EPSILON, most: int = MOST_STEPS, largest: int = LARGEST) -> DataFrame:
     """(vid, cls, p) with p > 0, after as many steps as the stop test takes."""
+    with scratch() as keep:
+        return keep(_propagated(edges, labelled, epsilon, most, largest), "propagated")
+
+
+def _propagated(edges: DataFrame, labelled: DataFrame, epsilon: float, most: int, largest: int) -> DataFrame:
     spark = edges.sparkSession
     edges = written(edges, "edges")
     known = labelled.select(F.col("vid").alias("src"), F.lit(True).alias("known"))
@@ -169,18 +195,17 @@ def propagate(edges: DataFrame, labelled: DataFrame, epsilon: float = EPSILON, m
 
 def _propagate_joined(edges: DataFrame, labelled: DataFrame, epsilon: float, most: int, others: dict[int, float] | None = None) -> tuple[DataFrame, int]:
     """The state and the number of steps, where others, components solved elsewhere, change by so much in each step."""
-    weights, seeds = written(transition_weights(edges), "weights"), written(start(labelled, edges), "seeds")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weights, seeds = bucketed(transition_weights(edges), "weights", "dst", n), bucketed(start(labelled, edges), "seeds", "vid", n)
     state, step = seeds, 0
     for step in range(1, most + 1):
-        new = written(propagation_step(weights, state, seeds), "propagation")
-        old = state.withColumnRenamed("p", "q")
-        change = new.join(old, ["vid", "cls"], "full").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0]
-        if state is not seeds:
-            dropped([state])
-        state = new
-        if (change or 0.0) + (others or {}).get(step, 0.0) <= epsilon:
+        new, seen = observed(_step(weights, state, seeds, n), F.col("p") - F.col("was"))
+        old, state = state, bucketed(new.filter("p > 0").select("vid", "cls", "p"), "propagation", "vid", n)
+        if old is not seeds:
+            dropped([old])
+        if (seen.get["change"] or 0.0) + (others or {}).get(step, 0.0) <= epsilon:
             break
-    return state.filter("p > 0"), step
+    return state, step
 
 
 # ---- weighted form: records (vid, label, edges array<struct<dest, weight>>), label 0 for none
@@ -198,29 +223,41 @@ def weighted_start(records: DataFrame) -> DataFrame:
     return records.filter("label <> 0").select("vid", "label", F.lit(1.0).alias("score"))
 
 
-def weighted_step(records: DataFrame, edges: DataFrame, state: DataFrame) -> DataFrame:
-    """Scores of unlabelled vertices from their in-edges, each edge's share being its weight over the vertex's own out-weight."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("deg")).withColumnRenamed("src", "vid")
+def weighted_shares(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, share) of the edges into unlabelled vertices: an edge's weight over the out-weight of the vertex that it leads to."""
+    out = edges.groupBy(F.col("src").alias("vid")).agg(F.sum("weight").alias("deg"))
     free = records.filter("label = 0").select("vid").join(out, "vid")
-    into = edges.join(state.select(F.col("vid").alias("src"), "label", "score"), "src").join(free, F.col("dst") == F.col("vid"))
-    moved = into.groupBy("vid", "label").agg(F.sum(F.col("score") * (F.col("weight") / F.col("deg"))).alias("score"))
-    return moved.unionByName(weighted_start(records))
+    return edges.join(free.withColumnRenamed("vid", "dst"), "dst").select("src", "dst", (F.col("weight") / F.col("deg")).alias("share"))
+
+
+def weighted_step(shares: DataFrame, state: DataFrame) -> DataFrame:
+    """Scores (vid, label, score) that unlabelled vertices get from state through their in-edges."""
+    into = shares.join(state.select(F.col("vid").alias("src"), "label", "score"), "src")
+    return into.groupBy(F.col("dst").alias("vid"), "label").agg(F.sum(F.col("score") * F.col("share")).alias("score"))
 
 
 def weighted_propagation(records: DataFrame, epsilon: float, most: int) -> DataFrame:
-    """(vid, label, score) once a step changes less than epsilon, or after the most steps."""
-    records = written(records, "records")
-    edges = written(record_edges(records), "weighted-edges")
-    state = weighted_start(records)
-    for step in range(most):
-        old, new = state, written(weighted_step(records, edges, state), "weighted")
-        change = new.join(state.withColumnRenamed("score", "was"), ["vid", "label"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        state = new
-        if step:
-            dropped([old])
-        if (change or 0.0) < epsilon:
-            break
-    return state
+    """(vid, label, score) once a step changes less than epsilon, or after the most steps.
+
+    As the shares stay, what a step adds is what goes through the edges in the next one; scores that came to rest don't travel."""
+    with scratch() as keep:
+        records = written(records, "records")
+        shares = written(weighted_shares(records, record_edges(records)), "shares")
+        state, delta = weighted_start(records), weighted_start(records)
+        gathered = [state]
+        for _ in range(most):
+            moved, seen = observed(weighted_step(shares, delta), F.col("score"))
+            delta = written(moved.filter("score <> 0"), "delta")
+            gathered.append(delta)
+            if (seen.get["change"] or 0.0) < epsilon:
+                break
+            if len(gathered) == MOST_GATHERED:  # shorter plans
+                gathered = [written(_added(gathered), "weighted")]
+        return keep(_added(gathered), "weighted")
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("vid", "label").agg(F.sum("score").alias("score"))
 
 
 def best_labels(records: DataFrame, state: DataFrame) -> DataFrame:

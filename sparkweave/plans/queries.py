@@ -273,9 +273,10 @@ def labelprop_weighted_full(spark: SparkSession, sf: str) -> DataFrame:
 
 def _weighted_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     records = nation_records(spark, sf)
-    edges, state = propagation.record_edges(records), propagation.weighted_start(records)
+    shares, known = propagation.weighted_shares(records, propagation.record_edges(records)), propagation.weighted_start(records)
+    state = known
     for _ in range(3):
-        state = propagation.weighted_step(records, edges, state)
+        state = propagation.weighted_step(shares, state).unionByName(known)
     return records, state
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,15 @@ def last_wins(rows: DataFrame, key: str) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """rows with _at, which follows the order of the lines within a file."""
-    return rows.withColumn("_at", F.monotonically_increasing_id())
+    """rows with _at, which follows the order of the lines: by file, block of the file, and line in the block.
+
+    How blocks are packed into tasks plays no part. Rows that come from no file are in the order of their partitions."""
+    line = F.monotonically_increasing_id()
+    try:
+        rows.select("_metadata.file_path")
+    except AnalysisException:
+        return rows.withColumn("_at", line)
+    return rows.withColumn("_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), line.alias("line")))
 
 
 def parse_probabilities(rows: DataFrame, header: Column, prob: Column) -> DataFrame:

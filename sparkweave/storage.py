@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: list[tuple[SparkSession, str]] = []
+#: Catalog tables of bucketed folders.
+_TABLES: dict[str, str] = {}
 #: Each thread has its own scopes, so that queries side by side don't delete one another's tables.
 _THREAD = threading.local()
 
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if table := _TABLES.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -46,25 +50,60 @@ def _forget() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and any executor can read it again."""
-    spark = df.sparkSession
+def _own_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/sparkweave-{name}-{uuid.uuid4().hex}"
     if not _OWN:
         atexit.register(_forget)
     _OWN.append((spark, path))
     if _scopes():
         _scopes()[-1].append((spark, path))
-    # The rows are safe in the table, so their shuffle files can go at once.
-    was = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    return path
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """While rows are written their shuffle files can go as soon as they are safe in the table; writes side by side share the setting."""
+    with _WRITES.lock:
+        if not _WRITES.n:
+            _WRITES.was = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITES.n += 1
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, was)
+        with _WRITES.lock:
+            _WRITES.n -= 1
+            if not _WRITES.n:
+                spark.conf.set(_CLEANUP, _WRITES.was)
+
+
+class _Writes:
+    lock, n, was = threading.Lock(), 0, "false"
+
+
+_WRITES = _Writes()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there and any executor can read it again."""
+    spark = df.sparkSession
+    path = _own_path(spark, name)
+    with _shuffle_files_go(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """The same in n buckets by the hash of a column: tables with as many buckets meet on it without an exchange."""
+    spark = df.sparkSession
+    path = _own_path(spark, name)
+    table = f"sparkweave_{uuid.uuid4().hex}"
+    _TABLES[path] = table
+    with _shuffle_files_go(spark):
+        df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables written inside are deleted at the end, but for those written by the function that this gives."""
