@@ -90,21 +90,25 @@ def record_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def record_list(spark: SparkSession, sf: str) -> DataFrame:
-    records = assembly.records_of(spark, [[i, i % 3, [[(i + 1) % 40, i / 2], [(i + 7) % 40, 1]]] for i in range(40)])
-    return records.select("vid", "label", F.explode("edges").alias("e")).select("vid", "label", "e.dest", "e.weight")
+    """The nations' records, handed over as a list: as many as there are nations, with edges that the sales make."""
+    data = [[r["vid"], r["label"], [[e["dest"], e["weight"]] for e in r["edges"]]] for r in nation_records(spark, sf).collect()]
+    return assembly.records_of(spark, data).select("vid", "label", F.explode("edges").alias("e")).select("vid", "label", "e.dest", "e.weight")
 
 
 def input_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Which inputs are refused: a file that is there, one that isn't, another classifier."""
-    def refused(paths: list[str], classifier: str) -> bool:
+    """Lines of sales ask for a file by their status and for a classifier by their flag: how many are refused for what they ask."""
+    file = F.when(F.col("l_linestatus") == "O", "nation.parquet").otherwise("none.fasta")
+    classifier = F.when(F.col("l_returnflag") == "A", "pc").when(F.col("l_returnflag") == "N", "pf").otherwise("px")
+    asked = table(spark, sf, "lineitem").groupBy(file.alias("file"), classifier.alias("classifier")).agg(F.count(F.lit(1)).alias("n")).collect()  # six kinds at most
+
+    def refused(file: str, classifier: str) -> bool:
         try:
-            assembly.check_inputs(spark, paths, classifier)
+            assembly.check_inputs(spark, [f"{sf}/{file}"], classifier)
         except ValueError:
             return True
         return False
 
-    cases = [("there", [f"{sf}/nation.parquet"], "pc"), ("missing", [f"{sf}/nation.parquet", f"{sf}/none.fasta"], "pf"), ("classifier", [], "px")]
-    return spark.createDataFrame([(name, refused(paths, classifier)) for name, paths, classifier in cases], "name string, refused boolean")
+    return spark.createDataFrame([(r["file"], r["classifier"], r["n"], refused(r["file"], r["classifier"])) for r in asked], "file string, classifier string, n long, refused boolean")
 
 
 def written_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -544,8 +548,9 @@ SELECT counts.vid, pos::INT AS pos, round(n / sum(n) OVER (PARTITION BY counts.v
     "path_scan": (path_scan, "SELECT o_orderkey - 1 AS vid, 'NODE_' || o_orderkey AS contig_id, 's' || o_custkey || '+' AS start_seg, 'e' || o_orderkey || '-' AS end_seg FROM orders"),
     "path_segments": (path_segments, "SELECT DISTINCT unnest(['s' || o_custkey || '+', 'e' || o_orderkey || '-', 'e' || o_orderkey || '+', 's' || o_custkey || '-']) AS segment, o_orderkey - 1 AS vid FROM orders"),
     "record_scan": (record_scan, "SELECT c_custkey AS vid, c_nationkey::BIGINT AS label, c_nationkey::BIGINT AS dest, c_acctbal AS weight FROM customer UNION ALL SELECT c_custkey, c_nationkey, 7, 1 FROM customer"),
-    "record_list": (record_list, "SELECT i AS vid, i % 3 AS label, (i + 1) % 40 AS dest, i / 2.0::DOUBLE AS weight FROM range(40) t(i) UNION ALL SELECT i, i % 3, (i + 7) % 40, 1 FROM range(40) t(i)"),
-    "input_checks": (input_checks, "SELECT * FROM (VALUES ('there', false), ('missing', true), ('classifier', true)) t(name, refused)"),
+    "record_list": (record_list, f"WITH {NATION_SQL} SELECT rec.vid, rec.label, ed.dst AS dest, ed.w AS weight FROM rec JOIN ed ON ed.src = rec.vid"),
+    "input_checks": (input_checks, """WITH a AS (SELECT CASE l_linestatus WHEN 'O' THEN 'nation.parquet' ELSE 'none.fasta' END AS file, CASE l_returnflag WHEN 'A' THEN 'pc' WHEN 'N' THEN 'pf' ELSE 'px' END AS classifier FROM lineitem)
+SELECT file, classifier, count(*) AS n, file = 'none.fasta' OR classifier = 'px' AS refused FROM a GROUP BY 1, 2"""),
     "written_labels": (written_labels, f"WITH {VERTEX_SQL} SELECT 'NODE_' || vid AS contig_id, label, true AS ordered FROM v"),
     "knn_training": (knn_training, f"WITH {VERTEX_SQL}, few AS (SELECT o.vid FROM o LEFT JOIN edges ON o.vid = src GROUP BY 1 HAVING count(dst) < 3) SELECT vid, label FROM v WHERE label <> 'unclassified' AND length >= 1000 AND vid IN (SELECT vid FROM few)"),
     "knn_open": (knn_open, f"WITH {VERTEX_SQL} SELECT vid FROM v WHERE label = 'unclassified' AND length > 700"),

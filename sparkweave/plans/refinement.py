@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.operators import evaluate, graph, kmers, neighbours, propagation, refine, thresholds, topology
 from sparkweave.session import session
-from sparkweave.sources import assembly, sinks
+from sparkweave.sources import assembly, fasta, sinks
 from sparkweave.storage import written
 
 log = logging.getLogger("sparkweave")
@@ -64,10 +64,27 @@ def refine_all(vertices: DataFrame, edges: DataFrame, least: int = 500, watch=No
     return vertices
 
 
-def run(spark: SparkSession, sequences: str, paths: str, links: str, classifier: str, probabilities: str, truth: str | None = None, least: int = 500) -> tuple[DataFrame, DataFrame]:
+def sequence_tables(spark: SparkSession, path: str, long_records: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(contig_id, header, length, coverage, _at) of all records, and (contig_id, profile) of those that are long enough.
+
+    Of equal ids the last counts, for profiles the last that is long enough. Long records are read in pieces, by several tasks each."""
+    if not long_records:
+        contigs = written(assembly.placed(assembly.read_fasta(spark, path)), "contigs")
+        long = assembly.last_of_each(contigs.filter(F.col("length") >= kmers.LEAST_LENGTH))
+        return contigs, kmers.profiles(long.select("contig_id", "seq"), key="contig_id")
+    rows = fasta.read_fasta_pieces(spark, path).withColumn("_key", F.concat_ws("#", "file", "record"))
+    contigs = written(fasta.contigs_of_pieces(rows), "contigs")
+    long = assembly.last_of_each(contigs.filter(F.col("length") >= kmers.LEAST_LENGTH)).select("contig_id", F.concat_ws("#", "_at.file", "_at.record").alias("_key"))
+    counts = kmers.merged(kmers.kmer_counts(rows, key="_key").join(long, "_key"), "contig_id")
+    return contigs, kmers.merged_profiles(counts, key="contig_id")
+
+
+def run(
+    spark: SparkSession, sequences: str, paths: str, links: str, classifier: str, probabilities: str, truth: str | None = None, least: int = 500, long_records: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(vid, contig_id, label, ...) of every contig path, and the graph's edges."""
     assembly.check_inputs(spark, [sequences, paths, links, probabilities], classifier)
-    contigs = written(assembly.placed(assembly.read_fasta(spark, sequences)), "contigs")
+    contigs, profile = sequence_tables(spark, sequences, long_records)
     named, segments = assembly.read_contig_paths(spark, paths)
     total, long_ones = contigs.agg(F.count(F.lit(1)), F.count_if(F.col("length") >= kmers.LEAST_LENGTH)).first()
     log.debug("sequences %d, of these with %d characters or more %d", total, kmers.LEAST_LENGTH, long_ones)
@@ -75,9 +92,6 @@ def run(spark: SparkSession, sequences: str, paths: str, links: str, classifier:
     probs = written({"pc": assembly.read_pc, "pf": assembly.read_pf}[classifier](spark, probabilities), "probabilities")
     plasmid, chromosome = thresholds.probability_thresholds(probs, classifier)
     log.debug("thresholds: plasmid above %s, chromosome up to %s", plasmid, chromosome)
-    # Of equal ids the last counts, for profiles the last that is long enough.
-    long = assembly.last_of_each(contigs.filter(F.col("length") >= kmers.LEAST_LENGTH))
-    profile = kmers.profiles(long.select("contig_id", "seq"), key="contig_id")
     known = assembly.read_truth(spark, truth) if truth else None
     one = assembly.last_of_each(contigs).select("contig_id", "length", "coverage")
     vertices = graph.attach(named.select("vid", "contig_id"), one, probs, known, profile)
@@ -105,14 +119,16 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("-t", "--threads", type=int, default=8)
     p.add_argument("-m", "--least-length", type=int, default=500)
     p.add_argument("-i", "--ground-truth", help="contig and label, separated by a tab, on each line")
+    p.add_argument("--long-records", action="store_true", help="reads sequences in pieces, where a record is longer than a task should read")
+    p.add_argument("--one-file", action="store_true", help="puts the labels in one file, final.txt")
     p.add_argument("--plots", action="store_true", help="writes tables of nodes and edges for plotting")
     p.add_argument("-v", "--version", action="version", version="sparkweave 0.1")
     got = p.parse_args(args)
     sinks.log_to(got.output, got.output + "/sparkweave.log")
     spark = session(f"local[{got.threads}]")
     names = (f"{got.assembly}/{x}" for x in ("contigs.fasta", "contigs.paths", "assembly_graph_with_scaffolds.gfa"))
-    final, edges = run(spark, *names, got.classifier, got.probabilities, got.ground_truth, got.least_length)
-    sinks.write_labels(final, f"{got.output}/final")
+    final, edges = run(spark, *names, got.classifier, got.probabilities, got.ground_truth, got.least_length, got.long_records)
+    sinks.write_labels(final, f"{got.output}/final", got.one_file)
     if got.plots:
         sinks.plot_nodes(final).write.parquet(f"{got.output}/nodes")
         sinks.plot_edges(edges).write.parquet(f"{got.output}/edges")

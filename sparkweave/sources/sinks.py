@@ -23,7 +23,7 @@ def log_to(folder: str, path: str) -> None:
         old.close()
     for handler, level in ((logging.StreamHandler(sys.stderr), logging.INFO), (logging.FileHandler(path), logging.DEBUG)):
         handler.setLevel(level)
-        handler.setFormatter(logging.Formatter("%(asctime)s - %(levelname)s - %(message)s"))
+        handler.setFormatter(logging.Formatter("%(levelname)s %(asctime)s %(message)s"))
         log.addHandler(handler)
 
 
@@ -39,9 +39,21 @@ def described(edges: DataFrame, vertices: DataFrame) -> str:
     return ", ".join(f"{k} {v}" for k, v in counts(vertices, edges).first().asDict().items())
 
 
-def write_labels(vertices: DataFrame, path: str) -> None:
-    """Tab-separated contig and label of all vertices in order of their ids, over as many files as the order's ranges take."""
+def write_labels(vertices: DataFrame, path: str, one_file: bool = False) -> None:
+    """Tab-separated contig and label of all vertices in order of their ids, over as many files as the order's ranges take.
+
+    With one_file the parts are then joined, byte by byte and in their order, to path.txt by the driver's file system."""
     vertices.orderBy("vid").select("contig_id", "label").write.option("sep", "\t").csv(path)
+    if one_file:
+        jvm, conf = vertices.sparkSession._jvm, vertices.sparkSession._jsc.hadoopConfiguration()
+        folder, whole = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".txt")
+        store = folder.getFileSystem(conf)
+        out = store.create(whole, True)
+        for name in sorted(s.getPath().toString() for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")):
+            part = store.open(jvm.org.apache.hadoop.fs.Path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.close()
 
 
 def plot_nodes(vertices: DataFrame) -> DataFrame:
