@@ -29,6 +29,8 @@ from sparkweave.llm.common import rows_in_arrow, texts
 from sparkweave.llm.html_tree import Tree, node_features, parse
 
 TRAIN_PAGES, TREES, DEPTH, BINS = 900, 60, 4, 24
+#: Pages beside these whose text stands in sections.
+SECTIONED = 500
 SWITCH = 1.0
 #: Nodes that are scored at once.
 MOST_NODES = 100_000
@@ -36,8 +38,8 @@ MOST_NODES = 100_000
 
 # ---- generated pages
 
-def training_page(rng: random.Random) -> str:
-    """A page of a random layout; what is main text stands in elements with the attribute data-main, what is not, but stands inside, has data-out."""
+def training_page(rng: random.Random, sectioned: bool = False) -> str:
+    """A page of a random layout, or of one whose text stands in several sections or cards; what is main text stands in elements with the attribute data-main, what is not, but stands inside, has data-out."""
 
     def words(least: int, most: int) -> str:
         n = rng.randint(least, most)
@@ -102,6 +104,25 @@ def training_page(rng: random.Random) -> str:
         return f"<p>{inside}</p>"
 
     out = " data-out"
+    if sectioned:
+        tag, title = rng.choice(["section", "section", "div", "div", "article"]), lambda: f"<h{rng.randint(2, 3)}>{words(1, 8)}</h{rng.randint(2, 3)}>"
+        box = rng.choice(["", "", "", " class=card", " class=block", " class=item", f" class={rng.choice('abcxyz')}{rng.randint(1, 99)}"])
+        most, titled, body = rng.choice([1, 1, 2, 4]), rng.choice([0, 0, 0.5, 1]), some(0.4, lambda: f"<h1>{words(1, 12)}</h1>")
+        for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14])):
+            plain_ones = "".join(f"<p>{words(3, 60)}</p>" if rng.random() < 0.7 else paragraph() for _ in range(rng.randint(1, most)))
+            body += f"<{tag}{box}>{some(titled, title)}{plain_ones}</{tag}>" + some(0.05, lambda: ad(out))
+        name = lambda: rng.choice(["", "", f" class={rng.choice('abcxyz')}{rng.randint(1, 99)}", " class=row", " class=grid", " class=container", " id=root", " id=app", " class=layout", " class=wrap"])
+        holder = rng.choice(["div", "div", "div", "main"])
+        body = f"<{holder}{name()} data-main>{body}</{holder}>"
+        sides = lambda: some(0.35, sidebar), lambda: some(0.2, ad), lambda: some(0.3, comments), lambda: some(0.15, form)
+        body = some(0.3, menu) + some(0.15, notice) + body + "".join(make() for make in sides)
+        top = some(0.45, lambda: rng.choice([f"<header>{words(1, 5)}</header>", f"<header>{words(1, 5)}{menu()}</header>", f"<header><h1>{words(1, 4)}</h1></header>"])) + some(0.6, menu)
+        foot = some(0.8, lambda: rng.choice([f"<footer>{words(2, 20)}</footer>", f"<footer><p>{words(2, 20)}</p></footer>"]))
+        within = rng.random() < 0.5  # the rest stands inside the boxes, or around them
+        body = top + body + foot if within else body
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            body = f"<div{name()}>{body}</div>"
+        return f"<html><head><title>{words(1, 8)}</title></head><body>{body if within else top + body + foot}</body></html>"
     inside = some(0.65, lambda: rng.choice([f"<h1>{words(1, 12)}</h1>", f"<h1>{words(1, 12)}</h1>", f"<header><h1>{words(1, 12)}</h1></header>"]))
     for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 15])):
         inside += paragraph() + some(0.06, lambda: rng.choice([ad, form, sidebar, notice])(out))
@@ -203,7 +224,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, rate: float = 0.3, ridge: float = 1
 @cache
 def page_forest(pages: int = TRAIN_PAGES, seed: int = 11) -> Forest:
     rng = random.Random(seed)
-    made = [training_labels(training_page(rng)) for _ in range(pages)]
+    made = [training_labels(training_page(rng)) for _ in range(pages)] + [training_labels(training_page(rng, True)) for _ in range(SECTIONED)]
     return fit_forest(node_features([t for t, _ in made]), np.concatenate([y for _, y in made]).astype(float))
 
 

@@ -36,9 +36,10 @@ def test_odd_pages(spark):
     assert x.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_held_out_generated_pages():
+@pytest.mark.parametrize("sectioned", [False, True])
+def test_held_out_generated_pages(sectioned):
     rng, forest = random.Random(77), x.page_forest()
-    made = [x.training_labels(x.training_page(rng)) for _ in range(120)]
+    made = [x.training_labels(x.training_page(rng, sectioned)) for _ in range(120)]
     right = 0
     for tree, label in made:
         got = x.page_text(tree, x.decode(tree, forest.chance(node_features([tree]))))
@@ -78,6 +79,25 @@ def prose(rng, n):
     return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(n)).capitalize() + "."
 
 
+@pytest.mark.parametrize("tag", ["section", "div", "div class=card", "article"])
+def test_section_wise_layouts_lose_no_paragraph(tag):
+    """Every paragraph in a section of its own, in one or several boxes, with and without a sidebar and a header."""
+    nav, foot = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News item</a></li></ul></nav>", "<footer>Copyright this site</footer>"
+    for wraps in (1, 3):
+        for side in ("", "<aside><h3>Related</h3><ul><li><a href=z>more of it</a></li></ul></aside>"):
+            for head in ("", "<header>My site</header>"):
+                rng, lost, n = random.Random(5), 0, 0
+                for _ in range(30):
+                    ps = [prose(rng, rng.randint(3, 60)) for _ in range(rng.randint(2, 9))]
+                    body = "".join(f"<{tag}><p>{p}</p></{tag.split()[0]}>" for p in ps)
+                    for _ in range(wraps):
+                        body = f"<div>{body}</div>"
+                    got = text(f"<html><body>{head}{nav}{body}{side}{foot}</body></html>").split("\n")
+                    assert set(got) <= {*ps, ""}
+                    lost, n = lost + sum(p not in got for p in ps), n + len(ps)
+                assert lost <= n / 100
+
+
 @pytest.mark.parametrize("kind", ["body", "box", "table", "articles"])
 def test_plain_layouts_lose_no_paragraph(kind):
     rng = random.Random(5)
