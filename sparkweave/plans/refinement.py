@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkweave.operators import evaluate, graph, kmers, neighbours, propagation, refine, thresholds, topology
 from sparkweave.session import session
 from sparkweave.sources import assembly, fasta, sinks
-from sparkweave.storage import written
+from sparkweave.storage import scratch, written
 
 log = logging.getLogger("sparkweave")
 LEAST_KNN, LEAST_SCORED = 1000, 500
@@ -57,11 +57,12 @@ def refine_all(vertices: DataFrame, edges: DataFrame, least: int = 500, watch=No
         ("coverage", lambda v: correct_by_coverage(v, edges, least)),
         ("refinement", lambda v: topology.corrected(v, refine.refine(v, edges))),
     )
-    for name, stage in stages:
-        vertices = written(stage(vertices), name)
-        if watch:
-            watch(name, vertices)
-    return vertices
+    with scratch() as keep:
+        for name, stage in stages:
+            vertices = (keep if name == stages[-1][0] else written)(stage(vertices), name)
+            if watch:
+                watch(name, vertices)
+        return vertices
 
 
 def sequence_tables(spark: SparkSession, path: str, long_records: bool = False) -> tuple[DataFrame, DataFrame]:
