@@ -345,3 +345,23 @@ def test_neighbours_with_many_equal_rows_match_all_pairs(spark, metric):
             far = neighbours.METRICS[metric][0](np.array([x] * len(train)), np.array([y for _, y, _ in train]))
             best = sorted((round(dist, 9), i, lab) for dist, (i, _, lab) in zip(far.tolist(), train, strict=True) if math.isfinite(dist))[:5]
             assert [(i, lab) for _, i, lab in got.get(vid, [])] == [(i, lab) for _, i, lab in best]
+
+
+def test_composition_switches_to_scaled_neighbours_of_queries_as_they_are(spark):
+    """Beyond the limit of pairs the training rows are scaled, the queries aren't, and the plain majority of five decides."""
+    from sparkweave.plans import refinement
+
+    rng = np.random.default_rng(21)
+    rows = [(i, int(rng.integers(900, 3000)), float(rng.integers(5, 40)), [*map(float, rng.random(4) / 20)], [P, C, U][i % 3]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vid long, length long, coverage double, profile array<double>, label string")
+    edges = graph(spark, [(0, 1), (1, 2), (0, 3), (0, 4)])  # 0 has too many neighbours to teach
+    got = {r["vid"]: r["label"] for r in refinement.correct_by_composition(v, edges, exact_pairs=1).collect()}
+    train = [(i, np.array([*p, c]), lab) for i, n, c, p, lab in rows if lab != U and n >= 1000 and i != 0]
+    lo, hi = (f([x for _, x, _ in train], axis=0) for f in (np.min, np.max))
+    for i, n, c, p, lab in rows:
+        if lab == U and n >= 1000:
+            near = sorted((round(float(np.sqrt(((np.array([*p, c]) - (x - lo) / (hi - lo)) ** 2).sum())), 9), j, own) for j, x, own in train)[:5]
+            votes = [own for _, _, own in near]
+            assert got[i] == min(set(votes), key=lambda x: (-votes.count(x), x))
+        else:
+            assert got[i] == lab
