@@ -52,7 +52,10 @@ ASSIGNED = re.compile(r"""[:=]\x20*["'`]?\Z""")
 NAME_OF_A_THING = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 #: Parts of a candidate that can be words.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-NEAR, LEAST, WORDLIKE = 64, 16, 4
+#: A piece of a path that names something: words, and numbers behind them.
+PLACE = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4}(?:[_-](?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4})*")
+#: Characters around and of a candidate, length of a part that can be a word, and digits that a name made of words may have.
+NEAR, LEAST, WORDLIKE, FEW_DIGITS = 64, 16, 4, 3
 #: Bytes that a candidate must add, as a share of its length.
 NOVEL_SHARE = 0.5
 
@@ -88,9 +91,13 @@ class Novelty:
 
 
 def wordlike(candidate: str) -> bool:
-    """Letters without digits whose parts are as long as words: in prose these are as novel as secrets to the compressor."""
+    """Whether a candidate's parts are as long as words, with few digits, or a path's pieces all name something.
+
+    In prose these are as novel as secrets to the compressor."""
     parts = PART.findall(candidate)
-    return sum(map(len, parts)) >= WORDLIKE * len(parts)
+    if "/" in candidate and all(map(PLACE.fullmatch, candidate.split("/"))):
+        return True
+    return sum(map(len, parts)) >= WORDLIKE * len(parts) and sum(map(str.isdigit, candidate)) <= FEW_DIGITS
 
 
 def novel_spans(text: str, raw: bytes, novelty: Novelty, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -112,7 +119,7 @@ def novel_spans(text: str, raw: bytes, novelty: Novelty, taken: list[tuple[str,
             continue
         if NAME_OF_A_THING.fullmatch(word) and not ASSIGNED.search(before):
             continue
-        if not any(c.isdigit() for c in word) and not ASSIGNED.search(before) and wordlike(word):
+        if not ASSIGNED.search(before) and wordlike(word):
             continue
         if novelty.added(before, word, after) >= NOVEL_SHARE * len(word):
             found.append(("novel", start, e))

@@ -139,3 +139,24 @@ def test_planted_secrets_in_generated_code():
         base, more = secrets.find_secrets(t, n)
         wrong, clean = wrong + bool(more), clean + 1
     assert hit / (hit + missed) >= 0.95 and wrong / clean <= 0.05, (hit, missed, wrong, clean)
+
+
+def test_paths_and_class_names_are_no_secrets_but_keys_in_the_same_places_are():
+    rng, n = random.Random(31), secrets.Novelty()
+    low = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    key = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    around = [
+        (lambda x: f"the api is at https://api.example.com/{x} for login", lambda: f"v1/users/{low(8)}/orders/list_all_items"),
+        (lambda x: f"see session docs under https://auth.example.org/{x} today", lambda: f"docs/{low(7)}-{low(6)}/2024/{low(9)}_guide"),
+        (lambda x: f"the token class {x} is final", lambda: f"SessionToken{low(6).title()}ProviderImpl{rng.randrange(100)}"),
+        (lambda x: f"the secret manager calls {x} first", lambda: f"{low(7)}Credential{low(6).title()}Factory{rng.randrange(10)}"),
+    ]
+    harmless = [wrap(make()) for wrap, make in around for _ in range(50)]
+    keys = [(wrap(k), k) for wrap, _ in around for k in (key(rng.randint(24, 44)) for _ in range(50))]
+    assert sum(bool(secrets.find_secrets(t, n)[1]) for t in harmless) <= 0.05 * len(harmless)
+    found = 0
+    for t, k in keys:
+        at = t.index(k)
+        base, more = secrets.find_secrets(t, n)
+        found += any(s <= at and at + len(k) <= e for _, s, e in base + more)
+    assert found >= 0.95 * len(keys)
