@@ -23,7 +23,7 @@ def log_to(folder: str, path: str) -> None:
         old.close()
     for handler, level in ((logging.StreamHandler(sys.stderr), logging.INFO), (logging.FileHandler(path), logging.DEBUG)):
         handler.setLevel(level)
-        handler.setFormatter(logging.Formatter("%(levelname)s %(asctime)s %(message)s"))
+        handler.setFormatter(logging.Formatter("%(asctime)s | %(levelname)s - %(message)s"))
         log.addHandler(handler)
 
 
