@@ -99,3 +99,16 @@ def test_thresholds_equal_a_sort(spark, kind, monkeypatch):
         high, low = sorted((v for v in values if v is not None and v >= 0.5), reverse=True), sorted(v for v in values if v is not None and v < 0.5)
         want = high[round(up * len(high)) - 1], low[round(down * len(low)) - 1]
         assert thresholds.probability_thresholds(df, classifier) == want
+
+
+@pytest.mark.parametrize("metric", ["joint", "euclid"])
+def test_rows_that_a_query_meets_do_not_grow_with_the_tables(spark, metric):
+    rng = np.random.default_rng(5)
+    seen = []
+    for n in (2000, 16_000):
+        x = np.hstack([rng.random((n, 2)) / (20 if metric == "joint" else 1), rng.integers(5, 60, (n, 1)) / (1 if metric == "joint" else 60)]).tolist()
+        train = spark.createDataFrame([(i, r, "plasmid") for i, r in enumerate(x)], "nbr long, x array<double>, label string")
+        asked = spark.createDataFrame([(i, r) for i, r in enumerate(x[:1000])], "vid long, x array<double>")
+        met, _ = neighbours.pairs_looked_at(asked, train, metric, block=64)
+        seen.append(met)
+    assert seen[1] < 3 * seen[0]  # eight times as many pairs
