@@ -297,9 +297,7 @@ def labelprop_clean_scores(spark: SparkSession, sf: str) -> DataFrame:
 def propagation_change(spark: SparkSession, sf: str) -> DataFrame:
     """The sum of all changes of the third step."""
     edges, known = order_edges(spark, sf), order_vertices(spark, sf).filter("label <> 'unclassified'")
-    new, old = (propagation.propagate_steps(edges, known, k) for k in (3, 2))
-    both = new.join(old.withColumnRenamed("p", "q"), ["vid", "cls"], "full")
-    return both.agg(F.round(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))), 5).alias("change"))
+    return propagation.change_of_step(edges, known, 3).select(F.round("change", 5).alias("change"))
 
 
 def read_truth_last_wins(spark: SparkSession, sf: str) -> DataFrame:

@@ -112,3 +112,12 @@ def test_rows_that_a_query_meets_do_not_grow_with_the_tables(spark, metric):
         met, _ = neighbours.pairs_looked_at(asked, train, metric, block=64)
         seen.append(met)
     assert seen[1] < 3 * seen[0]  # eight times as many pairs
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_the_change_of_a_step_needs_no_second_run(spark, step):
+    edges = graph.undirected(spark.range(40).selectExpr("id AS src", "id * 7 % 11 + id + 1 AS dst"))
+    known = spark.range(0, 40, 5).withColumnRenamed("id", "vid")
+    new, old = ({(r["vid"], r["cls"]): r["p"] for r in propagation.propagate_steps(edges, known, k).collect()} for k in (step, step - 1))
+    got = propagation.change_of_step(edges, known, step).first()["change"]
+    assert got == pytest.approx(sum(abs(new.get(x, 0) - old.get(x, 0)) for x in new.keys() | old.keys()))
