@@ -121,3 +121,13 @@ def test_the_change_of_a_step_needs_no_second_run(spark, step):
     new, old = ({(r["vid"], r["cls"]): r["p"] for r in propagation.propagate_steps(edges, known, k).collect()} for k in (step, step - 1))
     got = propagation.change_of_step(edges, known, step).first()["change"]
     assert got == pytest.approx(sum(abs(new.get(x, 0) - old.get(x, 0)) for x in new.keys() | old.keys()))
+
+
+def test_path_ends_are_not_exchanged_before_they_meet_links(spark):
+    paths = spark.createDataFrame([(0, "a+", "a-"), (1, "b+", "c+"), (1, "b+", "c+")], "vid long, start_seg string, end_seg string")
+    links, segments = spark.createDataFrame([("a+", "b+")], "seg_a string, seg_b string"), spark.createDataFrame([("b+", 1)], "segment string, vid long")
+    edges = graph.contig_edges(paths, links, segments)
+    assert sorted(map(tuple, edges.collect())) == [(0, 1), (1, 0)]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = sum("Aggregate [src#" in line and "segment#" in line for line in plan)
+    assert made == sum("Join Inner" in line and "seg_a#" in line for line in plan)  # of what met links alone
