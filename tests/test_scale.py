@@ -131,3 +131,51 @@ def test_path_ends_are_not_exchanged_before_they_meet_links(spark):
     plan = edges._jdf.queryExecution().optimizedPlan().toString().split("\n")
     made = sum("Aggregate [src#" in line and "segment#" in line for line in plan)
     assert made == sum("Join Inner" in line and "seg_a#" in line for line in plan)  # of what met links alone
+
+
+def test_far_queries_leave_out_rows_that_hardly_differ(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = np.hstack([rng.random((4000, 3)), np.ones((4000, 1))])
+    asked = np.hstack([rng.random((50, 3)) / 20, rng.integers(5, 60, (50, 1)) + 0.5])
+    exact, rough = neighbours.METRICS["euclid"]
+    seen = []
+    monkeypatch.setitem(neighbours.METRICS, "euclid", (lambda q, t: (seen.append(len(q)), exact(q, t))[1], rough))
+    ids = np.arange(4000)
+    for bound in (None, np.full(50, 60.0)):
+        if bound is not None:
+            bound = dist.reshape(50, 5)[:, -1] + neighbours.FINE  # noqa: F821
+        at, to, dist = neighbours.block_nearest(asked, rows, ids, "euclid", 5, bound)
+        every = np.round(np.sqrt(((asked[:, None] - rows[None]) ** 2).sum(2)), 9)
+        assert to.reshape(50, 5).tolist() == [np.lexsort((ids, d))[:5].tolist() for d in every]
+    assert max(seen) < 20 * 50  # of 4000 * 50
+
+
+def test_groups_of_queries_are_as_many_as_the_cores_need(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 10)
+    rng = np.random.default_rng(8)
+    x = rng.random((3000, 3)).tolist()
+    train = spark.createDataFrame([(i, r, "plasmid") for i, r in enumerate(x)], "nbr long, x array<double>, label string")
+    asked = spark.createDataFrame(list(enumerate(x)), "vid long, x array<double>")
+    with scratch():
+        index, placed = neighbours.CellIndex.of(train, "euclid", 5, 16, asked)
+        groups = neighbours._bounded(asked, index, placed, "euclid", 5).select("g").distinct().count()
+        assert groups <= 2 * neighbours.CORE_GROUPS * spark.sparkContext.defaultParallelism
+        q = np.array(x[:50]) / 20 + [0, 0, 9]  # on another scale in the last component
+        near = np.sort(np.sqrt(((q[:, None] - np.array(x)[None]) ** 2).sum(2)), 1)[:, 4]
+        of, to, _ = index.reach(q, near + 1e-9)
+        for p in range(len(index.cells)):
+            own, cell = np.array(x)[index.cell_of(np.array(x)) == index.cells[p]], np.flatnonzero(to == p)
+            lo, hi = index.within(q, near + 1e-9, p)
+            far = np.sqrt(((q[:, None] - own[None]) ** 2).sum(2)) > near[:, None] + 1e-9
+            assert far[:, (index.from_pivot(own) < lo) | (index.from_pivot(own) > hi)].all()
+            assert far[np.setdiff1d(np.arange(50), of[cell])].all()
+
+
+def test_neighbours_of_queries_on_another_scale_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows, q = np.round(rng.random((1500, 4)), 1), np.hstack([rng.random((300, 3)) / 20, rng.integers(0, 60, (300, 1))])
+    train = spark.createDataFrame([(i, r, "plasmid") for i, r in enumerate(rows.tolist())], "nbr long, x array<double>, label string")
+    got = neighbours.nearest(spark.createDataFrame(list(enumerate(q.tolist())), "vid long, x array<double>"), train, "euclid", block=64)
+    every = np.round(np.sqrt(((q[:, None] - rows[None]) ** 2).sum(2)), 9)
+    want = {(i, r + 1): int(n) for i, d in enumerate(every) for r, n in enumerate(np.lexsort((np.arange(1500), d))[:5])}
+    assert {(r["vid"], r["rank"]): r["nbr"] for r in got.collect()} == want
