@@ -179,3 +179,12 @@ def test_neighbours_of_queries_on_another_scale_equal_brute_force(spark):
     every = np.round(np.sqrt(((q[:, None] - rows[None]) ** 2).sum(2)), 9)
     want = {(i, r + 1): int(n) for i, d in enumerate(every) for r, n in enumerate(np.lexsort((np.arange(1500), d))[:5])}
     assert {(r["vid"], r["rank"]): r["nbr"] for r in got.collect()} == want
+
+
+def test_links_are_read_once_for_both_directions_and_nulls_make_no_edge(spark):
+    paths = spark.createDataFrame([(0, "a+", "a-"), (1, "b+", "c+"), (2, "d+", None), (None, "a+", "b+")], "vid long, start_seg string, end_seg string")
+    links = spark.createDataFrame([("a+", "b+"), ("b+", "a+"), ("c+", "d+"), (None, "a+"), ("b+", None)], "seg_a string, seg_b string")
+    segments = spark.createDataFrame([("b+", 1), ("d+", 2), ("a+", 0), ("a+", None), (None, 1)], "segment string, vid long")
+    edges = graph.contig_edges(paths, links, segments)
+    assert sorted(map(tuple, edges.collect())) == [(0, 1), (1, 0), (1, 2), (2, 1)]
+    assert "Union" not in edges._jdf.queryExecution().optimizedPlan().toString()
