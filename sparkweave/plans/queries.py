@@ -18,7 +18,7 @@ from sparkweave.operators import evaluate, graph, kmers, neighbours, propagation
 from sparkweave.operators.components import connected_components
 from sparkweave.plans import refinement
 from sparkweave.sources import assembly, sinks
-from sparkweave.storage import scratch, shared_dir
+from sparkweave.storage import scratch, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -335,22 +335,25 @@ def joint_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _knn_sides(spark: SparkSession, sf: str, x: Column) -> tuple[DataFrame, DataFrame]:
-    v = order_vertices(spark, sf).filter("length >= 1000 AND profile IS NOT NULL").select("vid", x.alias("x"), "label")
+    """Both sides of a written table, as each is read several times."""
+    v = written(order_vertices(spark, sf).filter("length >= 1000 AND profile IS NOT NULL").select("vid", x.alias("x"), "label"), "sides")
     return v.filter("label = 'unclassified'").select("vid", "x"), v.filter("label <> 'unclassified'").select(F.col("vid").alias("nbr"), "x", "label")
 
 
 def _knn(x: Callable[[], Column], metric: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        open_, train = _knn_sides(spark, sf, x())
-        return neighbours.nearest_vote(open_, neighbours.nearest(open_, train, metric))
+        with scratch() as keep:
+            open_, train = _knn_sides(spark, sf, x())
+            return keep(neighbours.nearest_vote(open_, neighbours.nearest(open_, train, metric)), "votes")
 
     return run
 
 
 def knn_minmax_euclid(spark: SparkSession, sf: str) -> DataFrame:
-    open_, train = _knn_sides(spark, sf, F.concat("profile", F.array("coverage")))
-    train, open_ = neighbours.min_max_scaled(train, open_)
-    return neighbours.library_vote(open_, neighbours.nearest(open_, train, "euclid"))
+    with scratch() as keep:
+        open_, train = _knn_sides(spark, sf, F.concat("profile", F.array("coverage")))
+        train, open_ = neighbours.min_max_scaled(train, open_)
+        return keep(neighbours.library_vote(open_, neighbours.nearest(open_, train, "euclid")), "votes")
 
 
 def refine_one_sync_sweep(spark: SparkSession, sf: str) -> DataFrame:

@@ -171,6 +171,50 @@ def test_groups_of_queries_are_as_many_as_the_cores_need(spark, monkeypatch):
             assert far[np.setdiff1d(np.arange(50), of[cell])].all()
 
 
+def _sides(spark, metric, n=2000):
+    rng = np.random.default_rng(11)
+    x = np.hstack([rng.random((n, 3)) / (20 if metric == "joint" else 1), rng.integers(5, 60, (n, 1)) / (1 if metric == "joint" else 55)])
+    train = spark.createDataFrame([(i, r, "plasmid") for i, r in enumerate(x.tolist())], "nbr long, x array<double>, label string")
+    return x, spark.createDataFrame(list(enumerate(x.tolist())), "vid long, x array<double>"), train
+
+
+@pytest.mark.parametrize("metric", ["euclid", "joint"])
+def test_rows_of_cells_that_no_query_of_a_group_may_reach_are_not_sent(spark, monkeypatch, metric):
+    monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 400)
+    x, asked, train = _sides(spark, metric)
+    with scratch():
+        index, placed = neighbours.CellIndex.of(train, metric, 5, 64, asked)
+        rows = neighbours._bounded(asked, index, placed, metric, 5).collect()
+    exact = neighbours.METRICS[metric][0]
+    cell, boxes, group = index.cell_of(x), {}, {r["vid"]: r["g"] for r in rows}
+    for r in rows:
+        if r["needs"] is not None:
+            low, high = (np.array(r[c]).reshape(len(r["needs"]), -1) for c in ("low", "high"))
+            for c, lo, hi in zip(r["needs"], low, high, strict=True):
+                was = boxes.get((r["g"], c), (lo, hi))
+                boxes[r["g"], c] = np.minimum(lo, was[0]), np.maximum(hi, was[1])
+    sent, whole = {}, 0
+    for (g, c), (lo, hi) in boxes.items():
+        own = np.flatnonzero(cell == c)
+        whole += len(own)
+        sent.setdefault(g, set()).update(own[((x[own][:, index.wide] >= lo) & (x[own][:, index.wide] <= hi)).all(1)].tolist())
+    assert sum(map(len, sent.values())) < 0.8 * whole
+    for v in range(0, len(x), 40):
+        d = np.round(exact(np.repeat(x[v : v + 1], len(x), 0), x), 9)
+        assert set(np.lexsort((np.arange(len(x)), d))[:5].tolist()) <= sent[group[v]]
+
+
+def test_queries_that_repeat_no_other_are_not_joined_and_repeats_get_the_same(spark, monkeypatch):
+    x, asked, train = _sides(spark, "euclid", 300)
+    names = []
+    monkeypatch.setattr(neighbours, "written", lambda df, name, own=neighbours.written: (names.append(name), own(df, name))[1])
+    once = {(r["vid"], r["rank"]): r["nbr"] for r in neighbours.nearest(asked, train, "euclid", block=64).collect()}
+    assert "same" not in names and "queries" not in names and len(once) == 1500
+    twice = asked.unionByName(asked.filter("vid < 20").selectExpr("vid + 1000 AS vid", "x"))
+    got = {(r["vid"], r["rank"]): r["nbr"] for r in neighbours.nearest(twice, train, "euclid", block=64).collect()}
+    assert got == once | {(v + 1000, r): n for (v, r), n in once.items() if v < 20}
+
+
 def test_neighbours_of_queries_on_another_scale_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     rows, q = np.round(rng.random((1500, 4)), 1), np.hstack([rng.random((300, 3)) / 20, rng.integers(0, 60, (300, 1))])
