@@ -414,7 +414,9 @@ def class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def final_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return refinement.refine_all(order_vertices(spark, sf), order_edges(spark, sf)).select("vid", "label")
+    with scratch() as keep:
+        vertices, edges = written(order_vertices(spark, sf), "vertices"), written(order_edges(spark, sf), "edges")
+        return keep(refinement.refine_all(vertices, edges).select("vid", "label"), "labels")
 
 
 def plot_nodes(spark: SparkSession, sf: str) -> DataFrame:

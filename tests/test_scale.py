@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweave.operators import graph, neighbours, propagation, thresholds
+from sparkweave.operators import components, graph, neighbours, propagation, refine, thresholds, topology
+from sparkweave.plans import refinement
 from sparkweave.storage import bucketed, scratch
 
 
@@ -232,3 +233,20 @@ def test_links_are_read_once_for_both_directions_and_nulls_make_no_edge(spark):
     edges = graph.contig_edges(paths, links, segments)
     assert sorted(map(tuple, edges.collect())) == [(0, 1), (1, 0), (1, 2), (2, 1)]
     assert "Union" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_whole_refinement_finds_components_once(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(components, "connected_components", lambda links, own=components.connected_components: (found.append(1), own(links))[1])
+    kinds = ["plasmid", "chromosome", "unclassified"]
+    rows = [(v, 2000 + v, 5.5 + v % 4, [float(v % 3), float(v % 2)], kinds[v * v % 7 % 3]) for v in range(40)]
+    vertices = spark.createDataFrame(rows, "vid long, length long, coverage double, profile array<double>, label string")
+    pairs = [(v, v + 1) for v in range(39) if v % 5 < 3] + [(v, v + 10) for v in range(0, 30, 7)]
+    edges = spark.createDataFrame([e for a, b in pairs for e in ((a, b), (b, a))], "src long, dst long")
+    got = {r["vid"]: r["label"] for r in refinement.refine_all(vertices, edges).collect()}
+    assert len(found) == 1
+    plain = refinement.correct_by_topology(vertices, edges)
+    for stage in (refinement.correct_by_composition, refinement.correct_by_coverage):
+        plain = stage(plain, edges)
+    plain = topology.corrected(plain, refine.refine(plain, edges))
+    assert {r["vid"]: r["label"] for r in plain.collect()} == got and len(got) == 40
