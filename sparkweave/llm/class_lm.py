@@ -9,6 +9,8 @@ class by exchange. (4) Texts become sequences of classes, a byte a word, from wh
 texts are scored: log10 P(class | class before) + log10 P(word | class), both smoothed, over a text's words and its end.
 Words that never occurred in training have the class of their shape.
 
+A batch's texts are split and their words numbered by Arrow; only its distinct words are hashed and looked up.
+
 Counts cover all training documents. Those of the HEAD most frequent words, a bounded table, travel with the
 tasks; rarer words leave the scan as (place, hash) and meet the full table of counts and classes in a hash join. No rare
 word is frequent, by construction, so that join has no hot key.
@@ -21,7 +23,6 @@ is, or goes to the first; an empty table gives no rows; extra columns are not re
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -33,16 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import dropped, fold_col, in_tasks, rows_in_arrow, scratch, texts, written
+from sparkweave.llm.common import dropped, fold_col, in_tasks, rows_in_arrow, scratch, slices, written
 
 CLUSTERED, CLASSES, HEAD = 1000, 64, 150_000
 SHAPES = 8
 #: Pseudo-counts that draw class transitions towards the classes' own shares.
 DRAW = 20.0
-#: Words kept in a worker's look-up table, and bigrams or words counted before they are passed on.
-MOST_WORDS, MOST_COUNTS = 200_000, 300_000
-#: Neighbours of words gathered before they are counted, words judged at once, and counts whose gains are kept.
-MOST_NEIGHBOURS, JUDGED, FEW = 2_000_000, 256, 16
+#: Counts of batches gathered before they are added up and passed on.
+MOST_COUNTS = 1_000_000
+#: Neighbours of words gathered before they are counted, rows of words added up at once, words judged at once, and counts whose gains are kept.
+MOST_NEIGHBOURS, MERGED, JUDGED, FEW = 2_000_000, 20_000, 256, 16
 #: A text's end; no word holds a space.
 END = b" end"
 
@@ -64,25 +65,86 @@ def shape(word: bytes) -> int:
     return (len(word) > 8) + 2 * (not word[-1:].isalpha() and word[-1] < 128) + 4 * (not word.isascii())
 
 
+@dataclass
+class Words:
+    """The words of a batch's texts: hash and shape of each distinct one, and each text's words by their places among these."""
+
+    h: np.ndarray
+    shapes: np.ndarray
+    at: np.ndarray
+    lengths: np.ndarray  # of the texts, in words
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Words:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").cast(pa.string()).fill_null("")))
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        sizes = pc.binary_length(kinds).to_numpy(zero_copy_only=False)
+        if (sizes == 0).any():  # white space at the ends of a text leaves an empty word
+            empty = sizes[at] == 0
+            lengths = lengths - np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty], minlength=len(lengths))
+            at = at[~empty]
+            at -= at > np.flatnonzero(sizes == 0)[0]
+            kinds = kinds.filter(pa.array(sizes > 0))
+        words = kinds.cast(pa.binary())
+        return cls(np.array([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words.to_pylist()], np.int64), shapes_of(words), at, lengths)
+
+    def laid(self, of: np.ndarray, end: int) -> np.ndarray:
+        """What `of` has for each word, with an end before the first text and after each one."""
+        return laid(of[self.at], self.lengths, end)
+
+
+def laid(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    out = np.full(len(values) + len(lengths) + 1, end, np.int64)
+    out[np.arange(len(values)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)] = values
+    return out
+
+
+def shapes_of(words: pa.BinaryArray) -> np.ndarray:
+    """shape() of each word."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(sizes):
+        return sizes
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    last = data[ends - 1]
+    letter = ((last | 32) >= 97) & ((last | 32) <= 122)
+    beyond = np.add.reduceat(data > 127, ends - sizes, dtype=np.int64) > 0
+    return (sizes > 8) + 2 * (~letter & (last < 128)) + 4 * beyond
+
+
+def found_in(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each h is among the sorted hashes, and its place there, or some place."""
+    if not len(hashes):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    k = np.minimum(hashes.searchsorted(h), len(hashes) - 1)
+    return hashes[k] == h, k
+
+
 # ---- counting
 
 def training_counts(docs: DataFrame) -> DataFrame:
     """(h, shape, n) of every word of docs, and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, waiting = [(np.zeros(0, np.int64),) * 3], 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array([shape(w) if w != END else SHAPES for w in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["h", "shape", "n"])
-            seen.clear()
-            return made
+            h, shapes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            del held[1:]
+            kinds, first, at = np.unique(h, return_index=True, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(shapes[first].astype(np.int32)), pa.array(np.bincount(at, n, len(kinds)).astype(np.int64))], ["h", "shape", "n"])
 
         for batch in batches:
-            for t in texts(batch):
-                seen.update(words_of(t))
-                seen[END] += 1
-                if len(seen) > MOST_COUNTS:
+            for piece in slices(batch):
+                w = Words.of(piece)
+                if piece.num_rows:
+                    held.append((np.append(w.h, END_HASH), np.append(w.shapes, SHAPES), np.append(np.bincount(w.at, minlength=len(w.h)), len(w.lengths))))
+                    waiting += len(w.h) + 1
+                if waiting > MOST_COUNTS:
                     yield out()
+                    waiting = 0
         yield out()
 
     return in_tasks(docs.select("text"), run, "h long, shape int, n long").groupBy("h", "shape").agg(F.sum("n").alias("n"))
@@ -93,22 +155,19 @@ def class_bigrams(docs: DataFrame, top: dict[int, int]) -> DataFrame:
     shapes_at, end = len(top), len(top) + SHAPES
     wide = end + 1
 
-    class Places(dict):
-        def __missing__(self, word: bytes) -> int:
-            at = top.get(word_hash(word))
-            at = self[word] = shapes_at + shape(word) if at is None else at
-            return at
+    hashes = np.array(sorted(top), np.int64)
+    places = np.array([top[h] for h in sorted(top)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, total = Places(), np.zeros(wide * wide, np.int64)
+        total = np.zeros(wide * wide, np.int64)
         for batch in batches:
-            for t in texts(batch):
-                words = words_of(t)
-                if len(places) > MOST_WORDS:
-                    places.clear()
-                ids = np.full(len(words) + 2, end, np.int64)
-                ids[1:-1] = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                np.add.at(total, ids[:-1] * wide + ids[1:], 1)
+            for piece in slices(batch):
+                w = Words.of(piece)
+                known, k = found_in(hashes, w.h)
+                of = shapes_at + w.shapes
+                of[known] = places[k[known]]
+                ids = w.laid(of, end)
+                total += np.bincount(ids[:-1] * wide + ids[1:], minlength=wide * wide)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // wide).astype(np.int32)), pa.array((at % wide).astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
 
@@ -185,29 +244,38 @@ def neighbours(docs: DataFrame, top: ClassModel) -> DataFrame:
         raise ValueError("codes of classes take a byte")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, waiting = Known(top), [], 0
+        held, kinds, waiting, size = [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            h, first, own = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in kinds)]), return_index=True, return_inverse=True)
+            shapes = np.concatenate([np.zeros(0, np.int64), *(x for _, x in kinds)])[first]
+            keys = np.concatenate([np.zeros(0, np.int64), *held])
+            keys, n = np.unique((own[keys >> 8] << 8) + (keys & 255), return_counts=True)
             held.clear()
+            kinds.clear()
             ids, codes = keys >> 8, (keys & 255).astype(np.uint8)
             at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
             ends, own = np.append(at[1:], len(ids)), ids[at]
             packed = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, ends[-1:]) * x.itemsize).astype(np.int32).tobytes() or bytes(4)), pa.py_buffer(x.tobytes())]) for x in (codes, n.astype(np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array(known.h[own]), pa.array((known.cls[own] - top.shapes_at).astype(np.int32)), *packed], ["h", "shape", "codes", "ns"])
+            return pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(shapes[own].astype(np.int32)), *packed], ["h", "shape", "codes", "ns"])
 
         for batch in batches:
-            for t in texts(batch):
-                if waiting > MOST_NEIGHBOURS or len(known) > MOST_WORDS:
+            for piece in slices(batch):
+                if waiting > MOST_NEIGHBOURS:
                     yield out()
-                    waiting = 0
-                ids = known.places(words_of(t))
-                cls = np.full(len(ids) + 2, top.end, np.int64)
-                cls[1:-1] = known.cls[ids]
-                at = np.flatnonzero(~known.head[ids])
-                own = ids[at] << 8
-                held += [own + cls[at + 2], own + (cls[at] + k)]
-                waiting += 2 * len(at)
+                    waiting = size = 0
+                w = Words.of(piece)
+                head, cls, _ = top.known(w)
+                rare = np.flatnonzero(~head)
+                place = np.zeros(len(w.h), np.int64)
+                place[rare] = np.arange(size, size + len(rare))
+                kinds.append((w.h[rare], w.shapes[rare]))
+                size += len(rare)
+                ids = w.laid(cls, top.end)
+                on = np.flatnonzero(w.laid(~head, 0))
+                own = place[w.at[~head[w.at]]] << 8
+                held += [own + ids[on + 1], own + (ids[on - 1] + k)]
+                waiting += 2 * len(own)
         yield out()
 
     return in_tasks(docs.select("text"), run, "h long, shape int, codes binary, ns binary")
@@ -258,6 +326,18 @@ def merged(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return h[new], shapes[new].astype(np.int64), np.bincount(keys >> 8, minlength=int(new.sum())), keys & 255, np.bincount(at, ns).astype(np.int64)
 
 
+def in_larger_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in larger ones, as each costs much beside its rows."""
+    held, n, size = [], 0, 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+        if held and (batch is None or n >= MERGED or size > 4 << 20):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, size = [], 0, 0
+
+
 def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> DataFrame:
     """(h, n, cls) of the words of neighbours().
 
@@ -273,10 +353,8 @@ def classes_by_exchange(words: DataFrame, grid: np.ndarray, shapes_at: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(h[x:y]), pa.array(n), pa.array(cls.astype(np.int32))], ["h", "n", "cls"])
 
         few = gains_of_few(cells_of(grid))
-        last = None  # the word that may go on in the next batch, as a row
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        last = None  # the word that may go on in the next rows, as a row
+        for batch in in_larger_ones(batches):
             if last is not None:
                 batch = pa.Table.from_batches([last, batch.cast(last.schema)]).combine_chunks().to_batches()[0]
             h, shapes, lengths, codes, ns = merged(batch)
@@ -306,6 +384,13 @@ class ClassModel:
     def end(self) -> int:
         return self.shapes_at + SHAPES
 
+    def known(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct word whether it belongs to the head, its class there or else by its shape, and log10(count + 1), 0 beyond the head."""
+        head, k = found_in(self.hashes, w.h)
+        cls, logs = self.shapes_at + w.shapes, np.zeros(len(w.h))
+        cls[head], logs[head] = self.classes[k[head]], np.log10(self.counts[k[head]] + 1)
+        return head, cls, logs
+
 
 def fit_classes(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     """The model of all rows of docs without its transitions, and the written table (h, n, cls) of all their words and the end."""
@@ -353,8 +438,9 @@ def with_transitions(model: ClassModel, coded: DataFrame) -> ClassModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
         for batch in batches:
-            for cls in sequences(batch, model.end):
-                np.add.at(total, cls[:-1] * k + cls[1:], 1)
+            for piece in slices(batch):
+                cls, _ = sequences(piece, model.end)
+                total += np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
 
@@ -373,71 +459,30 @@ def fit_class_lm(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
 
 # ---- scoring
 
-class Known(dict):
-    """Words to places in arrays of class, log10(count + 1), whether they belong to the head, and hash."""
-
-    def __init__(self, model: ClassModel) -> None:
-        super().__init__()
-        self.model, self.logs, self.new = model, np.log10(model.counts + 1), []
-        self.cls, self.log, self.head, self.h = np.zeros(1 << 14, np.int16), np.zeros(1 << 14), np.zeros(1 << 14, bool), np.zeros(1 << 14, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        self.new.append(word)
-        return i
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """The words' places; what the arrays say of words met for the first time is filled in at once."""
-        if len(self) > MOST_WORDS:
-            self.clear()
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            end = len(self)
-            while end > len(self.cls):
-                self.cls, self.log, self.head, self.h = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cls, self.log, self.head, self.h))
-            own = slice(end - len(self.new), end)
-            h = np.fromiter(map(word_hash, self.new), np.int64, len(self.new))
-            self.h[own] = h
-            if len(self.model.hashes):
-                k = np.minimum(self.model.hashes.searchsorted(h), len(self.model.hashes) - 1)
-                head = self.model.hashes[k] == h
-                cls = np.where(head, self.model.classes[k], 0)
-                self.log[own] = np.where(head, self.logs[k], 0)
-            else:
-                head, cls = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-                self.log[own] = 0
-            for i in np.flatnonzero(~head).tolist():
-                cls[i] = self.model.shapes_at + shape(self.new[i])
-            self.head[own], self.cls[own] = head, cls
-            self.new = []
-        return ids
-
-
 def class_sequences(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
     """Per row of docs, as a written table: its columns but the text, n_tokens, n_known, logs (of the counts), seq (a class a byte),
     and found, the classes (at, cls) of words beyond the head, which seq has in the class of their shape."""
     others = [c for c in docs.columns if c != "text"]
 
     def make():
-        known, row = Known(model), 0
+        row = 0
         part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def run(batch: pa.RecordBatch) -> dict:
             nonlocal row
-            out: dict = {**{c: batch.column(c) for c in others}, **{k: [] for k in ("_row", "n_tokens", "n_head", "head_logs", "seq", "at", "h")}}
-            for t in texts(batch):
-                ids = known.places(words_of(t))
-                head = known.head[ids]
-                at = np.flatnonzero(~head)
-                out["_row"].append(part + row)
-                row += 1
-                out["n_tokens"].append(len(ids) + 1)
-                out["n_head"].append(int(head.sum()) + (model.ends > 0))
-                out["head_logs"].append(float(known.log[ids].sum()))
-                out["seq"].append(known.cls[ids].astype(np.uint8).tobytes())
-                out["at"].append(at)
-                out["h"].append(known.h[ids[at]])
-            return out
+            w = Words.of(batch)
+            head, cls, logs = model.known(w)
+            n, starts = len(w.lengths), np.concatenate([[0], np.cumsum(w.lengths)])
+            doc = np.repeat(np.arange(n), w.lengths)
+            rare = np.flatnonzero(~head[w.at])
+            rares = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))]).astype(np.int32))
+            seq = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(cls[w.at].astype(np.uint8).tobytes())])
+            own = {
+                "_row": np.arange(part + row, part + row + n), "n_tokens": w.lengths + 1, "n_head": np.bincount(doc, head[w.at], n).astype(np.int64) + (model.ends > 0), "head_logs": np.bincount(doc, logs[w.at], n),
+                "seq": seq, "at": pa.ListArray.from_arrays(rares, pa.array((rare - starts[doc[rare]]).astype(np.int32))), "h": pa.ListArray.from_arrays(rares, pa.array(w.h[w.at[rare]])),
+            }
+            row += n
+            return {**{c: batch.column(c) for c in others}, **own}
 
         return run
 
@@ -451,25 +496,27 @@ def class_sequences(docs: DataFrame, model: ClassModel, words: DataFrame) -> Dat
     return coded
 
 
-def sequences(batch: pa.RecordBatch, end: int) -> Iterator[np.ndarray]:
-    """The classes of each row of class_sequences(), between two ends."""
-    for raw, found in zip(batch.column("seq"), batch.column("found").to_pylist(), strict=True):
-        own = np.frombuffer(raw.as_buffer(), np.uint8)
-        cls = np.full(len(own) + 2, end, np.int64)
-        cls[1:-1] = own
-        for w in found or ():
-            cls[w["at"] + 1] = w["cls"]
-        yield cls
+def sequences(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all rows of class_sequences(), with an end before the first and after each, and the place of the end before each row."""
+    seq, found = batch.column("seq"), batch.column("found")
+    lengths = pc.binary_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
+    cls = np.frombuffer(b"".join(seq.to_pylist()), np.uint8).astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    words, rows = found.flatten(), pc.list_parent_indices(found).to_numpy(zero_copy_only=False)
+    cls[starts[rows] + words.field("at").to_numpy(zero_copy_only=False)] = words.field("cls").to_numpy(zero_copy_only=False)
+    return laid(cls, lengths, end), starts + np.arange(len(lengths))
 
 
 def scores(coded: DataFrame, model: ClassModel) -> DataFrame:
     """Per row of class_sequences(): doc_id, n_tokens, n_known, base_score, score."""
     kind = coded.schema["doc_id"].dataType.simpleString()
+    within = np.where(np.arange(model.end + 1) == model.end, 0.0, model.within)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             # The end has its class for itself: once there, it is certain.
-            own = [float(model.step[cls[:-1], cls[1:]].sum() - model.within[cls[1:-1]].sum()) for cls in sequences(batch, model.end)]
+            cls, starts = sequences(batch, model.end)
+            own = np.add.reduceat(model.step[cls[:-1], cls[1:]] - within[cls[1:]], starts) if len(starts) else np.zeros(0)
             return {**{c: batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")}, "steps": own}
 
         return run

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD, texts_of
 
@@ -193,3 +194,17 @@ def test_neighbours_are_those_of_a_plain_count(spark, docs_of, monkeypatch):
             assert placed[c.word_hash(w)] == (m[0], cls[0]) and m[0] == n[w]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_words_of_a_batch_are_those_of_its_texts_and_only_distinct_ones_are_hashed(monkeypatch):
+    texts = [None, "", " ", "a  B\tb\x0bC\x0cd\r\ne ", "  \x1cx\x1f y\x85z\u00a0w\u2003\u3000v \x00", "É é ÀB ß İ", "longwords9 longwords! a.", "1.", "end", " a " * 50, "\U0001f600 é!", *(t for _, t, _ in texts_of())]
+    seen = []
+    monkeypatch.setattr(c.xxhash, "xxh3_64_intdigest", lambda w, own=c.xxhash.xxh3_64_intdigest: (seen.append(w), own(w))[1])
+    for lo, hi in ((0, len(texts)), (3, 9), (0, 3), (5, 5)):
+        seen.clear()
+        w = c.Words.of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]).slice(lo, hi - lo))
+        own = [c.words_of(t or "") for t in texts[lo:hi]]
+        flat = [x for t in own for x in t]
+        assert len(seen) == len(set(flat)) == len(w.h)
+        assert w.lengths.tolist() == [len(t) for t in own] and w.h[w.at].tolist() == [c.word_hash(x) for x in flat] and w.shapes[w.at].tolist() == [c.shape(x) for x in flat]
+        assert w.laid(w.h, 7).tolist() == [7, *(y for t in own for y in (*map(c.word_hash, t), 7))]
