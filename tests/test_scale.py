@@ -250,3 +250,33 @@ def test_the_whole_refinement_finds_components_once(spark, monkeypatch):
         plain = stage(plain, edges)
     plain = topology.corrected(plain, refine.refine(plain, edges))
     assert {r["vid"]: r["label"] for r in plain.collect()} == got and len(got) == 40
+
+
+def test_components_are_solved_in_one_pass_and_rest_when_their_state_repeats(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    rng = random.Random(4)
+    pairs = [(a, a + 1) for a in range(0, 12)] + [(100, 101 + i) for i in range(3 * propagation.NEAR)] + [(200 + rng.randrange(9), 200 + rng.randrange(9)) for _ in range(14)] + [(300, 301)]
+    edges, known = graph.undirected(spark.createDataFrame(pairs, "src long, dst long")), {0, 5, 11, 101, 102, 203, 300}
+    labelled = spark.createDataFrame([(v,) for v in known], "vid long")
+    passes, own = [], PandasGroupedOpsMixin.applyInPandas
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda *a: (passes.append(1), own(*a))[1])
+    both = {tuple(r) for r in edges.collect()}
+    for most, epsilon, times in ((700, 0.0, 1), (5, 0.0, 1), (300, 1.0, 2)):
+        passes.clear()
+        got = {(r["vid"], r["cls"]): r["p"] for r in propagation.propagate(edges, labelled, epsilon, most).collect()}
+        assert len(passes) == times
+        ids = sorted({a for a, _ in both})
+        w = np.array([[(a, b) in both for b in ids] for a in ids], float)
+        w = (w / w.sum(1, keepdims=True)).astype(np.float32).astype(float)
+        y, on = np.diag([float(v in known) for v in ids]), np.array([v in known for v in ids])
+        for _ in range(most):
+            new = w @ y
+            new[on, on] = 1
+            total = new.sum(1, keepdims=True)
+            new = np.where(~on[:, None] & (total > 0), new / np.where(total > 0, total, 1), new)
+            change, y = np.abs(new - y).sum(), new
+            if change <= epsilon:
+                break
+        want = {(ids[i], ids[j]): y[i, j] for i, j in zip(*np.nonzero(y), strict=True)}
+        assert got == pytest.approx(want, abs=1e-12)
