@@ -280,3 +280,35 @@ def test_components_are_solved_in_one_pass_and_rest_when_their_state_repeats(spa
                 break
         want = {(ids[i], ids[j]): y[i, j] for i, j in zip(*np.nonzero(y), strict=True)}
         assert got == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["few", "all"])
+def test_a_far_last_component_leaves_cells_to_the_others(kind):
+    """Queries far off in the last component, as unscaled ones are: cells beyond what the others leave aren't compared, and none that is needed is lost."""
+    rng = np.random.default_rng(11)
+    low = rng.random((3000, 4)) * [0.9, 0.9, 0.9, 0.5]
+    some = np.arange(3000, dtype=float)
+    x = np.hstack([rng.random((400, 3)) / 20, (rng.integers(5, 60, (400, 1)) if kind == "few" else 60 * rng.random((400, 1)) + 2) + 0.5])
+    lead, none = np.full(3, 0.02), np.zeros((3000, 3))
+    ring = np.sqrt(((low[:, :3] + 0.05 - lead) ** 2).sum(1))
+    index = neighbours.CellIndex("euclid", 5, np.zeros(1, int), np.zeros(1), np.array(low + 0.05), none, none, some.astype(int), some, some * 0, some * 0 + 1, low, low + 0.1, lead, ring * 0, ring + 1, np.arange(4))
+    gap = np.maximum(np.maximum(low - x[:, None], x[:, None] - low - 0.1), 0)
+    apart = np.sqrt((gap**2).sum(2))
+    bound = np.partition(apart, 3, axis=1)[:, 3] + 1e-6
+    compared, own = [], index._least
+    index._least = lambda x, to: (compared.append(to.size), own(x, to))[1]
+    at, to, _ = index.reach(x, bound)
+    assert compared[0] < 300
+    index._least = own
+    every = index._least(x, np.arange(3000)[None])
+    assert set(zip(at.tolist(), to.tolist(), strict=True)) == set(map(tuple, np.argwhere(every <= bound[:, None]).tolist()))
+
+
+def test_tables_of_distances_equal_their_formulas():
+    rng = np.random.default_rng(13)
+    k, mu = rng.integers(0, neighbours.KNOWN + 20, (2, 4000)) + 0.5
+    assert np.array_equal(neighbours._coverage(k, mu), neighbours._poisson(np.trunc(k), np.trunc(mu)))
+    assert np.array_equal(neighbours._coverage(k % 99, mu % 99), neighbours._poisson(np.trunc(k % 99), np.trunc(mu % 99)))
+    for most in (0.07, 0.99, 3):
+        d = most * rng.random((300, 100))
+        assert np.abs(neighbours._rough_composition(d) - neighbours._smooth_composition(d)).max() < neighbours.ROUGH / 10
